@@ -14,29 +14,32 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from wayfield.functions.geo import cell_col, cell_row
 from wayfield.functions.offsets import offsets, radius
-from wayfield.operators.tile_kernels import Frame, Stencil, predecessors as best_moves, exits, relax
-from wayfield.operators.tiles import tile_count, tile_of, with_halo
+from wayfield.operators.tile_kernels import Frame, Stencil, exits, predecessors, relax
+from wayfield.operators.tiles import halo_tiles, tile_count, tile_of, with_halo
 from wayfield.schema import GridMeta
 from wayfield.sources.scratch import Scratch, task_slots
 
 # Sources relaxed together in one group.
-SOURCES_PER_GROUP = 16
+SOURCES_PER_GROUP = 32
 # Ring row that holds a tile's worst target cost once all its targets are reached.
 TARGETS_DONE = -1
 
-BLOCK_SCHEMA = "tile long, z binary, m binary, targets binary"
-BORDER_SCHEMA = "source long, tile long, bucket int, cell_id long, d double"
-TREE_SCHEMA = ("source long, tile long, bucket int, moves array<tinyint>, d array<double>, "
-               "hop_cell array<long>, hop_next array<long>, hop_steps array<long>, "
-               "goal_cell array<long>, goal_d array<double>")
-
-TREE_COLUMNS = [column.split()[0] for column in TREE_SCHEMA.split(", ")]
+LONGS = pa.list_(pa.int64())
+BLOCK_SCHEMA = pa.schema([("tile", pa.int64()), ("z", pa.binary()), ("m", pa.binary()), ("targets", pa.binary())])
+BORDER_SCHEMA = pa.schema([("source", pa.int64()), ("tile", pa.int64()), ("bucket", pa.int32()),
+                           ("cell_id", pa.int64()), ("d", pa.float64())])
+TREE_SCHEMA = pa.schema([
+    ("source", pa.int64()), ("tile", pa.int64()), ("bucket", pa.int32()),
+    ("moves", pa.list_(pa.int8())), ("d", pa.list_(pa.float64())),
+    ("hop_cell", LONGS), ("hop_next", LONGS), ("hop_steps", LONGS),
+    ("goal_cell", LONGS), ("goal_d", pa.list_(pa.float64()))])
 
 
 @dataclass
@@ -63,7 +66,7 @@ class CostTrees:
         return tile_count(self.meta, self.stencil.size) == 1
 
 
-def _at(cells: DataFrame, meta: GridMeta) -> DataFrame:
+def with_row_col(cells: DataFrame, meta: GridMeta) -> DataFrame:
     return (cells.withColumn("row", cell_row(F.col("cell_id"), meta))
                  .withColumn("col", cell_col(F.col("cell_id"), meta)))
 
@@ -83,53 +86,59 @@ def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None
     none = F.lit(None).cast("double")
     rows = cells.where(F.col("z").isNotNull()).select("row", "col", "z", none.alias("m"), F.lit(False).alias("t"))
     if mult is not None:
-        rows = rows.unionByName(_at(mult, meta).select(
+        rows = rows.unionByName(with_row_col(mult, meta).select(
             "row", "col", none.alias("z"), "m", F.lit(False).alias("t")))
     if targets is not None:
-        rows = rows.unionByName(_at(targets.select("cell_id"), meta).select(
+        rows = rows.unionByName(with_row_col(targets.select("cell_id"), meta).select(
             "row", "col", none.alias("z"), none.alias("m"), F.lit(True).alias("t")))
     has_mult = mult is not None
 
-    def pack(key, pdf):
-        frame = Frame(key[0], stencil)
-        at = frame._at(pdf["row"].to_numpy() - frame.row0, pdf["col"].to_numpy() - frame.col0)
-        layers = {}
+    def pack(key, rows):
+        frame = Frame(key[0].as_py(), stencil)
+        at = frame.at(column(rows, "row") - frame.row0, column(rows, "col") - frame.col0)
+        layers = []
         for name, empty in (("z", np.nan), ("m", 1.0)):
+            values = rows.column(name).to_numpy()
+            known = ~np.isnan(values)
             layer = np.full(frame.length, empty)
-            known = pdf[name].notna().to_numpy()
-            layer[at[known]] = pdf[name].to_numpy()[known]
-            layers[name] = layer.tobytes()
-        goal = np.unique(at[pdf["t"].to_numpy(bool)])
+            layer[at[known]] = values[known]
+            layers.append(layer.tobytes())
+        goal = np.unique(at[column(rows, "t").astype(bool)])
         goal = goal[frame.in_core[goal]].astype(np.int64)
-        return pd.DataFrame({"tile": [key[0]], "z": [layers["z"]],
-                             "m": [layers["m"] if has_mult else None], "targets": [goal.tobytes()]})
+        return pa.table([key[:1], [layers[0]], [layers[1] if has_mult else None], [goal.tobytes()]],
+                        schema=BLOCK_SCHEMA)
 
     local = with_halo(rows, meta, stencil.size, radius(stencil.k))
     slots = min(task_slots(cells.sparkSession), tile_count(meta, stencil.size))
-    return local.repartition(slots, "tile").groupBy("tile").applyInPandas(pack, BLOCK_SCHEMA)
+    return local.repartition(slots, "tile").groupBy("tile").applyInArrow(pack, from_arrow_schema(BLOCK_SCHEMA))
+
+
+def column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
 
 
 def _load_tile(key, ring, block, stencil):
     """Frame, weights, targets, sources and starting distances of one (tile, bucket) group."""
-    frame = Frame(key[0], stencil)
+    frame = Frame(key[0].as_py(), stencil)
     if len(block):
         z, m, goal = (None if v is None else np.frombuffer(v, t) for v, t in
-                      zip(block[["z", "m", "targets"]].iloc[0], (np.float64, np.float64, np.int64)))
+                      ((block.column(name)[0].as_py(), t) for name, t in
+                       (("z", np.float64), ("m", np.float64), ("targets", np.int64))))
     else:  # a tile without any elevation has no block
         z, m, goal = np.full(frame.length, np.nan), None, np.zeros(0, np.int64)
     w = frame.weights(z, m)
-    sources, who = np.unique(ring["source"].to_numpy(), return_inverse=True)
+    sources, who = np.unique(column(ring, "source"), return_inverse=True)
     d = np.full((len(sources), frame.length), np.inf)
-    d[who, frame.positions(ring["cell_id"].to_numpy())] = ring["d"].to_numpy()
+    d[who, frame.positions(column(ring, "cell_id"))] = column(ring, "d")
+    relax(d, w, frame.steps)
     return frame, w, goal, sources, d
 
 
 def _border_costs(stencil: Stencil):
     def run(key, ring, block):
         if not len(ring):
-            return pd.DataFrame()
-        frame, w, goal, sources, d = _load_tile(key, ring, block, stencil)
-        relax(d, w, frame.steps)
+            return BORDER_SCHEMA.empty_table()
+        frame, _, goal, sources, d = _load_tile(key, ring, block, stencil)
         who, at = np.nonzero(np.isfinite(d[:, frame.border]))
         at = frame.border[at]
         out = [(sources[who], frame.cells(at), d[who, at])]
@@ -138,33 +147,41 @@ def _border_costs(stencil: Stencil):
             done = np.isfinite(worst)
             out.append((sources[done], np.full(done.sum(), TARGETS_DONE), worst[done]))
         source, cell, cost = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame({"source": source, "tile": key[0], "bucket": key[1], "cell_id": cell, "d": cost})
+        return pa.table([source, pa.repeat(key[0], len(source)), pa.repeat(key[1], len(source)), cell, cost],
+                        schema=BORDER_SCHEMA)
     return run
 
 
 def _tree_rows(stencil: Stencil, keep_dist: bool):
     def run(key, ring, block):
         if not len(ring):
-            return pd.DataFrame()
+            return TREE_SCHEMA.empty_table()
         frame, w, goal, sources, d = _load_tile(key, ring, block, stencil)
-        relax(d, w, frame.steps)
-        move = best_moves(d, w, frame)
+        n = len(sources)
         moves = np.full(d.shape, -1, np.int8)
-        moves[:, frame.core] = move
+        moves[:, frame.core] = best = predecessors(d, w, frame)
         wanted = np.union1d(frame.border, goal).astype(np.int64)
-        rows = []
-        for i, source in enumerate(sources):
-            known = wanted[np.isfinite(d[i, wanted])]
-            left, steps = exits(known, moves[i], frame)
-            nxt = np.where(left >= 0, frame.cells(left), -1)
-            hit = goal[np.isfinite(d[i, goal])]
-            rows.append((source, key[0], key[1], move[i], d[i, frame.core] if keep_dist else None,
-                         frame.cells(known), nxt, steps, frame.cells(hit), d[i, hit]))
-        return pd.DataFrame(rows, columns=TREE_COLUMNS)
+        who, at = np.nonzero(np.isfinite(d[:, wanted]))
+        left, steps = exits(who * frame.length + wanted[at], moves.reshape(-1), frame)
+        nxt = np.where(left >= 0, frame.cells(left % frame.length), -1)
+        hit_who, hit = np.nonzero(np.isfinite(d[:, goal]))
+
+        def per_source(owner, values):
+            ends = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(ends, pa.array(values))
+
+        cells = len(frame.core)
+        every = np.repeat(np.arange(n), cells)
+        dist = per_source(every, d[:, frame.core].reshape(-1)) if keep_dist else pa.nulls(n, TREE_SCHEMA.field("d").type)
+        columns = [sources, pa.repeat(key[0], n), pa.repeat(key[1], n), per_source(every, best.reshape(-1)), dist,
+                   per_source(who, frame.cells(wanted[at])), per_source(who, nxt), per_source(who, steps),
+                   per_source(hit_who, frame.cells(goal[hit])), per_source(hit_who, d[hit_who, goal[hit]])]
+        return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns],
+                        schema=TREE_SCHEMA)
     return run
 
 
-def _per_group(ring: DataFrame, blocks: DataFrame, slots: int, run, schema: str) -> DataFrame:
+def _per_group(ring: DataFrame, blocks: DataFrame, slots: int, run, schema: pa.Schema) -> DataFrame:
     """Apply ``run`` to each (tile, bucket) of ``ring`` together with the tile's block.
 
     Blocks are copied once per group of sources that needs them. The number of partitions is
@@ -173,18 +190,16 @@ def _per_group(ring: DataFrame, blocks: DataFrame, slots: int, run, schema: str)
     keys = ring.select(F.col("tile").alias("tile"), F.col("bucket").alias("bucket")).distinct()
     copies = keys.join(blocks, "tile").repartition(slots, "tile", "bucket")
     return (ring.repartition(slots, "tile", "bucket").groupBy("tile", "bucket")
-                .cogroup(copies.groupBy("tile", "bucket")).applyInPandas(run, schema))
+                .cogroup(copies.groupBy("tile", "bucket")).applyInArrow(run, from_arrow_schema(schema)))
 
 
 def _to_rings(border: DataFrame, stencil: Stencil) -> DataFrame:
-    """Send each border cell to the other tiles whose halo holds it."""
-    own = border.select("source", "bucket", F.col("tile").alias("own"), "cell_id", "d")
-    cells = own.where(F.col("cell_id") >= 0)
-    sent = (with_halo(_at(cells, stencil.meta), stencil.meta, stencil.size, radius(stencil.k))
-            .where(F.col("tile") != F.col("own")))
-    columns = ["source", "tile", "bucket", "cell_id", "d"]
-    done = own.where(F.col("cell_id") == TARGETS_DONE).withColumnRenamed("own", "tile")
-    return sent.select(columns).unionByName(done.select(columns))
+    """Send each border cell to the other tiles whose halo holds it; marks stay with their tile."""
+    meta = stencil.meta
+    row, col = cell_row(F.col("cell_id"), meta), cell_col(F.col("cell_id"), meta)
+    others = F.array_except(halo_tiles(row, col, meta, stencil.size, radius(stencil.k)), F.array("tile"))
+    to = F.when(F.col("cell_id") == TARGETS_DONE, F.array("tile")).otherwise(others)
+    return border.select("source", F.explode(to).alias("tile"), "bucket", "cell_id", "d")
 
 
 def _bounds(ring: DataFrame, target_tiles: int) -> DataFrame:
@@ -214,7 +229,7 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
     if bounded and targets is not None:
         target_tiles = blocks.where(F.length("targets") > 0).count()
 
-    at = _at(starts, meta)
+    at = with_row_col(starts, meta)
     ring = scratch.save(at.select(
         F.col("cell_id").alias("source"), tile_of(F.col("row"), F.col("col"), meta, size).alias("tile"),
         source_bucket(F.col("cell_id"), groups).alias("bucket"), "cell_id",

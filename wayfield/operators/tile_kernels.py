@@ -45,11 +45,11 @@ class Frame:
         self.stride = self.width + 2 * self.reach
         self.lead = self.reach * self.stride + self.reach
         self.length = (self.height + 2 * self.reach) * self.stride + 2 * self.lead
-        moves = offsets(stencil.k)
-        self.steps = np.array([dr * self.stride + dc for dr, dc in moves])
-        self.lengths = [step_length(dr, dc, meta) for dr, dc in moves]
+        self.moves = offsets(stencil.k)
+        self.steps = np.array([dr * self.stride + dc for dr, dc in self.moves])
+        self.lengths = [step_length(dr, dc, meta) for dr, dc in self.moves]
         rows, cols = np.divmod(np.arange(self.height * self.width), self.width)
-        self.core = self._at(rows, cols)
+        self.core = self.at(rows, cols)
         self.in_core = np.zeros(self.length, bool)
         self.in_core[self.core] = True
         edge = np.zeros(len(rows), bool)
@@ -63,17 +63,26 @@ class Frame:
             edge |= cols >= self.width - self.reach
         self.border = self.core[edge]
 
-    def _at(self, rows, cols):
+    def at(self, rows, cols):
         return self.lead + (rows + self.reach) * self.stride + cols + self.reach
 
     def positions(self, cells):
         rows, cols = np.divmod(cells, self.ncols)
-        return self._at(rows - self.row0, cols - self.col0)
+        return self.at(rows - self.row0, cols - self.col0)
 
     def cells(self, positions):
         rows, cols = np.divmod(positions - self.lead, self.stride)
         return (rows - self.reach + self.row0) * self.ncols + cols - self.reach + self.col0
 
+    def body(self, layer):
+        """The padded extent of one layer as rows and columns."""
+        return layer[self.lead:self.length - self.lead].reshape(-1, self.stride)
+
+    def window(self, dr, dc):
+        """Where a padded extent holds the origins of move (dr, dc) into the core."""
+        top, left = self.reach - dr, self.reach - dc
+        return slice(top, top + self.height), slice(left, left + self.width)
+
     def weights(self, z, m):
         """Cost of arriving at each core position by each step; infinite where there is no move."""
         formula = cost_function(self.stencil.cost)
@@ -116,16 +125,20 @@ def predecessors(d, w, frame):
     Among moves of equal cost (to the tick) the one from the lowest cell wins: moves are stored
     in row-major order, so going through them backwards visits origins in ascending order.
     """
-    goal = d[:, frame.core]
-    best = np.full(goal.shape, np.inf)
-    move = np.full(goal.shape, -1, np.int8)
-    for i in range(len(frame.steps) - 1, -1, -1):
-        origin = d[:, frame.core - frame.steps[i]]
-        ticks = np.rint((origin + w[i, frame.core]) * TICKS_PER_HOUR)
-        better = (ticks < best) & (origin < goal)
-        best[better] = ticks[better]
-        move[better] = i
-    return move
+    moves = np.full((len(d), frame.height * frame.width), -1, np.int8)
+    windows = [frame.window(dr, dc) for dr, dc in frame.moves]
+    arriving = [frame.body(x)[frame.window(0, 0)] for x in w]
+    for cost, chosen in zip(d, moves.reshape(len(d), frame.height, frame.width)):
+        area = frame.body(cost)
+        goal = area[frame.window(0, 0)]
+        best = np.full(goal.shape, np.inf)
+        for i in range(len(windows) - 1, -1, -1):
+            origin = area[windows[i]]
+            ticks = np.rint((origin + arriving[i]) * TICKS_PER_HOUR)
+            better = (ticks < best) & (origin < goal)
+            best[better] = ticks[better]
+            chosen[better] = i
+    return moves
 
 
 def exits(starts, moves, frame):

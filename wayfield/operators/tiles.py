@@ -37,14 +37,17 @@ def _span(at: Column, size: int, reach: int, last: int) -> Column:
     return F.sequence(low.cast("bigint"), high.cast("bigint"))
 
 
+def halo_tiles(row: Column, col: Column, meta: GridMeta, size: int, reach: int) -> Column:
+    """Numbers of all tiles whose padded extent holds a cell, as an array."""
+    across = F.lit(tiles_across(meta, size)).cast("bigint")
+    down = _span(row, size, reach, tiles_down(meta, size) - 1)
+    along = _span(col, size, reach, tiles_across(meta, size) - 1)
+    return F.flatten(F.transform(down, lambda tr: F.transform(along, lambda tc: tr * across + tc)))
+
+
 def with_halo(cells: DataFrame, meta: GridMeta, size: int, reach: int) -> DataFrame:
     """Add column ``tile``, one copy of a row for each tile whose padded extent holds the cell."""
-    across = F.lit(tiles_across(meta, size)).cast("bigint")
-    return (cells
-            .withColumn("_tr", F.explode(_span(F.col("row"), size, reach, tiles_down(meta, size) - 1)))
-            .withColumn("_tc", F.explode(_span(F.col("col"), size, reach, tiles_across(meta, size) - 1)))
-            .withColumn("tile", F.col("_tr") * across + F.col("_tc"))
-            .drop("_tr", "_tc"))
+    return cells.withColumn("tile", F.explode(halo_tiles(F.col("row"), F.col("col"), meta, size, reach)))
 
 
 def joins_keep_tiles(spark: SparkSession) -> bool:

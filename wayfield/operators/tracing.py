@@ -8,12 +8,13 @@ afterwards, in one pass over all tiles.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from wayfield.functions.geo import cell_col, cell_row, cell_to_world
-from wayfield.operators.distance import CostTrees, _at, hops, source_bucket, target_costs
+from wayfield.operators.distance import CostTrees, with_row_col, column, hops, source_bucket, target_costs
 from wayfield.operators.terrain import dilate
 from wayfield.operators.tile_kernels import Frame, Stencil, visits
 from wayfield.operators.tiles import tile_of
@@ -24,6 +25,10 @@ from wayfield.sources.scratch import Scratch, task_slots
 # Path pieces unpacked together in one group.
 PIECES_PER_GROUP = 4096
 
+COUNT_SCHEMA = pa.schema([("source", pa.int64()), ("cell_id", pa.int64()), ("n", pa.int64())])
+PIECE_SCHEMA = pa.schema([("source", pa.int64()), ("dest_cell", pa.int64()), ("step", pa.int64()),
+                          ("cell_id", pa.int64())])
+
 
 def _rounds(step, first: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``first`` and all tables that follow from it by ``step`` until one is empty."""
@@ -59,34 +64,39 @@ def path_starts(solved: CostTrees, dests: DataFrame) -> DataFrame:
             .join(dests.select("cell_id", "m"), "cell_id").select("source", "cell_id", F.col("m").alias("n")))
 
 
+def _load_trees(key, starts, trees, stencil):
+    """Frame, sources, flat moves and the flat start positions of one group."""
+    frame = Frame(key[0].as_py(), stencil)
+    sources = column(trees, "source")
+    moves = np.full((len(sources), frame.length), -1, np.int8)
+    moves[:, frame.core] = trees.column("moves").combine_chunks().flatten().to_numpy().reshape(len(sources), -1)
+    order = np.argsort(sources)
+    row = order[np.searchsorted(sources, column(starts, "source"), sorter=order)]
+    return frame, sources, moves.reshape(-1), row * frame.length + frame.positions(column(starts, "cell_id"))
+
+
 def _count_cells(stencil: Stencil, per_source: bool):
     def run(key, entries, trees):
         if not len(entries) or not len(trees):
-            return pd.DataFrame()
-        frame = Frame(key[0], stencil)
-        sources = trees["source"].to_numpy()
-        moves = np.full((len(sources), frame.length), -1, np.int8)
-        moves[:, frame.core] = np.stack(trees["moves"].to_numpy())
-        order = np.argsort(sources)
-        row = order[np.searchsorted(sources[order], entries["source"].to_numpy())]
-        starts = row * frame.length + frame.positions(entries["cell_id"].to_numpy())
-        n = entries["n"].to_numpy()
+            return COUNT_SCHEMA.empty_table()
+        frame, sources, moves, starts = _load_trees(key, entries, trees, stencil)
+        n = column(entries, "n")
         total = np.zeros(moves.size, np.int64)
-        for who, _, at in visits(starts, moves.reshape(-1), frame):
+        for who, _, at in visits(starts, moves, frame):
             np.add.at(total, at, n[who])
-        total = total.reshape(moves.shape)
+        total = total.reshape(len(sources), -1)
         if not per_source:
             total = total.sum(axis=0, keepdims=True)
         who, at = np.nonzero(total)
-        return pd.DataFrame({"source": sources[who] if per_source else -1,
-                             "cell_id": frame.cells(at), "n": total[who, at]})
+        return pa.table({"source": sources[who] if per_source else np.full(len(who), -1),
+                         "cell_id": frame.cells(at), "n": total[who, at]})
     return run
 
 
 def _in_tiles(solved: CostTrees, table: DataFrame) -> DataFrame:
     """Add the tile of each row's cell and the bucket of its source."""
     meta, size = solved.meta, solved.stencil.size
-    return (_at(table, meta).withColumn("tile", tile_of(F.col("row"), F.col("col"), meta, size)).drop("row", "col")
+    return (with_row_col(table, meta).withColumn("tile", tile_of(F.col("row"), F.col("col"), meta, size)).drop("row", "col")
             .withColumn("bucket", source_bucket(F.col("source"), solved.groups)))
 
 
@@ -109,7 +119,7 @@ def path_counts(solved: CostTrees, dests: DataFrame, source_weights: DataFrame |
     entries = _in_tiles(solved, entries)
     counted = (entries.repartition(slots, "tile", "bucket").groupBy("tile", "bucket")
                .cogroup(trees.repartition(slots, "tile", "bucket").groupBy("tile", "bucket"))
-               .applyInPandas(_count_cells(solved.stencil, per_source), "source long, cell_id long, n long"))
+               .applyInArrow(_count_cells(solved.stencil, per_source), from_arrow_schema(COUNT_SCHEMA)))
     return counted if per_source else counted.select("cell_id", "n")
 
 
@@ -133,21 +143,15 @@ def density_summary(counts: DataFrame, meta: GridMeta) -> DataFrame:
 def _piece_cells(stencil: Stencil):
     def run(key, pieces, trees):
         if not len(pieces) or not len(trees):
-            return pd.DataFrame()
-        frame = Frame(key[0], stencil)
-        sources = trees["source"].to_numpy()
-        moves = np.full((len(sources), frame.length), -1, np.int8)
-        moves[:, frame.core] = np.stack(trees["moves"].to_numpy())
-        order = np.argsort(sources)
-        row = order[np.searchsorted(sources[order], pieces["source"].to_numpy())]
-        starts = row * frame.length + frame.positions(pieces["cell_id"].to_numpy())
-        parts = list(visits(starts, moves.reshape(-1), frame))
+            return PIECE_SCHEMA.empty_table()
+        frame, _, moves, starts = _load_trees(key, pieces, trees, stencil)
+        parts = list(visits(starts, moves, frame))
         who = np.concatenate([w for w, _, _ in parts])
         back = np.concatenate([np.full(len(w), s) for w, s, _ in parts])
-        step = (pieces["last"] - pieces["back"]).to_numpy()[who] - back
         at = np.concatenate([a for _, _, a in parts]) % frame.length
-        return pd.DataFrame({"source": pieces["source"].to_numpy()[who], "dest_cell": pieces["dest_cell"].to_numpy()[who],
-                             "step": step, "cell_id": frame.cells(at)})
+        step = (column(pieces, "last") - column(pieces, "back"))[who] - back
+        return pa.table({"source": column(pieces, "source")[who], "dest_cell": column(pieces, "dest_cell")[who],
+                         "step": step, "cell_id": frame.cells(at)})
     return run
 
 
@@ -171,7 +175,7 @@ def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
     slots = task_slots(pieces.sparkSession)
     lengths = (pieces.join(hop_table, ["source", "cell_id"]).where(F.col("next_cell") < 0)
                .select("source", "dest_cell", (F.col("back") + F.col("steps")).alias("last")))
-    placed = _in_tiles(solved, pieces.join(lengths, ["source", "dest_cell"]))
+    placed = scratch.save(_in_tiles(solved, pieces.join(lengths, ["source", "dest_cell"])), "placed")
     share = placed.groupBy("tile", "bucket").agg(F.ceil(F.count("*") / PIECES_PER_GROUP).alias("salts"))
     placed = (placed.join(share, ["tile", "bucket"])
               .withColumn("salt", F.pmod(F.xxhash64("dest_cell"), F.col("salts")).cast("int")).drop("salts"))
@@ -180,7 +184,7 @@ def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
     keys = ["tile", "bucket", "salt"]
     return (placed.repartition(slots, *keys).groupBy(*keys)
             .cogroup(trees.repartition(slots, *keys).groupBy(*keys))
-            .applyInPandas(_piece_cells(solved.stencil), "source long, dest_cell long, step long, cell_id long"))
+            .applyInArrow(_piece_cells(solved.stencil), from_arrow_schema(PIECE_SCHEMA)))
 
 
 def number_paths(reach: DataFrame, scratch: Scratch) -> DataFrame:
