@@ -22,8 +22,10 @@ from wayfield.schema import JobOptions
 from wayfield.sources import cells as C, features as V
 from wayfield.sources.scratch import Scratch
 
-# Small enough that the grid of the test data has several tiles and halos are exchanged.
-TILE = 32
+# The tile size of the jobs, and one small enough that the grid of the test data has several tiles
+# and halos are exchanged.
+TILE = JobOptions().tile_size
+SMALL_TILE = 32
 
 
 class Inputs:
@@ -287,7 +289,7 @@ def _slope_sql(value: str) -> str:
 
 @query("slope_degrees", _slope_sql("degrees(atan({}))"))
 def _(q):
-    return R.slope(q.cells, q.meta, "degrees", TILE).select("cell_id", _r("value"))
+    return R.slope(q.cells, q.meta, "degrees", SMALL_TILE).select("cell_id", _r("value"))
 
 
 @query("slope_percent", _slope_sql("{} * 100"))
@@ -300,7 +302,7 @@ _PAIRS = "from cells a cross join (select * from steps where k = {k}) o join cel
 
 @query("neighbour_pairs", f"select a.cell_id as src, b.cell_id as dst, dr, dc, round(dh, 6) as dh, round(b.z - a.z, 6) as dz {_PAIRS.format(k=32)}")
 def _(q):
-    return N.neighbour_pairs(q.cells, 32, q.meta, TILE).select(
+    return N.neighbour_pairs(q.cells, 32, q.meta, SMALL_TILE).select(
         "src", "dst", "dr", "dc", _r("dh"), F.round(F.col("z_to") - F.col("z_from"), 6).alias("dz"))
 
 
@@ -316,7 +318,7 @@ def _(q):
 
 @query("edges_modified", "select src, dst, round(w, 9) as w from edge_sm")
 def _(q):
-    return N.edges(q.cells, 16, q.meta, q.mult, tile_size=TILE).select("src", "dst", _r("w", 9))
+    return N.edges(q.cells, 16, q.meta, q.mult, tile_size=SMALL_TILE).select("src", "dst", _r("w", 9))
 
 
 @query("tobler_caps", f"select a.cell_id as src, b.cell_id as dst, "
@@ -409,7 +411,7 @@ def _(q):
 
 @query("cost_distance", "select s as source, v as cell_id, round(dist, 6) as d from dist_p")
 def _(q):
-    return D.cost_distance(q.cells, q.samples, q.stencil("exponent")).select("source", "cell_id", _r("d"))
+    return D.cost_distance(q.cells, q.samples, q.stencil("exponent", SMALL_TILE)).select("source", "cell_id", _r("d"))
 
 
 @query("cost_distance_modified", "select s as source, v as cell_id, round(dist, 6) as d from dist_pm")
@@ -426,7 +428,7 @@ def _(q):
 
 @query("predecessors", "select s as source, v as cell_id, p as pred from pred_p")
 def _(q):
-    solved = D.cost_trees(q.cells, q.samples, q.stencil("exponent"))
+    solved = D.cost_trees(q.cells, q.samples, q.stencil("exponent", SMALL_TILE))
     return D.tree_predecessors(solved)
 
 
@@ -455,7 +457,7 @@ def _(q):
 
 @query("lcpa_paths_modified", "select path_id, cast(step as integer) as step, cell as cell_id from num_om join path_om on dest = cell_id")
 def _(q):
-    return q.lcpa(modified=True)["paths"]
+    return q.lcpa(modified=True, tile_size=SMALL_TILE)["paths"]
 
 
 _HITS = "(select cell, count(*) as n from path_o join dests on dest = cell_id group by 1)"
@@ -504,7 +506,7 @@ def _(q):
 @query("fete_path_counts", "select s as source, cell as cell_id, n from pc_p")
 def _(q):
     samples = Scratch(q.spark, "s").save(q.samples, "s")
-    solved = D.cost_trees(q.cells, samples, q.stencil("exponent"), targets=samples, bounded=True)
+    solved = D.cost_trees(q.cells, samples, q.stencil("exponent", SMALL_TILE), targets=samples, bounded=True)
     return tracing.path_counts(solved, samples)
 
 
@@ -520,7 +522,7 @@ def _(q):
 
 @query("fete_density_modified", "select cells.cell_id, coalesce(n, 0) as n from cells left join dens_pm on cell = cells.cell_id")
 def _(q):
-    return fete(q.cells, q.points, q.meta, q.options(), q.lines, q.raster)["density"]
+    return fete(q.cells, q.points, q.meta, q.options(tile_size=SMALL_TILE), q.lines, q.raster)["density"]
 
 
 @query("density_summary", "select max(n) as max_density, min(n) as min_density, cast(sum(n) // count(*) as bigint) as avg_density, "

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 COLUMN_MATH = SimpleNamespace(
     exp=F.exp,
     abs=F.abs,
-    at_least=lambda c, bound: F.greatest(c, F.lit(bound)),
-    at_most=lambda c, bound: F.least(c, F.lit(bound)),
+    # not greatest/least: those skip nulls, and a missing elevation must stay missing
+    at_least=lambda c, bound: F.when(c < bound, F.lit(bound)).otherwise(c),
+    at_most=lambda c, bound: F.when(c > bound, F.lit(bound)).otherwise(c),
 )
 ARRAY_MATH = SimpleNamespace(exp=np.exp, abs=np.abs, at_least=np.maximum, at_most=np.minimum)
 

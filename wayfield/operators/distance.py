@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from wayfield.functions.geo import cell_col, cell_row
 from wayfield.functions.offsets import offsets, radius
+from wayfield.operators.numbering import numbered
 from wayfield.operators.tile_kernels import Frame, Stencil, exits, predecessors, relax
 from wayfield.operators.tiles import halo_tiles, tile_count, tile_of, with_halo
 from wayfield.schema import GridMeta
@@ -54,7 +55,6 @@ class CostTrees:
     trees: DataFrame
     stencil: Stencil
     scratch: Scratch
-    groups: int
     rounds: int
 
     @property
@@ -71,9 +71,20 @@ def with_row_col(cells: DataFrame, meta: GridMeta) -> DataFrame:
                  .withColumn("col", cell_col(F.col("cell_id"), meta)))
 
 
-def source_bucket(source: Column, groups: int) -> Column:
-    """Group of sources a source is relaxed with; sources next to each other are spread."""
-    return F.pmod(F.xxhash64(source), F.lit(groups)).cast("int")
+def group_sources(sources: DataFrame, stencil: Stencil, scratch: Scratch) -> DataFrame:
+    """Distinct source cells with their tile and the group they are relaxed in.
+
+    Sources are grouped tile by tile, so that a group moves over the grid together and needs the
+    blocks of few tiles at a time; however many sources a tile holds, groups stay the same size.
+    """
+    meta = stencil.meta
+    at = with_row_col(sources.select("cell_id").distinct(), meta)
+    placed = scratch.save(at.select(F.col("cell_id").alias("source"), tile_of(
+        F.col("row"), F.col("col"), meta, stencil.size).alias("tile")), "sources")
+    if placed.count() <= SOURCES_PER_GROUP:
+        return placed.withColumn("bucket", F.lit(0))
+    ranked = numbered(placed, ["tile", "source"], scratch)
+    return ranked.select("source", "tile", F.floor(F.col("rank") / SOURCES_PER_GROUP).cast("int").alias("bucket"))
 
 
 def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
@@ -223,17 +234,13 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
     slots = task_slots(spark)
     if blocks is None:
         blocks = scratch.save(pack_tiles(cells, stencil, mult, targets), "blocks")
-    starts = sources.select("cell_id").distinct()
-    groups = max(1, -(-starts.count() // SOURCES_PER_GROUP))
     target_tiles = 0
     if bounded and targets is not None:
         target_tiles = blocks.where(F.length("targets") > 0).count()
 
-    at = with_row_col(starts, meta)
-    ring = scratch.save(at.select(
-        F.col("cell_id").alias("source"), tile_of(F.col("row"), F.col("col"), meta, size).alias("tile"),
-        source_bucket(F.col("cell_id"), groups).alias("bucket"), "cell_id",
-        F.lit(0.0).alias("d"), F.lit(True).alias("live")), "ring")
+    ring = scratch.save(group_sources(sources, stencil, scratch).select(
+        "source", "tile", "bucket", F.col("source").alias("cell_id"), F.lit(0.0).alias("d"),
+        F.lit(True).alias("live")), "ring")
 
     rounds = 0
     live = tile_count(meta, size) > 1
@@ -261,7 +268,7 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
 
     known = ring.where(F.col("cell_id") >= 0).select("source", "tile", "bucket", "cell_id", "d")
     trees = scratch.save(_per_group(known, blocks, slots, _tree_rows(stencil, keep_dist), TREE_SCHEMA), "trees")
-    return CostTrees(trees, stencil, scratch, groups, rounds)
+    return CostTrees(trees, stencil, scratch, rounds)
 
 
 def _spread(solved: CostTrees, column: str) -> DataFrame:
@@ -292,10 +299,15 @@ def tree_predecessors(solved: CostTrees) -> DataFrame:
             .select("source", "cell_id", (F.col("cell_id") - F.get(jump, F.col("value").cast("int"))).alias("pred")))
 
 
+def goals(solved: CostTrees) -> DataFrame:
+    """``source, bucket, cell_id, d`` of the targets each source reaches."""
+    return solved.trees.select("source", "bucket", F.inline(F.arrays_zip("goal_cell", "goal_d"))).select(
+        "source", "bucket", F.col("goal_cell").alias("cell_id"), F.col("goal_d").alias("d"))
+
+
 def target_costs(solved: CostTrees) -> DataFrame:
     """``source, cell_id, d`` of the targets each source reaches."""
-    return solved.trees.select("source", F.inline(F.arrays_zip("goal_cell", "goal_d"))).select(
-        "source", F.col("goal_cell").alias("cell_id"), F.col("goal_d").alias("d"))
+    return goals(solved).select("source", "cell_id", "d")
 
 
 def hops(solved: CostTrees) -> DataFrame:

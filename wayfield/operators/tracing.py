@@ -9,12 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, Window
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from wayfield.functions.geo import cell_col, cell_row, cell_to_world
-from wayfield.operators.distance import CostTrees, with_row_col, column, hops, source_bucket, target_costs
+from wayfield.operators.distance import CostTrees, column, goals, hops, with_row_col
+from wayfield.operators.numbering import numbered
 from wayfield.operators.terrain import dilate
 from wayfield.operators.tile_kernels import Frame, Stencil, visits
 from wayfield.operators.tiles import tile_of
@@ -44,15 +45,16 @@ def _rounds(step, first: DataFrame, scratch: Scratch, name: str) -> DataFrame:
 
 
 def flow(hop_table: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:
-    """Paths passing through each cell where paths start or enter a tile: ``source, cell_id, n``.
+    """Paths passing through each cell where paths start or enter a tile.
 
-    ``tokens`` are the path starts. Tokens that meet in a cell are summed before they move on.
+    ``tokens`` (``source, bucket, cell_id, n``) are the path starts. Tokens that meet in a cell are summed before they move on.
     """
     def onward(now: DataFrame) -> DataFrame:
         return (now.join(hop_table, ["source", "cell_id"]).where(F.col("next_cell") >= 0)
-                   .groupBy("source", F.col("next_cell").alias("cell_id")).agg(F.sum("n").alias("n")))
+                   .groupBy("source", "bucket", F.col("next_cell").alias("cell_id")).agg(F.sum("n").alias("n")))
 
-    return _rounds(onward, tokens, scratch, "tokens").groupBy("source", "cell_id").agg(F.sum("n").alias("n"))
+    entries = _rounds(onward, tokens, scratch, "tokens")
+    return entries.groupBy("source", "bucket", "cell_id").agg(F.sum("n").alias("n"))
 
 
 def path_starts(solved: CostTrees, dests: DataFrame) -> DataFrame:
@@ -60,8 +62,9 @@ def path_starts(solved: CostTrees, dests: DataFrame) -> DataFrame:
 
     A source's own cell starts no path.
     """
-    return (target_costs(solved).where(F.col("cell_id") != F.col("source"))
-            .join(dests.select("cell_id", "m"), "cell_id").select("source", "cell_id", F.col("m").alias("n")))
+    return (goals(solved).where(F.col("cell_id") != F.col("source"))
+            .join(dests.select("cell_id", "m"), "cell_id")
+            .select("source", "bucket", "cell_id", F.col("m").alias("n")))
 
 
 def _load_trees(key, starts, trees, stencil):
@@ -94,10 +97,10 @@ def _count_cells(stencil: Stencil, per_source: bool):
 
 
 def _in_tiles(solved: CostTrees, table: DataFrame) -> DataFrame:
-    """Add the tile of each row's cell and the bucket of its source."""
+    """Add the tile of each row's cell."""
     meta, size = solved.meta, solved.stencil.size
-    return (with_row_col(table, meta).withColumn("tile", tile_of(F.col("row"), F.col("col"), meta, size)).drop("row", "col")
-            .withColumn("bucket", source_bucket(F.col("source"), solved.groups)))
+    return (with_row_col(table, meta)
+            .withColumn("tile", tile_of(F.col("row"), F.col("col"), meta, size)).drop("row", "col"))
 
 
 def path_counts(solved: CostTrees, dests: DataFrame, source_weights: DataFrame | None = None,
@@ -113,7 +116,8 @@ def path_counts(solved: CostTrees, dests: DataFrame, source_weights: DataFrame |
         solved.scratch.save(hops(solved), "hops"), starts, solved.scratch)
     if source_weights is not None:
         weights = source_weights.select(F.col("cell_id").alias("source"), F.col("m").alias("_w"))
-        entries = entries.join(weights, "source").select("source", "cell_id", (F.col("n") * F.col("_w")).alias("n"))
+        entries = entries.join(weights, "source").select(
+            "source", "bucket", "cell_id", (F.col("n") * F.col("_w")).alias("n"))
     slots = task_slots(entries.sparkSession)
     trees = solved.trees.select("source", "tile", "bucket", "moves")
     entries = _in_tiles(solved, entries)
@@ -163,12 +167,12 @@ def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
     """
     scratch = solved.scratch
     hop_table = scratch.save(hops(solved), "hops")
-    first = (target_costs(solved).join(dest_cells.select("cell_id"), "cell_id", "left_semi")
-             .select("source", F.col("cell_id").alias("dest_cell"), "cell_id", F.lit(0).cast("bigint").alias("back")))
+    first = (goals(solved).join(dest_cells.select("cell_id"), "cell_id", "left_semi")
+             .select("source", "bucket", F.col("cell_id").alias("dest_cell"), "cell_id", F.lit(0).cast("bigint").alias("back")))
 
     def onward(now: DataFrame) -> DataFrame:
         return (now.join(hop_table, ["source", "cell_id"]).where(F.col("next_cell") >= 0)
-                   .select("source", "dest_cell", F.col("next_cell").alias("cell_id"),
+                   .select("source", "bucket", "dest_cell", F.col("next_cell").alias("cell_id"),
                            (F.col("back") + F.col("steps")).alias("back")))
 
     pieces = scratch.save(first, "pieces") if solved.single_tile else _rounds(onward, first, scratch, "pieces")
@@ -188,24 +192,9 @@ def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
 
 
 def number_paths(reach: DataFrame, scratch: Scratch) -> DataFrame:
-    """Give the reachable destinations path numbers 0, 1, ... by ``dest_id``.
-
-    Destinations are range-partitioned by id and numbered inside each partition; only the
-    partition sizes are summed up globally.
-    """
-    spark = reach.sparkSession
-    slots = task_slots(spark)
-    ranged = scratch.save(
-        reach.where("reachable").select("dest_id", "cell_id", "d").repartitionByRange(slots, "dest_id")
-             .sortWithinPartitions("dest_id")
-             .withColumn("part", F.spark_partition_id())
-             .withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "dests")
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("size"))
-    # One row per partition, so this window and the broadcast stay as small as the partition count.
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select("part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("before"))
-    return ranged.join(F.broadcast(before), "part").select(
-        (F.col("before") + F.col("at")).cast("int").alias("path_id"), "dest_id", "cell_id", "d")
+    """Give the reachable destinations path numbers 0, 1, ... by ``dest_id``."""
+    known = reach.where("reachable").select("dest_id", "cell_id", "d")
+    return numbered(known, ["dest_id"], scratch, "path_id").withColumn("path_id", F.col("path_id").cast("int"))
 
 
 def path_raster(cell_counts: DataFrame, meta: GridMeta, b: int) -> DataFrame:

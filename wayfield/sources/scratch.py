@@ -62,4 +62,4 @@ class Scratch:
 def task_slots(spark: SparkSession) -> int:
     """Partitions for steps that do much work per row, so that AQE does not fold them into few."""
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(shuffle, 2 * spark.sparkContext.defaultParallelism)
+    return max(shuffle, 3 * spark.sparkContext.defaultParallelism)
