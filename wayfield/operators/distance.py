@@ -12,6 +12,7 @@ cell.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,15 @@ from wayfield.sources.scratch import Scratch, task_slots
 SOURCES_PER_GROUP = 32
 # Ring row that holds a tile's worst target cost once all its targets are reached.
 TARGETS_DONE = -1
+# Ring row that stands for a (source, tile) whose costs are final.
+SETTLED = -2
+# Rounds after which final parts of the ring leave the loop.
+SETTLE_EVERY = 8
 
+RING = ("source", "tile", "bucket", "cell_id", "d")
 LONGS = pa.list_(pa.int64())
-BLOCK_SCHEMA = pa.schema([("tile", pa.int64()), ("z", pa.binary()), ("m", pa.binary()), ("targets", pa.binary())])
+BLOCK_SCHEMA = pa.schema([("tile", pa.int64()), ("z", pa.binary()), ("m", pa.binary()), ("targets", pa.binary()),
+                          ("halo", pa.int64())])
 BORDER_SCHEMA = pa.schema([("source", pa.int64()), ("tile", pa.int64()), ("bucket", pa.int32()),
                            ("cell_id", pa.int64()), ("d", pa.float64())])
 TREE_SCHEMA = pa.schema([
@@ -89,7 +96,8 @@ def group_sources(sources: DataFrame, stencil: Stencil, scratch: Scratch) -> Dat
 
 def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
                targets: DataFrame | None = None) -> DataFrame:
-    """One row per tile: elevations and multipliers of its padded extent, positions of targets.
+    """One row per tile: elevations and multipliers of its padded extent, positions of targets,
+    and how many halo cells have an elevation.
 
     The inputs are stacked and not joined, so all of them are shuffled once, by tile.
     """
@@ -113,11 +121,12 @@ def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None
             known = ~np.isnan(values)
             layer = np.full(frame.length, empty)
             layer[at[known]] = values[known]
-            layers.append(layer.tobytes())
+            layers.append(layer)
         goal = np.unique(at[column(rows, "t").astype(bool)])
         goal = goal[frame.in_core[goal]].astype(np.int64)
-        return pa.table([key[:1], [layers[0]], [layers[1] if has_mult else None], [goal.tobytes()]],
-                        schema=BLOCK_SCHEMA)
+        halo = np.count_nonzero(~np.isnan(layers[0][~frame.in_core]))
+        return pa.table([key[:1], [layers[0].tobytes()], [layers[1].tobytes() if has_mult else None],
+                         [goal.tobytes()], [halo]], schema=BLOCK_SCHEMA)
 
     local = with_halo(rows, meta, stencil.size, radius(stencil.k))
     slots = min(task_slots(cells.sparkSession), tile_count(meta, stencil.size))
@@ -240,37 +249,75 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
 
     ring = scratch.save(group_sources(sources, stencil, scratch).select(
         "source", "tile", "bucket", F.col("source").alias("cell_id"), F.lit(0.0).alias("d"),
-        F.lit(True).alias("live")), "ring")
+        F.lit(True).alias("fresh"), F.lit(True).alias("live")), "ring")
+    final: list[DataFrame] = []
 
     rounds = 0
     live = tile_count(meta, size) > 1
     while live:
         rounds += 1
-        border = _per_group(ring.where("live").drop("live"), blocks, slots, _border_costs(stencil), BORDER_SCHEMA)
-        known = ring.select("source", "tile", "bucket", "cell_id", "d", F.col("d").alias("old"))
-        news = _to_rings(border, stencil).withColumn("old", F.lit(None).cast("double"))
-        merged = (known.unionByName(news).repartition(slots, "tile", "bucket")
-                       .groupBy("tile", "bucket", "source", "cell_id")
-                       .agg(F.min("d").alias("d"), F.min("old").alias("old")))
-        useful = F.lit(True)
-        if target_tiles:
-            merged = merged.join(_bounds(ring, target_tiles), "source", "left")
-            useful = F.coalesce(F.col("d") < F.col("bound"), F.lit(True))
-            merged = merged.where(useful | F.col("old").isNotNull() | (F.col("cell_id") == TARGETS_DONE))
-        fresh = (F.col("cell_id") >= 0) & useful & (F.col("old").isNull() | (F.col("d") < F.col("old")))
-        merged = merged.withColumn("live", F.max(fresh).over(Window.partitionBy("tile", "bucket", "source")))
-        merged = merged.select("source", "tile", "bucket", "cell_id", "d",
-                               (F.col("live") & (F.col("cell_id") >= 0)).alias("live"))
+        border = _per_group(ring.where("live").drop("live", "fresh"), blocks, slots,
+                            _border_costs(stencil), BORDER_SCHEMA)
+        merged = _merge(ring, _to_rings(border, stencil), slots, _bounds(ring, target_tiles) if target_tiles else None)
         seen = Observation()
         older, ring = ring, scratch.save(merged.observe(seen, F.count_if("live").alias("live")), "ring")
         scratch.drop(older)
         live = seen.get["live"] > 0
-
-    known = ring.where(F.col("cell_id") >= 0).select("source", "tile", "bucket", "cell_id", "d")
+        if live and rounds % SETTLE_EVERY == 0:
+            split = scratch.save(_settle(ring, blocks, stencil), "split", "settled")
+            final.append(split.where("settled and cell_id >= 0").select(*RING))
+            ends = split.where("settled and cell_id >= 0").select("source", "tile", "bucket").distinct()
+            older, ring = ring, scratch.save(
+                split.where("not settled or cell_id < 0").drop("settled").unionByName(ends.select(
+                    "*", F.lit(SETTLED).cast("bigint").alias("cell_id"), F.lit(0.0).alias("d"),
+                    F.lit(False).alias("fresh"), F.lit(False).alias("live"))), "ring")
+            scratch.drop(older)
+
+    known = reduce(DataFrame.unionByName, final, ring.where("cell_id >= 0").select(*RING))
     trees = scratch.save(_per_group(known, blocks, slots, _tree_rows(stencil, keep_dist), TREE_SCHEMA), "trees")
     return CostTrees(trees, stencil, scratch, rounds)
 
 
+def _merge(ring: DataFrame, news: DataFrame, slots: int, bounds: DataFrame | None) -> DataFrame:
+    """Ring with the news worked in, telling which rows improved and whose tiles must be relaxed."""
+    known = ring.select(*RING, F.col("d").alias("old"))
+    merged = (known.unionByName(news.withColumn("old", F.lit(None).cast("double")))
+                   .repartition(slots, "tile", "bucket").groupBy("tile", "bucket", "source", "cell_id")
+                   .agg(F.min("d").alias("d"), F.min("old").alias("old")))
+    pair = Window.partitionBy("tile", "bucket", "source")
+    over = F.max(F.col("cell_id") == SETTLED).over(pair)
+    merged = merged.withColumn("over", over).where(~F.col("over") | (F.col("cell_id") < 0))
+    useful = F.lit(True)
+    if bounds is not None:
+        merged = merged.join(bounds, "source", "left")
+        useful = F.coalesce(F.col("d") < F.col("bound"), F.lit(True))
+        merged = merged.where(useful | F.col("old").isNotNull() | (F.col("cell_id") == TARGETS_DONE))
+    fresh = (F.col("cell_id") >= 0) & useful & (F.col("old").isNull() | (F.col("d") < F.col("old")))
+    merged = merged.withColumn("fresh", fresh)
+    live = F.max("fresh").over(pair) & (F.col("cell_id") >= 0)
+    return merged.select(*RING, "fresh", live.alias("live"))
+
+
+def _settle(ring: DataFrame, blocks: DataFrame, stencil: Stencil) -> DataFrame:
+    """Ring with column ``settled``: true for every row of a (source, tile) that cannot change.
+
+    Whatever still moves for a source costs at least the least cost among its fresh rows. A tile
+    whose whole halo is known at no more than that is final. This keeps the ring that goes through
+    every round to the moving front.
+    """
+    meta = stencil.meta
+    front = ring.where("fresh").groupBy("source").agg(F.min("d").alias("front"))
+    halos = blocks.select("tile", "halo")
+    pair = Window.partitionBy("tile", "bucket", "source")
+    own = tile_of(cell_row(F.col("cell_id"), meta), cell_col(F.col("cell_id"), meta), meta, stencil.size)
+    in_halo = (F.col("cell_id") >= 0) & (own != F.col("tile"))
+    worst = F.max(F.when(F.col("cell_id") >= 0, F.col("d"))).over(pair)
+    settled = (~F.max("live").over(pair) & (F.count_if(in_halo).over(pair) == F.col("halo"))
+               & F.coalesce(worst <= F.col("front"), F.lit(True)))
+    return (ring.join(halos, "tile", "left").join(front, "source", "left")
+                .select(*RING, "fresh", "live", F.coalesce(settled, F.lit(False)).alias("settled")))
+
+
 def _spread(solved: CostTrees, column: str) -> DataFrame:
     """One row per cell from a per-tile array: ``source, cell_id, value`` and the tile's width."""
     meta, size = solved.meta, solved.stencil.size

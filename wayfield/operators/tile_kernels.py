@@ -24,8 +24,8 @@ class Stencil:
     """What a task needs to know about the grid and its moves."""
 
     meta: GridMeta
-    k: int
-    size: int
+    k: int = 16
+    size: int = 256
     cap: str = "speed"
     cost: str = "tobler"
 

@@ -119,7 +119,8 @@ def path_counts(solved: CostTrees, dests: DataFrame, source_weights: DataFrame |
         entries = entries.join(weights, "source").select(
             "source", "bucket", "cell_id", (F.col("n") * F.col("_w")).alias("n"))
     slots = task_slots(entries.sparkSession)
-    trees = solved.trees.select("source", "tile", "bucket", "moves")
+    # Fresh column ids: without tile changes the entries come straight from the same scan.
+    trees = solved.trees.select([F.col(c).alias(c) for c in ("source", "tile", "bucket", "moves")])
     entries = _in_tiles(solved, entries)
     counted = (entries.repartition(slots, "tile", "bucket").groupBy("tile", "bucket")
                .cogroup(trees.repartition(slots, "tile", "bucket").groupBy("tile", "bucket"))

@@ -35,11 +35,11 @@ class Scratch:
         self.path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._written = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` once and return it as a plain scan."""
         self._written += 1
         path = f"{self.path}/{self._written:04d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=partition_by)
         table = self.spark.read.schema(df.schema).parquet(path)
         table._wayfield_path = path
         return table
