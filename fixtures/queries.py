@@ -428,7 +428,7 @@ def _(q):
 
 @query("predecessors", "select s as source, v as cell_id, p as pred from pred_p")
 def _(q):
-    solved = D.cost_trees(q.cells, q.samples, q.stencil("exponent", SMALL_TILE))
+    solved = D.cost_trees(q.cells, q.samples, q.stencil("exponent", SMALL_TILE), keep_cells=True)
     return D.tree_predecessors(solved)
 
 

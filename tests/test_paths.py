@@ -38,13 +38,13 @@ def as_dict(df, *key, value):
     return {tuple(r[k] for k in key): r[value] for r in df.collect()}
 
 
-@pytest.mark.parametrize("k, size, cap, settle", [
-    (8, 8, "speed", 1), (16, 6, "exponent", 2), (32, 9, "speed", 100), (64, 100, "exponent", 1)])
-def test_distances_and_predecessors_match_brute_force(spark, k, size, cap, settle, monkeypatch):
-    """With finished tiles leaving the loop after every round, sometimes or never."""
+@pytest.mark.parametrize("k, size, cap, settle, lap", [
+    (8, 8, "speed", 1, 0), (16, 6, "exponent", 2, 4), (32, 9, "speed", 100, 2), (64, 100, "exponent", 1, 9)])
+def test_distances_and_predecessors_match_brute_force(spark, k, size, cap, settle, lap, monkeypatch):
+    """Overlapping or not, with finished tiles leaving the loop after every round, sometimes or never."""
     monkeypatch.setattr(D, "SETTLE_EVERY", settle)
     cells, meta, mult, graph, sources = setup(spark, k, k, cap)
-    solved = D.cost_trees(cells, ids(spark, sources), Stencil(meta, k, size, cap), mult, keep_dist=True)
+    solved = D.cost_trees(cells, ids(spark, sources), Stencil(meta, k, size, cap, lap=lap), mult, keep_cells=True)
     got = as_dict(D.distances(solved), "source", "cell_id", value="d")
     pred = as_dict(D.tree_predecessors(solved), "source", "cell_id", value="pred")
     for s in sources:
@@ -81,7 +81,7 @@ def test_bounded_search_changes_nothing_at_targets(spark, size, monkeypatch):
     cells, meta, mult, graph, sources = setup(spark, 7, n=2)
     best = {s: brute.distances(graph, s) for s in sources}
     near = sorted(best[sources[0]], key=best[sources[0]].get)[3:9]
-    stencil = Stencil(meta, 16, size)
+    stencil = Stencil(meta, 16, size, lap=1)
     solved = D.cost_trees(cells, ids(spark, sources), stencil, mult, ids(spark, near), bounded=True)
     got = as_dict(D.target_costs(solved), "source", "cell_id", value="d")
     assert got.keys() == {(s, t) for s in sources for t in near}
@@ -108,7 +108,7 @@ def test_path_counts_and_density_match_traced_paths(spark, size):
     cells, meta, mult, graph, sources = setup(spark, 11, cap="exponent")
     m = {s: i % 3 + 1 for i, s in enumerate(sources)}
     table = Scratch(spark, "t").save(weights(spark, m), "m")
-    solved = D.cost_trees(cells, table, Stencil(meta, 16, size, "exponent"), mult, table, bounded=True)
+    solved = D.cost_trees(cells, table, Stencil(meta, 16, size, "exponent", lap=3), mult, table, bounded=True)
     want = {}
     for s in sources:
         pred = brute.predecessors(graph, brute.distances(graph, s))
@@ -134,7 +134,7 @@ def test_traced_paths(spark, size, pieces, monkeypatch):
     monkeypatch.setattr(tracing, "PIECES_PER_GROUP", pieces)
     cells, meta, mult, graph, sources = setup(spark, 13, n=9)
     origin, dests = sources[0], sources
-    solved = D.cost_trees(cells, ids(spark, [origin]), Stencil(meta, 16, size), mult, ids(spark, dests))
+    solved = D.cost_trees(cells, ids(spark, [origin]), Stencil(meta, 16, size, lap=2), mult, ids(spark, dests))
     steps = {}
     for r in tracing.trace_paths(solved, ids(spark, dests)).collect():
         steps.setdefault(r.dest_cell, {})[r.step] = r.cell_id

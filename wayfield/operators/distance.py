@@ -1,12 +1,12 @@
 """Least cumulative cost from many sources over the grid.
 
-The grid is cut into tiles. What tiles know about each other is a small relation, the *ring*: for
-each (source, tile) the best cost of the halo cells around the tile. A round relaxes, inside each
-(tile, group of sources) whose ring improved, all cells of the tile, and sends the costs of its
-border cells to the rings of the tiles around; Spark merges them by minimum. Rounds follow the
-number of tiles a path crosses, not the number of cells, and the state of a round is a few percent
-of the cells. Once no ring improves, one pass derives the distances and predecessors of every
-cell.
+The grid is cut into tiles, each working on an area that laps over its neighbours. What tiles know
+about each other is a small relation, the *ring*: for each (source, tile) the best cost of the
+cells just outside the tile's area. A round relaxes, inside each (tile, group of sources) whose
+ring improved, all cells of the area, and sends the costs of the tile's own cells to the rings
+that hold them; Spark merges them by minimum. Rounds follow the number of areas a path leaves, not
+the number of cells, and the state of a round is a few percent of the cells. Once no ring
+improves, one pass derives the predecessors of every cell.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
 from wayfield.functions.geo import cell_col, cell_row
-from wayfield.functions.offsets import offsets, radius
+from wayfield.functions.offsets import offsets
 from wayfield.operators.numbering import numbered
 from wayfield.operators.tile_kernels import Frame, Stencil, exits, predecessors, relax
 from wayfield.operators.tiles import halo_tiles, tile_count, tile_of, with_halo
@@ -45,7 +45,7 @@ BORDER_SCHEMA = pa.schema([("source", pa.int64()), ("tile", pa.int64()), ("bucke
                            ("cell_id", pa.int64()), ("d", pa.float64())])
 TREE_SCHEMA = pa.schema([
     ("source", pa.int64()), ("tile", pa.int64()), ("bucket", pa.int32()),
-    ("moves", pa.list_(pa.int8())), ("d", pa.list_(pa.float64())),
+    ("moves", pa.list_(pa.int8())), ("own_moves", pa.list_(pa.int8())), ("d", pa.list_(pa.float64())),
     ("hop_cell", LONGS), ("hop_next", LONGS), ("hop_steps", LONGS),
     ("goal_cell", LONGS), ("goal_d", pa.list_(pa.float64()))])
 
@@ -54,9 +54,10 @@ TREE_SCHEMA = pa.schema([
 class CostTrees:
     """Least-cost trees of a set of sources, one row per (source, tile).
 
-    ``moves`` holds the predecessor move of each cell of the tile; the ``hop`` columns say for
-    border and target cells where their path leaves the tile and after how many steps; the
-    ``goal`` columns hold the costs of the targets.
+    ``moves`` holds the predecessor move of each cell of the tile's area; the ``hop`` columns say
+    for border and target cells where their path leaves the area and after how many steps; the
+    ``goal`` columns hold the costs of the targets. ``own_moves`` and ``d`` cover the tile's own
+    cells and are null unless asked for.
     """
 
     trees: DataFrame
@@ -123,12 +124,12 @@ def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None
             layer[at[known]] = values[known]
             layers.append(layer)
         goal = np.unique(at[column(rows, "t").astype(bool)])
-        goal = goal[frame.in_core[goal]].astype(np.int64)
-        halo = np.count_nonzero(~np.isnan(layers[0][~frame.in_core]))
+        goal = goal[frame.in_own[goal]].astype(np.int64)
+        halo = np.count_nonzero(~np.isnan(layers[0][~frame.in_area]))
         return pa.table([key[:1], [layers[0].tobytes()], [layers[1].tobytes() if has_mult else None],
                          [goal.tobytes()], [halo]], schema=BLOCK_SCHEMA)
 
-    local = with_halo(rows, meta, stencil.size, radius(stencil.k))
+    local = with_halo(rows, meta, stencil.size, stencil.overlap + stencil.reach)
     slots = min(task_slots(cells.sparkSession), tile_count(meta, stencil.size))
     return local.repartition(slots, "tile").groupBy("tile").applyInArrow(pack, from_arrow_schema(BLOCK_SCHEMA))
 
@@ -172,14 +173,14 @@ def _border_costs(stencil: Stencil):
     return run
 
 
-def _tree_rows(stencil: Stencil, keep_dist: bool):
+def _tree_rows(stencil: Stencil, keep_cells: bool):
     def run(key, ring, block):
         if not len(ring):
             return TREE_SCHEMA.empty_table()
         frame, w, goal, sources, d = _load_tile(key, ring, block, stencil)
         n = len(sources)
         moves = np.full(d.shape, -1, np.int8)
-        moves[:, frame.core] = best = predecessors(d, w, frame)
+        moves[:, frame.area] = best = predecessors(d, w, frame)
         wanted = np.union1d(frame.border, goal).astype(np.int64)
         who, at = np.nonzero(np.isfinite(d[:, wanted]))
         left, steps = exits(who * frame.length + wanted[at], moves.reshape(-1), frame)
@@ -190,10 +191,12 @@ def _tree_rows(stencil: Stencil, keep_dist: bool):
             ends = np.searchsorted(owner, np.arange(n + 1)).astype(np.int32)
             return pa.ListArray.from_arrays(ends, pa.array(values))
 
-        cells = len(frame.core)
-        every = np.repeat(np.arange(n), cells)
-        dist = per_source(every, d[:, frame.core].reshape(-1)) if keep_dist else pa.nulls(n, TREE_SCHEMA.field("d").type)
-        columns = [sources, pa.repeat(key[0], n), pa.repeat(key[1], n), per_source(every, best.reshape(-1)), dist,
+        def per_cell(values):
+            return per_source(np.repeat(np.arange(n), values.shape[1]), values.reshape(-1))
+
+        own = [per_cell(x[:, frame.own]) if keep_cells else pa.nulls(n, TREE_SCHEMA.field(name).type)
+               for name, x in (("own_moves", moves), ("d", d))]
+        columns = [sources, pa.repeat(key[0], n), pa.repeat(key[1], n), per_cell(best), *own,
                    per_source(who, frame.cells(wanted[at])), per_source(who, nxt), per_source(who, steps),
                    per_source(hit_who, frame.cells(goal[hit])), per_source(hit_who, d[hit_who, goal[hit]])]
         return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns],
@@ -214,11 +217,12 @@ def _per_group(ring: DataFrame, blocks: DataFrame, slots: int, run, schema: pa.S
 
 
 def _to_rings(border: DataFrame, stencil: Stencil) -> DataFrame:
-    """Send each border cell to the other tiles whose halo holds it; marks stay with their tile."""
+    """Send each border cell to the tiles whose ring holds it; marks stay with their tile."""
     meta = stencil.meta
     row, col = cell_row(F.col("cell_id"), meta), cell_col(F.col("cell_id"), meta)
-    others = F.array_except(halo_tiles(row, col, meta, stencil.size, radius(stencil.k)), F.array("tile"))
-    to = F.when(F.col("cell_id") == TARGETS_DONE, F.array("tile")).otherwise(others)
+    rings = F.array_except(halo_tiles(row, col, meta, stencil.size, stencil.overlap + stencil.reach),
+                           halo_tiles(row, col, meta, stencil.size, stencil.overlap))
+    to = F.when(F.col("cell_id") == TARGETS_DONE, F.array("tile")).otherwise(rings)
     return border.select("source", F.explode(to).alias("tile"), "bucket", "cell_id", "d")
 
 
@@ -230,7 +234,7 @@ def _bounds(ring: DataFrame, target_tiles: int) -> DataFrame:
 
 
 def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
-               targets: DataFrame | None = None, bounded: bool = False, keep_dist: bool = False,
+               targets: DataFrame | None = None, bounded: bool = False, keep_cells: bool = False,
                blocks: DataFrame | None = None) -> CostTrees:
     """Solve least cost from every cell in ``sources`` (``cell_id``) over the grid.
 
@@ -247,8 +251,9 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
     if bounded and targets is not None:
         target_tiles = blocks.where(F.length("targets") > 0).count()
 
-    ring = scratch.save(group_sources(sources, stencil, scratch).select(
-        "source", "tile", "bucket", F.col("source").alias("cell_id"), F.lit(0.0).alias("d"),
+    starts = with_row_col(group_sources(sources, stencil, scratch).withColumn("cell_id", F.col("source")), meta)
+    ring = scratch.save(with_halo(starts, meta, size, stencil.overlap + stencil.reach).select(
+        "source", "tile", "bucket", "cell_id", F.lit(0.0).alias("d"),
         F.lit(True).alias("fresh"), F.lit(True).alias("live")), "ring")
     final: list[DataFrame] = []
 
@@ -274,7 +279,7 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
             scratch.drop(older)
 
     known = reduce(DataFrame.unionByName, final, ring.where("cell_id >= 0").select(*RING))
-    trees = scratch.save(_per_group(known, blocks, slots, _tree_rows(stencil, keep_dist), TREE_SCHEMA), "trees")
+    trees = scratch.save(_per_group(known, blocks, slots, _tree_rows(stencil, keep_cells), TREE_SCHEMA), "trees")
     return CostTrees(trees, stencil, scratch, rounds)
 
 
@@ -309,8 +314,9 @@ def _settle(ring: DataFrame, blocks: DataFrame, stencil: Stencil) -> DataFrame:
     front = ring.where("fresh").groupBy("source").agg(F.min("d").alias("front"))
     halos = blocks.select("tile", "halo")
     pair = Window.partitionBy("tile", "bucket", "source")
-    own = tile_of(cell_row(F.col("cell_id"), meta), cell_col(F.col("cell_id"), meta), meta, stencil.size)
-    in_halo = (F.col("cell_id") >= 0) & (own != F.col("tile"))
+    areas = halo_tiles(cell_row(F.col("cell_id"), meta), cell_col(F.col("cell_id"), meta),
+                       meta, stencil.size, stencil.overlap)
+    in_halo = (F.col("cell_id") >= 0) & ~F.array_contains(areas, F.col("tile"))
     worst = F.max(F.when(F.col("cell_id") >= 0, F.col("d"))).over(pair)
     settled = (~F.max("live").over(pair) & (F.count_if(in_halo).over(pair) == F.col("halo"))
                & F.coalesce(worst <= F.col("front"), F.lit(True)))
@@ -333,16 +339,16 @@ def _spread(solved: CostTrees, column: str) -> DataFrame:
 
 
 def distances(solved: CostTrees) -> DataFrame:
-    """``source, cell_id, d`` of every reached cell; the trees must have been kept with distances."""
+    """``source, cell_id, d`` of every reached cell; the trees must have been made with their cells."""
     cells = _spread(solved, "d").where(F.col("value") < float("inf"))
     return cells.select("source", "cell_id", F.col("value").alias("d"))
 
 
 def tree_predecessors(solved: CostTrees) -> DataFrame:
-    """``source, cell_id, pred`` of every reached cell but the sources."""
+    """``source, cell_id, pred`` of every reached cell but the sources; needs the trees' cells."""
     ncols = solved.meta.ncols
     jump = F.array(*[F.lit(dr * ncols + dc).cast("bigint") for dr, dc in offsets(solved.stencil.k)])
-    return (_spread(solved, "moves").where(F.col("value") >= 0)
+    return (_spread(solved, "own_moves").where(F.col("value") >= 0)
             .select("source", "cell_id", (F.col("cell_id") - F.get(jump, F.col("value").cast("int"))).alias("pred")))
 
 
@@ -367,7 +373,7 @@ def hops(solved: CostTrees) -> DataFrame:
 
 def cost_distance(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: DataFrame | None = None) -> DataFrame:
     """Least cost from every source to every cell it reaches."""
-    return distances(cost_trees(cells, sources, stencil, mult, keep_dist=True))
+    return distances(cost_trees(cells, sources, stencil, mult, keep_cells=True))
 
 
 def pairwise_cost(cells: DataFrame, points: DataFrame, stencil: Stencil, mult: DataFrame | None = None) -> DataFrame:

@@ -1,8 +1,10 @@
 """Array arithmetic for one tile, used inside the grouped tasks of the path operators.
 
-A tile is kept as a flat frame: its own cells (the core), a halo ``reach`` wide, and enough spare
-room at both ends that adding any step to any position stays inside. Several sources share one
-array, one frame after another.
+A tile owns a square of cells and works on an *area* that laps over its neighbours by some cells,
+so that paths weaving along an edge stay inside one area. Around the area lies the ring, as wide
+as the stencil reaches. Both are kept as one flat frame with enough spare room at its ends that
+adding any step to any position stays inside. Several sources share one array, one frame after
+another.
 """
 
 from __future__ import annotations
@@ -28,20 +30,33 @@ class Stencil:
     size: int = 256
     cap: str = "speed"
     cost: str = "tobler"
+    lap: int | None = None
+
+    @property
+    def reach(self) -> int:
+        return radius(self.k)
+
+    @property
+    def overlap(self) -> int:
+        """Cells an area laps over the tile's own square; the neighbour must hold lap and ring."""
+        lap = self.size // 16 if self.lap is None else self.lap
+        return max(0, min(lap, self.size - self.reach))
 
 
 class Frame:
     """Positions of one tile."""
 
     def __init__(self, tile: int, stencil: Stencil):
-        meta, size = stencil.meta, stencil.size
+        meta, size, lap = stencil.meta, stencil.size, stencil.overlap
         self.stencil = stencil
-        self.reach = radius(stencil.k)
+        self.reach = stencil.reach
         self.ncols = meta.ncols
         down, across = divmod(int(tile), -(-meta.ncols // size))
-        self.row0, self.col0 = down * size, across * size
-        self.height = min(size, meta.nrows - self.row0)
-        self.width = min(size, meta.ncols - self.col0)
+        own_rows = down * size, min((down + 1) * size, meta.nrows)
+        own_cols = across * size, min((across + 1) * size, meta.ncols)
+        self.row0, self.col0 = max(0, own_rows[0] - lap), max(0, own_cols[0] - lap)
+        self.height = min(meta.nrows, own_rows[1] + lap) - self.row0
+        self.width = min(meta.ncols, own_cols[1] + lap) - self.col0
         self.stride = self.width + 2 * self.reach
         self.lead = self.reach * self.stride + self.reach
         self.length = (self.height + 2 * self.reach) * self.stride + 2 * self.lead
@@ -49,19 +64,24 @@ class Frame:
         self.steps = np.array([dr * self.stride + dc for dr, dc in self.moves])
         self.lengths = [step_length(dr, dc, meta) for dr, dc in self.moves]
         rows, cols = np.divmod(np.arange(self.height * self.width), self.width)
-        self.core = self.at(rows, cols)
-        self.in_core = np.zeros(self.length, bool)
-        self.in_core[self.core] = True
-        edge = np.zeros(len(rows), bool)
-        if self.row0 > 0:
-            edge |= rows < self.reach
-        if self.row0 + self.height < meta.nrows:
-            edge |= rows >= self.height - self.reach
-        if self.col0 > 0:
-            edge |= cols < self.reach
-        if self.col0 + self.width < meta.ncols:
-            edge |= cols >= self.width - self.reach
-        self.border = self.core[edge]
+        self.area = self.at(rows, cols)
+        self.in_area = self._mask(self.area)
+        # The tile's own cells, and those of them that lie in the ring of another tile's area.
+        rows, cols = rows + self.row0, cols + self.col0
+        mine = ((rows >= own_rows[0]) & (rows < own_rows[1]) & (cols >= own_cols[0]) & (cols < own_cols[1]))
+        band = np.zeros(len(rows), bool)
+        for at, (first, end), last in ((rows, own_rows, meta.nrows), (cols, own_cols, meta.ncols)):
+            for depth, open_side in ((at - first, first > 0), (end - 1 - at, end < last)):
+                if open_side:
+                    band |= (depth >= lap) & (depth < lap + self.reach)
+        self.own = self.area[mine]
+        self.in_own = self._mask(self.own)
+        self.border = self.area[mine & band]
+
+    def _mask(self, positions):
+        mask = np.zeros(self.length, bool)
+        mask[positions] = True
+        return mask
 
     def at(self, rows, cols):
         return self.lead + (rows + self.reach) * self.stride + cols + self.reach
@@ -79,19 +99,19 @@ class Frame:
         return layer[self.lead:self.length - self.lead].reshape(-1, self.stride)
 
     def window(self, dr, dc):
-        """Where a padded extent holds the origins of move (dr, dc) into the core."""
+        """Where a padded extent holds the origins of move (dr, dc) into the area."""
         top, left = self.reach - dr, self.reach - dc
         return slice(top, top + self.height), slice(left, left + self.width)
 
     def weights(self, z, m):
-        """Cost of arriving at each core position by each step; infinite where there is no move."""
+        """Cost of arriving at each position of the area by each step; infinite where there is no move."""
         formula = cost_function(self.stencil.cost)
         out = np.full((len(self.steps), self.length), np.inf)
         for i, (step, dh) in enumerate(zip(self.steps, self.lengths)):
-            w = formula(dh, z[self.core] - z[self.core - step], self.stencil.cap, ARRAY_MATH)
+            w = formula(dh, z[self.area] - z[self.area - step], self.stencil.cap, ARRAY_MATH)
             if m is not None:
-                w = w * m[self.core]
-            out[i, self.core] = np.where(np.isnan(w), np.inf, w)
+                w = w * m[self.area]
+            out[i, self.area] = np.where(np.isnan(w), np.inf, w)
         return out
 
 
@@ -120,7 +140,7 @@ def relax(d, w, steps):
 
 
 def predecessors(d, w, frame):
-    """Index of the move that reaches each core cell at least cost, -1 where there is none.
+    """Index of the move that reaches each cell of the area at least cost, -1 where there is none.
 
     Among moves of equal cost (to the tick) the one from the lowest cell wins: moves are stored
     in row-major order, so going through them backwards visits origins in ascending order.
@@ -142,7 +162,7 @@ def predecessors(d, w, frame):
 
 
 def exits(starts, moves, frame):
-    """Follow predecessors from flat ``starts`` until they leave the core or end.
+    """Follow predecessors from flat ``starts`` until they leave the area or end.
 
     ``moves`` is flat (sources x positions). Returns the flat position left to, -1 where the walk
     ends at its source, and the number of steps.
@@ -157,19 +177,19 @@ def exits(starts, moves, frame):
         nxt = at[going] - frame.steps[move[move >= 0]]
         at[going] = nxt
         count[going] += 1
-        inside = frame.in_core[nxt % frame.length]
+        inside = frame.in_area[nxt % frame.length]
         left[going[~inside]] = nxt[~inside]
         going = going[inside]
     return left, count
 
 
 def visits(starts, moves, frame):
-    """Every core position on the walks from ``starts``: (index of the walk, step, position)."""
+    """Every position of the area on the walks from ``starts``: (index of the walk, step, position)."""
     at, who, step = starts, np.arange(len(starts)), 0
     while len(at):
         yield who, step, at
         move = moves[at]
         ok = move >= 0
         at, who = at[ok] - frame.steps[move[ok]], who[ok]
-        inside = frame.in_core[at % frame.length]
+        inside = frame.in_area[at % frame.length]
         at, who, step = at[inside], who[inside], step + 1

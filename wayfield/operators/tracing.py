@@ -72,7 +72,7 @@ def _load_trees(key, starts, trees, stencil):
     frame = Frame(key[0].as_py(), stencil)
     sources = column(trees, "source")
     moves = np.full((len(sources), frame.length), -1, np.int8)
-    moves[:, frame.core] = trees.column("moves").combine_chunks().flatten().to_numpy().reshape(len(sources), -1)
+    moves[:, frame.area] = trees.column("moves").combine_chunks().flatten().to_numpy().reshape(len(sources), -1)
     order = np.argsort(sources)
     row = order[np.searchsorted(sources, column(starts, "source"), sorter=order)]
     return frame, sources, moves.reshape(-1), row * frame.length + frame.positions(column(starts, "cell_id"))
@@ -125,7 +125,10 @@ def path_counts(solved: CostTrees, dests: DataFrame, source_weights: DataFrame |
     counted = (entries.repartition(slots, "tile", "bucket").groupBy("tile", "bucket")
                .cogroup(trees.repartition(slots, "tile", "bucket").groupBy("tile", "bucket"))
                .applyInArrow(_count_cells(solved.stencil, per_source), from_arrow_schema(COUNT_SCHEMA)))
-    return counted if per_source else counted.select("cell_id", "n")
+    if not per_source:
+        return counted.select("cell_id", "n")
+    # Areas lap over each other, so two tiles may count paths on the same cell.
+    return counted.groupBy("source", "cell_id").agg(F.sum("n").alias("n"))
 
 
 def density(counts: DataFrame, source_weights: DataFrame | None = None) -> DataFrame:
