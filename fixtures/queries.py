@@ -294,7 +294,7 @@ def _(q):
 
 @query("slope_percent", _slope_sql("{} * 100"))
 def _(q):
-    return R.slope(q.cells, q.meta, "percent", TILE).select("cell_id", _r("value"))
+    return R.slope(q.cells, q.meta, "percent").select("cell_id", _r("value"))
 
 
 _PAIRS = "from cells a cross join (select * from steps where k = {k}) o join cells b on b.r = a.r + o.dr and b.c = a.c + o.dc"
@@ -308,12 +308,12 @@ def _(q):
 
 @query("neighbour_edges_8", f"select a.cell_id as src, b.cell_id as dst, round({walk_cost('speed')}, 9) as w {_PAIRS.format(k=8)}")
 def _(q):
-    return N.edges(q.cells, 8, q.meta, tile_size=TILE).select("src", "dst", _r("w", 9))
+    return N.edges(q.cells, 8, q.meta).select("src", "dst", _r("w", 9))
 
 
 @query("edges_16", "select src, dst, round(w, 9) as w from edge_x")
 def _(q):
-    return N.edges(q.cells, 16, q.meta, cap="exponent", tile_size=TILE).select("src", "dst", _r("w", 9))
+    return N.edges(q.cells, 16, q.meta, cap="exponent").select("src", "dst", _r("w", 9))
 
 
 @query("edges_modified", "select src, dst, round(w, 9) as w from edge_sm")
@@ -325,7 +325,7 @@ def _(q):
                       f"round(ln({walk_cost('speed', dz='(b.z - a.z) * 40')}), 6) as by_speed, "
                       f"round(ln({walk_cost('exponent', dz='(b.z - a.z) * 40')}), 6) as by_exponent {_PAIRS.format(k=16)}")
 def _(q):
-    pairs = N.neighbour_pairs(q.cells, 16, q.meta, TILE)
+    pairs = N.neighbour_pairs(q.cells, 16, q.meta)
     dz = (F.col("z_to") - F.col("z_from")) * 40
     return pairs.select("src", "dst", F.round(F.ln(tobler(F.col("dh"), dz, "speed")), 6).alias("by_speed"),
                         F.round(F.ln(tobler(F.col("dh"), dz, "exponent")), 6).alias("by_exponent"))
@@ -333,18 +333,18 @@ def _(q):
 
 for _k in NEIGHBOUR_OPTIONS:
     def _degree(q, k=_k):
-        return N.degree_profile(N.edges(q.cells, k, q.meta, tile_size=TILE))
+        return N.degree_profile(N.edges(q.cells, k, q.meta))
     query(f"degree_profile_{_k}", f"select a.cell_id as src, count(*) as degree {_PAIRS.format(k=_k)} group by 1")(_degree)
 
     def _base(q, k=_k):
-        return R.base_cost(q.cells, k, q.meta, tile_size=TILE).select("cell_id", _r("value", 9))
+        return R.base_cost(q.cells, k, q.meta).select("cell_id", _r("value", 9))
     query(f"base_cost_{_k}", f"select a.cell_id, round(avg({walk_cost('speed')}), 9) as value {_PAIRS.format(k=_k)} group by 1")(_base)
 
 
 @query("edge_totals", f"select count(*) as cells, cast(sum(n) as bigint) as edges, min(n) as min_degree, max(n) as max_degree "
                       f"from (select a.cell_id, count(*) as n {_PAIRS.format(k=16)} group by 1)")
 def _(q):
-    return N.edge_totals(N.edges(q.cells, 16, q.meta, tile_size=TILE))
+    return N.edge_totals(N.edges(q.cells, 16, q.meta))
 
 
 # ---- lines and multipliers ---------------------------------------------------------------------
@@ -391,7 +391,7 @@ def _(q):
 
 @query("total_cost", "select cell_id, round(value * m, 9) as value from base16 join mult using (cell_id)")
 def _(q):
-    return R.total_cost(R.base_cost(q.cells, 16, q.meta, tile_size=TILE), q.mult).select("cell_id", _r("value", 9))
+    return R.total_cost(R.base_cost(q.cells, 16, q.meta), q.mult).select("cell_id", _r("value", 9))
 
 
 @query("modifier_stats", "select (select count(*) from lmult where m > 1) as modified_cells, count(*) as total_cells, "
@@ -421,7 +421,7 @@ def _(q):
 
 @query("cost_distance_frontier", "select s as source, v as cell_id, round(dist, 6) as d from dist_o")
 def _(q):
-    edge_table = N.edges(q.cells, 16, q.meta, tile_size=TILE)
+    edge_table = N.edges(q.cells, 16, q.meta)
     source = P.points_to_cells(q.origin, q.meta).select("cell_id")
     return frontier.frontier_distance(edge_table, source).select("source", "cell_id", _r("d"))
 
@@ -437,7 +437,7 @@ def _(q):
     source = P.points_to_cells(q.origin, q.meta).select("cell_id")
     mult = Scratch(q.spark, "m").save(q.mult, "m")
     dist = D.cost_distance(q.cells, source, q.stencil(), mult)
-    return frontier.predecessors(dist, N.edges(q.cells, 16, q.meta, mult, tile_size=TILE))
+    return frontier.predecessors(dist, N.edges(q.cells, 16, q.meta, mult))
 
 
 @query("pairwise_cost", "select d.s as source, v as cell_id, round(dist, 6) as d from dist_p d join samples t on t.s = d.v")

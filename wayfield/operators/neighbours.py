@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wayfield.functions.costs import cost_function
 from wayfield.functions.geo import in_grid
 from wayfield.functions.offsets import offsets, radius, step_length
-from wayfield.operators.tiles import joins_keep_tiles, tile_of, with_halo
+from wayfield.operators.tiles import STENCIL_TILE, joins_keep_tiles, tile_of, with_halo
 from wayfield.schema import GridMeta
 
 
@@ -20,7 +20,7 @@ def _stencil(k: int, meta: GridMeta) -> Column:
         for dr, dc in offsets(k)])
 
 
-def neighbour_pairs(cells: DataFrame, k: int, meta: GridMeta, tile_size: int = 256,
+def neighbour_pairs(cells: DataFrame, k: int, meta: GridMeta, tile_size: int = STENCIL_TILE,
                     how: str = "inner") -> DataFrame:
     """Each cell with each in-grid cell of its stencil.
 
@@ -62,7 +62,7 @@ def with_multipliers(cells: DataFrame, mult: DataFrame | None) -> DataFrame:
 
 
 def edges(cells: DataFrame, k: int, meta: GridMeta, mult: DataFrame | None = None,
-          cap: str = "speed", cost: str = "tobler", tile_size: int = 256) -> DataFrame:
+          cap: str = "speed", cost: str = "tobler", tile_size: int = STENCIL_TILE) -> DataFrame:
     """Directed weighted edges ``src, dst, w``: hours, times the multiplier of the target cell.
 
     Cells without elevation have no edges.

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from wayfield.functions.costs import clean_raster_multiplier, cost_function, slope_in_units
 from wayfield.functions.geo import cell_col, cell_row
 from wayfield.operators.neighbours import neighbour_pairs
-from wayfield.operators.tiles import tile_of, with_halo
+from wayfield.operators.tiles import STENCIL_TILE, tile_of, with_halo
 from wayfield.schema import GridMeta
 
 
-def slope(cells: DataFrame, meta: GridMeta, units: str = "degrees", tile_size: int = 256) -> DataFrame:
+def slope(cells: DataFrame, meta: GridMeta, units: str = "degrees", tile_size: int = STENCIL_TILE) -> DataFrame:
     """Slope by central differences; 0 on the outermost rows and columns.
 
     Cells are shuffled once by tile with a one-cell halo; both axes are then windows inside the
@@ -37,7 +37,7 @@ def slope(cells: DataFrame, meta: GridMeta, units: str = "degrees", tile_size: i
 
 
 def base_cost(cells: DataFrame, k: int, meta: GridMeta, cost: str = "tobler",
-              tile_size: int = 256) -> DataFrame:
+              tile_size: int = STENCIL_TILE) -> DataFrame:
     """Mean cost of leaving a cell towards its valid neighbours; 0 if it has none.
 
     The group key starts with the tile, so the aggregation needs no further shuffle.

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from wayfield.schema import GridMeta
 
 
+# Tile side for stencil work: small enough for many partitions, and halos of at most a fifth.
+STENCIL_TILE = 64
+
+
 def tiles_across(meta: GridMeta, size: int) -> int:
     return -(-meta.ncols // size)
 

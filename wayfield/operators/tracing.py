@@ -113,7 +113,7 @@ def path_counts(solved: CostTrees, dests: DataFrame, source_weights: DataFrame |
     """
     starts = path_starts(solved, dests)
     entries = starts if solved.single_tile else flow(
-        solved.scratch.save(hops(solved), "hops"), starts, solved.scratch)
+        solved.scratch.save_bucketed(hops(solved), "hops", "source", "cell_id"), starts, solved.scratch)
     if source_weights is not None:
         weights = source_weights.select(F.col("cell_id").alias("source"), F.col("m").alias("_w"))
         entries = entries.join(weights, "source").select(
@@ -170,7 +170,7 @@ def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
     way near a source all pass through the same tile; their pieces are split by a salt there.
     """
     scratch = solved.scratch
-    hop_table = scratch.save(hops(solved), "hops")
+    hop_table = scratch.save_bucketed(hops(solved), "hops", "source", "cell_id")
     first = (goals(solved).join(dest_cells.select("cell_id"), "cell_id", "left_semi")
              .select("source", "bucket", F.col("cell_id").alias("dest_cell"), "cell_id", F.lit(0).cast("bigint").alias("back")))
 

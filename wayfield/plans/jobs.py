@@ -29,8 +29,8 @@ def _require(report: DataFrame) -> None:
 def _surfaces(cells: DataFrame, meta: GridMeta, options: JobOptions, lines: DataFrame | None,
               cost_raster: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame | None]:
     """Slope, base cost and, when there are modifiers, additional and total cost."""
-    base = base_cost(cells, options.neighbours, meta, options.cost_function, options.tile_size)
-    out = {"slope": slope(cells, meta, options.slope_units, options.tile_size), "base_cost": base}
+    base = base_cost(cells, options.neighbours, meta, options.cost_function)
+    out = {"slope": slope(cells, meta, options.slope_units), "base_cost": base}
     if cost_raster is not None:
         report = checks.check_same_grid(cells, cost_raster, meta)
         if not report.first()["ok"]:

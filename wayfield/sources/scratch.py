@@ -34,6 +34,7 @@ class Scratch:
         self.spark = spark
         self.path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
         self._written = 0
+        self._tables: list[str] = []
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write ``df`` once and return it as a plain scan."""
@@ -44,6 +45,20 @@ class Scratch:
         table._wayfield_path = path
         return table
 
+    def save_bucketed(self, df: DataFrame, name: str, *keys: str) -> DataFrame:
+        """Write ``df`` in buckets by ``keys``, for a table that many rounds join on them.
+
+        Such a join shuffles only the other side.
+        """
+        self._written += 1
+        path = f"{self.path}/{self._written:04d}-{name}"
+        table = f"wayfield_{name}_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        (df.repartition(buckets, *keys).write.format("parquet").option("path", path)
+           .bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+        self._tables.append(table)
+        return self.spark.table(table)
+
     def drop(self, table: DataFrame) -> None:
         """Delete a table of this run that no later step reads."""
         path = getattr(table, "_wayfield_path", "")
@@ -52,6 +67,8 @@ class Scratch:
 
     def clear(self) -> None:
         """Delete everything this run wrote."""
+        for table in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         self._delete(self.path)
 
     def _delete(self, path: str) -> None:
