@@ -263,7 +263,8 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
         rounds += 1
         border = _per_group(ring.where("live").drop("live", "fresh"), blocks, slots,
                             _border_costs(stencil), BORDER_SCHEMA)
-        merged = _merge(ring, _to_rings(border, stencil), slots, _bounds(ring, target_tiles) if target_tiles else None)
+        bounds = _bounds(ring, target_tiles) if target_tiles else None
+        merged = _merge(ring, _to_rings(border, stencil), slots, bounds, bool(final))
         seen = Observation()
         older, ring = ring, scratch.save(merged.observe(seen, F.count_if("live").alias("live")), "ring")
         scratch.drop(older)
@@ -283,15 +284,19 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
     return CostTrees(trees, stencil, scratch, rounds)
 
 
-def _merge(ring: DataFrame, news: DataFrame, slots: int, bounds: DataFrame | None) -> DataFrame:
-    """Ring with the news worked in, telling which rows improved and whose tiles must be relaxed."""
+def _merge(ring: DataFrame, news: DataFrame, slots: int, bounds: DataFrame | None, some_settled: bool) -> DataFrame:
+    """Ring with the news worked in, telling which rows improved and whose tiles must be relaxed.
+
+    News for a settled (source, tile) cannot improve it and is dropped.
+    """
     known = ring.select(*RING, F.col("d").alias("old"))
     merged = (known.unionByName(news.withColumn("old", F.lit(None).cast("double")))
                    .repartition(slots, "tile", "bucket").groupBy("tile", "bucket", "source", "cell_id")
                    .agg(F.min("d").alias("d"), F.min("old").alias("old")))
     pair = Window.partitionBy("tile", "bucket", "source")
-    over = F.max(F.col("cell_id") == SETTLED).over(pair)
-    merged = merged.withColumn("over", over).where(~F.col("over") | (F.col("cell_id") < 0))
+    if some_settled:
+        over = F.max(F.col("cell_id") == SETTLED).over(pair)
+        merged = merged.withColumn("over", over).where(~F.col("over") | (F.col("cell_id") < 0))
     useful = F.lit(True)
     if bounds is not None:
         merged = merged.join(bounds, "source", "left")
