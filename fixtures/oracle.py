@@ -11,10 +11,6 @@ import re
 from wayfield.functions.offsets import NEIGHBOUR_OPTIONS, offsets
 
 
-def _num(x: float) -> str:
-    return f"{x}::double"
-
-
 def walk_cost(cap: str, dh: str = "o.dh", dz: str = "(b.z - a.z)") -> str:
     decay = f"3.5::double * abs({dz} / {dh} + 0.05::double)"
     if cap == "speed":

@@ -1,7 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 import brute
 from wayfield.operators import checks, lines as L

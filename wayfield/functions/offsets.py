@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wayfield.schema import GridMeta
 
-# Stencil reach by option value, as (largest |dr| or |dc|, which offsets of that square count).
+# Accepted stencil sizes.
 NEIGHBOUR_OPTIONS = (8, 16, 24, 32, 64)
 
 
