@@ -6,15 +6,18 @@ from wayfield.llm.id_files import op9_id_files
 from wayfield.llm.mixing import OP6_SQL, op6_mix_sources
 from wayfield.llm.neardup import OP3_SQL, op3_minhash_neardup
 from wayfield.llm.packing import op4_pack_sequences
+from wayfield.llm.suffixes import OP5_SQL, op5_suffix_dedup
 
 QUERIES = {
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_pack_sequences": op4_pack_sequences,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op9_id_files": op9_id_files,
 }
 
 ORACLE = {
     "op3_minhash_neardup": OP3_SQL,
+    "op5_suffix_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
 }
