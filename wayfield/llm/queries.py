@@ -6,9 +6,11 @@ from wayfield.llm.id_files import op9_id_files
 from wayfield.llm.mixing import OP6_SQL, op6_mix_sources
 from wayfield.llm.neardup import OP3_SQL, op3_minhash_neardup
 from wayfield.llm.packing import op4_pack_sequences
+from wayfield.llm.quality import op2_quality_trees
 from wayfield.llm.suffixes import OP5_SQL, op5_suffix_dedup
 
 QUERIES = {
+    "op2_quality_trees": op2_quality_trees,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_pack_sequences": op4_pack_sequences,
     "op5_suffix_dedup": op5_suffix_dedup,
