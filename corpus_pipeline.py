@@ -1,18 +1,62 @@
-"""From raw documents to packed training sequences; see ``STAGES``."""
+"""From raw documents to packed training sequences.
+
+``doc_id`` is a document's identity here: rows without one leave in the second stage, and of rows that
+repeat one a single row stays there. Columns other than those named below are carried along. Empty tables
+pass through as empty tables.
+"""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from wayfield.llm.mixing import mixed_documents
+from wayfield.llm.neardup import near_duplicates
+from wayfield.llm.packing import TOKENIZER, pack_documents
+from wayfield.llm.quality import GOOD, learn_quality, score_quality
 from wayfield.llm.shared import table
+from wayfield.llm.suffixes import without_repeats
 from wayfield.sources.scratch import scratch_root
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
 
-# The classifier's scores can't be expressed in SQL; tests/llm holds the stages against plain versions.
+def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality trees do not reject."""
+    trees = learn_quality(docs, table(spark, sf_dir, "labels"))
+    return score_quality(docs, trees, "__score").where(F.col("__score") >= GOOD).select(*docs.columns)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the smallest id, of each group of near duplicates (five words, similarity 0.8)."""
+    kept = near_duplicates(docs, words=5, similarity=(80, 100)).where("kept").select(F.col("doc_id").alias("__doc"))
+    found = docs.join(kept, F.col("doc_id") == F.col("__doc"), "left_semi")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    return found.withColumn("__first", first).where(F.col("__first") == 1).select(*docs.columns)
+
+
+def unrepeated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words or more that a document with a smaller id has; gone if that was all they had."""
+    has_words = r"[^\x20\x09-\x0D]"
+    cut = without_repeats(docs.withColumn("__had", F.coalesce(F.col("text").rlike(has_words), F.lit(False))))
+    left = cut.where(~F.col("__had") | F.col("text").rlike(has_words)).select(*docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("bigint")) if "n_chars" in docs.columns else left
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often, and the last one of a source as far, as the sources' target weights ask for."""
+    return mixed_documents(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids and their places in sequences of at most 4096."""
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality", good_documents), ("near_duplicates", distinct_documents), ("repeats", unrepeated_documents), ("mix", mixed), ("pack", packed)]
+
+# The trees' scores can't be expressed in SQL; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 

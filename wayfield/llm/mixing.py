@@ -68,8 +68,26 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def first_words(text: Column, n: Column) -> Column:
-    """The text up to the end of its ``n``-th word."""
-    return F.regexp_extract(text, F.concat(F.lit(r"\A[\x20\x09-\x0D]*(?:"), F.lit(WORD), F.lit(r"[\x20\x09-\x0D]*+){0,"), n.cast("string"), F.lit("}")), 0)
+    """The text up to its ``n``-th word and the white space behind it, without white space in front."""
+    bare = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")
+    rest = F.try_element_at(F.split(bare, r"[\x20\x09-\x0D]+", n.cast("int") + 1), n.cast("int") + 1)
+    return F.substring(bare, F.lit(1), F.length(bare) - F.coalesce(F.length(rest), F.lit(0)))
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` as the mix takes them: a document taken twice stands twice, one taken in part has its first words only.
+
+    ``doc_id`` must be unique here. Other columns stay, but ``n_chars`` follows the text.
+    """
+    mixed = mix_sources(docs, **options).where("taken > 0").select(F.col("doc_id").alias("__doc"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    joined = docs.join(mixed, F.col("doc_id") == F.col("__doc"))
+    times = joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.ceil(F.col("__taken") / F.col("__size")))))
+    own = F.least(F.col("__size"), F.col("__taken") - (F.col("__time") - 1) * F.col("__size"))
+    text = F.when(own < F.col("__size"), first_words(F.col("text"), own)).otherwise(F.col("text"))
+    out = times.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast("bigint"))
+    return out.select(*docs.columns)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

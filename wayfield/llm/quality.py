@@ -184,14 +184,14 @@ def learn_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> T
     return grow(np.stack(rows["statistics"].to_numpy()), rows["quality"].to_numpy(float))
 
 
-def score_quality(docs: DataFrame, trees: Trees) -> DataFrame:
-    """``docs`` with ``score``, 0 to 1."""
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], "score double"])
+def score_quality(docs: DataFrame, trees: Trees, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name``, 0 to 1."""
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema], f"`{name}` double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             scores = trees.scores(statistics(*text_bytes(batch.column("text"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, schema)
 

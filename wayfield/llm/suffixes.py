@@ -179,14 +179,14 @@ def without_repeats(docs: DataFrame, least: int = LEAST, scratch: Scratch | None
     With a passage goes the white space behind it. A document that had nothing else is left with what white space is left.
     """
     scratch = scratch or Scratch(docs.sparkSession, "suffixes")
-    removed = repeated_stretches(docs, least, scratch).where("first <> doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("_at"))
-    joined = docs.join(removed.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").cast("bigint") == F.col("_doc"), "left").drop("_doc")
+    removed = repeated_stretches(docs, least, scratch).where("first <> doc_id").groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("__at"))
+    joined = docs.join(removed.withColumnRenamed("doc_id", "__doc"), F.col("doc_id").cast("bigint") == F.col("__doc"), "left").drop("__doc")
     place = joined.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             texts = batch.column("text").to_pylist()
-            lists = batch.column("_at")
+            lists = batch.column("__at")
             for i in np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False)):
                 raw = np.frombuffer(texts[i].encode(), np.uint8)
                 starts, _, _ = split_words(raw, np.array([0, len(raw)]))
