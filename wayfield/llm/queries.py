@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from wayfield.llm.id_files import op9_id_files
 from wayfield.llm.mixing import OP6_SQL, op6_mix_sources
+from wayfield.llm.mtree import OP1_SQL, op1_mtree_search
 from wayfield.llm.neardup import OP3_SQL, op3_minhash_neardup
 from wayfield.llm.packing import op4_pack_sequences
 from wayfield.llm.quality import op2_quality_trees
 from wayfield.llm.suffixes import OP5_SQL, op5_suffix_dedup
 
 QUERIES = {
+    "op1_mtree_search": op1_mtree_search,
     "op2_quality_trees": op2_quality_trees,
     "op3_minhash_neardup": op3_minhash_neardup,
     "op4_pack_sequences": op4_pack_sequences,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_mtree_search": OP1_SQL,
     "op3_minhash_neardup": OP3_SQL,
     "op5_suffix_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
