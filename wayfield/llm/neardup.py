@@ -162,9 +162,16 @@ def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = run_starts(data, keys)
         symbols = text_bytes(data.column("signature").chunk(0))[0].view(np.uint16).reshape(-1, SYMBOLS)
         lo, hi, block, rep = (data.column(c).to_numpy() for c in ("lo", "hi", "block", "rep"))
+        number = data.column("key").to_numpy() >> 48
         forest = Forest(len(rep))
         for a, b in lags(np.repeat(starts[1:], np.diff(starts)), lo, hi, block, forest):
-            near = (symbols[a] != symbols[b]).sum(1) <= DISTANCE
+            same = (symbols[a] == symbols[b]).reshape(-1, CHUNKS, CHUNK)
+            errors = CHUNK - same.sum(2)
+            # A pair that meets under several keys counts under the first of them only.
+            chunk = (errors <= ERRORS).argmax(1)
+            row = np.arange(len(a))
+            left_out = np.where(errors[row, chunk] > 0, same[row, chunk].argmin(1), 0)
+            near = (errors.sum(1) <= DISTANCE) & (chunk * CHUNK + left_out == number[a])
             forest.link(a[near], b[near])
         yield _edges(rep, forest)
 
