@@ -255,7 +255,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     close = scratch.save(block_pairs(members, "key", "size").mapInArrow(close_pairs, "a long, b long").distinct(), "close")
     clusters = components(close, scratch).select(F.col("id").alias("rep"), F.col("root").alias("cluster"))
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
-    facts = scratch.save(sized.join(known.select("rep", "h1"), "rep"), "clusters")
+    # Clusters grow with the documents: their join with the texts is a shuffle of both at every size.
+    facts = scratch.save(sized.join(known.select("rep", "h1"), "rep"), "clusters").hint("merge")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(facts, "rep")
     links = scratch.save(block_pairs(sets_of(texts, words), "cluster", "size").mapInArrow(exact_links(similarity), "a long, b long"), "links")
     found = components(links, scratch).select(F.col("id").alias("rep"), "root")
