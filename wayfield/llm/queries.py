@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wayfield.llm.id_files import op9_id_files
+from wayfield.llm.media import op7_media_jpeg
 from wayfield.llm.mixing import OP6_SQL, op6_mix_sources
 from wayfield.llm.mtree import OP1_SQL, op1_mtree_search
 from wayfield.llm.neardup import OP3_SQL, op3_minhash_neardup
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_pack_sequences": op4_pack_sequences,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op7_media_jpeg": op7_media_jpeg,
     "op9_id_files": op9_id_files,
 }
 
