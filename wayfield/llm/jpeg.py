@@ -11,7 +11,7 @@ from __future__ import annotations
 import heapq
 from collections import defaultdict
 from dataclasses import dataclass, field
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 
@@ -96,33 +96,65 @@ class Image:
     first_block: list[int] = field(default_factory=list)
 
     @property
-    def most(self) -> tuple[int, int]:
-        return max(h for h, _ in self.sampling), max(v for _, v in self.sampling)
-
-    @property
-    def mcus(self) -> tuple[int, int]:
-        h, v = self.most
-        return -(-self.height // (8 * v)), -(-self.width // (8 * h))
+    def shape(self) -> tuple:
+        return self.width, self.height, tuple(self.sampling)
 
     def grid(self, c: int) -> tuple[int, int]:
-        (rows, columns), (h, v) = self.mcus, self.sampling[c]
-        return rows * v, columns * h
-
-    def order(self, scan: Scan) -> tuple[np.ndarray, int]:
-        """Blocks in the order of the scan, and how many make a unit between which restarts may stand."""
-        if len(scan.components) > 1:
-            rows, columns = self.mcus
-            parts = []
-            for c in scan.components:
-                h, v = self.sampling[c]
-                at = np.arange(rows * v * columns * h).reshape(rows, v, columns, h).transpose(0, 2, 1, 3)
-                parts.append(at.reshape(rows * columns, v * h) + self.first_block[c])
-            blocks = np.concatenate(parts, 1)
-            return blocks.ravel(), blocks.shape[1]
-        c = scan.components[0]
-        (h, v), (most_h, most_v), (_, columns) = self.sampling[c], self.most, self.grid(c)
-        rows, used = -(-(self.height * v) // (8 * most_v)), -(-(self.width * h) // (8 * most_h))
-        return (np.arange(rows)[:, None] * columns + np.arange(used)).ravel() + self.first_block[c], 1
+        return _grids(self.shape)[c]
+
+    def order(self, components: list[int]) -> tuple[np.ndarray, int]:
+        """Blocks in the order of a scan, and how many make a unit between which restarts may stand."""
+        blocks, unit = _order(self.shape, tuple(components))
+        return blocks + self.first_block[0], unit
+
+
+@lru_cache(maxsize=4096)
+def _grids(shape: tuple) -> list[tuple[int, int]]:
+    """Rows and columns of blocks of each component, whole units of the frame."""
+    width, height, sampling = shape
+    most_h, most_v = max(h for h, _ in sampling), max(v for _, v in sampling)
+    rows, columns = -(-height // (8 * most_v)), -(-width // (8 * most_h))
+    return [(rows * v, columns * h) for h, v in sampling]
+
+
+@lru_cache(maxsize=4096)
+def _order(shape: tuple, components: tuple[int, ...]) -> tuple[np.ndarray, int]:
+    """:meth:`Image.order` for an image whose blocks begin at 0."""
+    width, height, sampling = shape
+    grids = _grids(shape)
+    first = np.cumsum([0] + [r * c for r, c in grids])
+    if len(components) > 1:
+        parts = []
+        for c in components:
+            (h, v), (rows, columns) = sampling[c], grids[c]
+            at = np.arange(rows * columns).reshape(rows // v, v, columns // h, h).transpose(0, 2, 1, 3)
+            parts.append(at.reshape(-1, v * h) + first[c])
+        blocks = np.concatenate(parts, 1)
+        return blocks.ravel(), blocks.shape[1]
+    c = components[0]
+    (h, v), most_h, most_v = sampling[c], max(h for h, _ in sampling), max(v for _, v in sampling)
+    rows, used = -(-(height * v) // (8 * most_v)), -(-(width * h) // (8 * most_h))
+    return (np.arange(rows)[:, None] * grids[c][1] + np.arange(used)).ravel() + first[c], 1
+
+
+@lru_cache(maxsize=256)
+def _huffman(body: bytes) -> dict[int, bytes]:
+    out = {}
+    while body:
+        n = 17 + sum(body[1:17])
+        out[body[0]] = body[1:n]
+        body = body[n:]
+    return out
+
+
+@lru_cache(maxsize=256)
+def _quant(body: bytes) -> dict[int, np.ndarray]:
+    out = {}
+    while body:
+        wide = body[0] >> 4
+        out[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
+        body = body[1 + 64 * (1 + wide):]
+    return out
 
 
 def parse(content: bytes) -> Image:
@@ -140,15 +172,9 @@ def parse(content: bytes) -> Image:
         body = content[at + 4:at + 2 + size]
         at += 2 + size
         if marker == 0xDB:
-            while body:
-                wide = body[0] >> 4
-                quant[body[0] & 15] = np.frombuffer(body, ">u2" if wide else np.uint8, 64, 1).astype(np.int64)
-                body = body[1 + 64 * (1 + wide):]
+            quant |= _quant(body)
         elif marker == 0xC4:
-            while body:
-                n = 17 + sum(body[1:17])
-                huffman[body[0]] = bytes(body[1:n])
-                body = body[n:]
+            huffman |= _huffman(body)
         elif marker == 0xC2:
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             for i in range(body[5]):
@@ -327,7 +353,7 @@ def decode(files: list[bytes]) -> tuple[list[Image], np.ndarray]:
                 kinds[s.start, s.end, s.high, s.low, tuple(s.tables), shape].append((image, content, s))
         for (start, end, high, low, tables, shape), found in kinds.items():
             pieces = [np.frombuffer(content, np.uint8, s.data[1] - s.data[0], s.data[0]) for _, content, s in found]
-            lanes = Lanes(pieces, [image.order(s) for image, _, s in found], [s.restart for _, _, s in found])
+            lanes = Lanes(pieces, [image.order(s.components) for image, _, s in found], [s.restart for _, _, s in found])
             if start:
                 (_ac_next if high else _ac_first)(lanes, coefficients, lookup(tables[0][1]), start, end, low)
             elif high:
@@ -348,7 +374,8 @@ def _basis() -> np.ndarray:
 
 def planes(image: Image, coefficients: np.ndarray) -> list[np.ndarray]:
     """Red, green and blue at full resolution: inverse transform, chroma repeated, colours converted."""
-    (most_h, most_v), samples, parts = image.most, _basis(), []
+    samples, parts = _basis(), []
+    most_h, most_v = max(h for h, _ in image.sampling), max(v for _, v in image.sampling)
     for c, (h, v) in enumerate(image.sampling):
         rows, columns = image.grid(c)
         first = image.first_block[c]
@@ -527,20 +554,23 @@ def encode(blocks: np.ndarray, counts: np.ndarray, comments: list[bytes]) -> lis
         image = Image(int(columns[i]) * 16, int(rows[i]) * 16, [(2, 2), (1, 1), (1, 1)])
         n = int(rows[i] * columns[i])
         image.first_block = [base, base + 4 * n, base + 5 * n]
-        order, _ = image.order(Scan([0, 1, 2], 0, 0, 0, 0, [], (0, 0), 0))
+        order, _ = image.order([0, 1, 2])
         spread[order[:counts[i]]] = blocks[first[i]:first[i] + counts[i]]
         images.append(image)
         base += 6 * n
 
     def scan(components: list[int], start: int, end: int, high: int, low: int) -> list[bytes]:
-        found = [image.order(Scan(components, start, end, high, low, [], (0, 0), 0)) for image in images]
+        found = [image.order(components) for image in images]
         unit = found[0][1]
         order = np.concatenate([o for o, _ in found])
         sizes = np.array([len(o) for o, _ in found])
         lane_counts = -(-sizes // (RESTART * unit))
-        lane = np.concatenate([[0], np.cumsum(np.concatenate([np.minimum(RESTART * unit, s - np.arange(0, s, RESTART * unit)) for s in sizes]))])
+        ends = np.cumsum(lane_counts)
+        lane = np.full(ends[-1], RESTART * unit)
+        lane[ends - 1] = sizes - (lane_counts - 1) * RESTART * unit
+        lane = np.concatenate([[0], np.cumsum(lane)])
         last = np.zeros(len(lane) - 1, bool)
-        last[np.cumsum(lane_counts) - 1] = True
+        last[ends - 1] = True
         if start == 0:
             value = spread[order, 0]
             if high:
@@ -566,7 +596,7 @@ def encode(blocks: np.ndarray, counts: np.ndarray, comments: list[bytes]) -> lis
         used = np.flatnonzero(bits)
         lane = np.searchsorted(used, lane)
         data, starts = Bits.bytes_of(word[used], bits[used], lane, last)
-        edges = starts[np.concatenate([[0], np.cumsum(lane_counts)])]
+        edges = starts[np.concatenate([[0], ends])]
         whole, table = data.tobytes(), (0 if start == 0 else 3 if high else 1 if low else 2)
         head = segment(0xDA, bytes([len(components), *[x for c in components for x in (c + 1, table)], start, end, high << 4 | low]))
         return [head + whole[a:b] for a, b in zip(edges[:-1], edges[1:])]

@@ -53,7 +53,7 @@ def stored_payloads(docs: DataFrame) -> DataFrame:
 
 def payload_of(image: jpeg.Image, coefficients: np.ndarray) -> np.ndarray:
     """The bytes that :func:`stored_payloads` stored, from the coefficients."""
-    order, _ = image.order(jpeg.Scan([0, 1, 2], 0, 0, 0, 0, [], (0, 0), 0))
+    order, _ = image.order([0, 1, 2])
     size = int.from_bytes(image.comment, "big")
     return _TO_BYTE[coefficients[order[:size // BLOCK]].ravel() + 127]
 
