@@ -8,6 +8,7 @@ from wayfield.llm.mixing import OP6_SQL, op6_mix_sources
 from wayfield.llm.mtree import OP1_SQL, op1_mtree_search
 from wayfield.llm.neardup import OP3_SQL, op3_minhash_neardup
 from wayfield.llm.packing import op4_pack_sequences
+from wayfield.llm.preferences import OP8_SQL, op8_preference_chat
 from wayfield.llm.quality import op2_quality_trees
 from wayfield.llm.suffixes import OP5_SQL, op5_suffix_dedup
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op7_media_jpeg": op7_media_jpeg,
+    "op8_preference_chat": op8_preference_chat,
     "op9_id_files": op9_id_files,
 }
 
@@ -27,4 +29,5 @@ ORACLE = {
     "op3_minhash_neardup": OP3_SQL,
     "op5_suffix_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
+    "op8_preference_chat": OP8_SQL,
 }
