@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from wayfield.llm.id_files import op9_id_files
+from wayfield.llm.licenses import OP10_SQL, op10_license_scan
 from wayfield.llm.media import op7_media_jpeg
 from wayfield.llm.mixing import OP6_SQL, op6_mix_sources
 from wayfield.llm.mtree import OP1_SQL, op1_mtree_search
@@ -22,6 +23,7 @@ QUERIES = {
     "op7_media_jpeg": op7_media_jpeg,
     "op8_preference_chat": op8_preference_chat,
     "op9_id_files": op9_id_files,
+    "op10_license_scan": op10_license_scan,
 }
 
 ORACLE = {
@@ -30,4 +32,5 @@ ORACLE = {
     "op5_suffix_dedup": OP5_SQL,
     "op6_mix_sources": OP6_SQL,
     "op8_preference_chat": OP8_SQL,
+    "op10_license_scan": OP10_SQL,
 }
