@@ -130,11 +130,11 @@ def repeated_stretches(docs: DataFrame, least: int, scratch: Scratch) -> DataFra
     suffixes = sorted_and_compared(suffix_keys(own, least)).groupBy("doc_id").agg(F.sort_array(F.collect_set("at")).alias("suffixes"))
     around = stretches_around(own.join(suffixes, "doc_id"), least)
     marked = scratch.save(sorted_and_compared(around), "stretches")
-    # Runs at the edges of partitions: at most two for each partition, so few keys.
-    spanning = (marked.where("edge").groupBy("key").agg(F.min("first").alias("_first"), F.max("doc_id").alias("_last"))
-                .withColumnRenamed("key", "_key"))
-    ends = marked.where("edge").join(spanning, F.col("key") == F.col("_key")).where("_first <> _last")
-    return marked.where("NOT edge").select("doc_id", "at", "first").unionByName(ends.select("doc_id", "at", F.col("_first").alias("first")))
+    # Runs at the edges of partitions, put together: at most two keys for each partition, whatever the rows.
+    edges = marked.where("edge").groupBy("key").agg(F.min("first").alias("first"), F.max("doc_id").alias("last")).where("first <> last").collect()
+    known = F.create_map(*[F.lit(x).cast("bigint") for e in edges for x in (e["key"], e["first"])]) if edges else F.lit(None).cast("map<bigint,bigint>")
+    first = F.when(F.col("edge"), F.try_element_at(known, F.col("key"))).otherwise(F.col("first"))
+    return marked.select("doc_id", "at", first.alias("first")).where("first IS NOT NULL")
 
 
 def joined_spans(at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
