@@ -7,10 +7,10 @@
    chunk is entered under each of its symbols left out, and every pair at distance 23 or less meets under
    some key. (At a similarity of 0.85 the distance exceeds 23 with a probability below 1e-7.)
 3. Keys shared by several classes are buckets. A bucket is cut into blocks, and each pair of blocks is a
-   unit of work of bounded size, however large the bucket is. A unit returns only the pairs that connect
-   its members at distance 23 or less: a forest, never all pairs.
+   unit of work of bounded size, however large the bucket is. A unit returns each member with the smallest
+   one that it is connected with over such pairs: fewer rows than members, never all pairs.
 4. The connected components of these are clusters: any linked pair lies within one. Clusters are cut into
-   pairs of blocks in the same way, full sets are compared exactly, and again a forest is returned.
+   pairs of blocks in the same way, full sets are compared exactly, and the same is returned.
 5. The components of the exact links are the result.
 
 Cases: null, empty and blank texts have the empty set and are linked with nothing; a text with fewer words
@@ -115,11 +115,10 @@ def block_pairs(members: DataFrame, group: str, size: str) -> DataFrame:
 
 
 class Forest:
-    """Connected members of one table, and the pairs that connected them."""
+    """Which members of one table are connected."""
 
     def __init__(self, n: int):
         self.label = np.arange(n)
-        self.pairs: list[tuple[int, int]] = []
 
     def _root(self, i: int) -> int:
         while self.label[i] != i:
@@ -132,11 +131,18 @@ class Forest:
             p, q = self._root(x), self._root(y)
             if p != q:
                 self.label[max(p, q)] = min(p, q)
-                self.pairs.append((x, y))
         if len(a):
             while (self.label[self.label] != self.label).any():
                 self.label = self.label[self.label]
 
+    def edges(self, rep: np.ndarray) -> pa.RecordBatch:
+        """Each member with the smallest one that it is connected with: the same pairs, wherever the same members meet."""
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, self.label, rep)
+        other = least[self.label]
+        own = np.flatnonzero(other != rep)
+        return pa.RecordBatch.from_arrays([pa.array(rep[own]), pa.array(other[own])], ["a", "b"])
+
 
 def lags(end: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: np.ndarray, forest: Forest) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of a group that are not connected yet, by their distance in the table; ``end`` is each row's group's end."""
@@ -149,13 +155,8 @@ def lags(end: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: np.ndarray, for
         lag += 1
 
 
-def _edges(rep: np.ndarray, forest: Forest) -> pa.RecordBatch:
-    pairs = np.array(forest.pairs, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(rep[pairs[:, 0]]), pa.array(rep[pairs[:, 1]])], ["a", "b"])
-
-
 def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each pair of blocks, pairs at the signature distance that connect all such pairs."""
+    """Of each pair of blocks, what is connected by pairs at the signature distance."""
     keys = ["key", "lo", "hi"]
     for data in runs(batches, keys):
         data = data.combine_chunks()
@@ -173,11 +174,11 @@ def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left_out = np.where(errors[row, chunk] > 0, same[row, chunk].argmin(1), 0)
             near = (errors.sum(1) <= DISTANCE) & (chunk * CHUNK + left_out == number[a])
             forest.link(a[near], b[near])
-        yield _edges(rep, forest)
+        yield forest.edges(rep)
 
 
 def exact_links(similarity: tuple[int, int]):
-    """Of each pair of blocks, pairs with intersection / union >= similarity that connect all such pairs."""
+    """Of each pair of blocks, what is connected by pairs with intersection / union >= similarity."""
     least, whole = similarity
 
     def compare(sets: list[np.ndarray], lo: np.ndarray, hi: np.ndarray, block: np.ndarray) -> Forest:
@@ -217,7 +218,7 @@ def exact_links(similarity: tuple[int, int]):
             for a, b in zip(starts[:-1], starts[1:]):
                 if b - a > 1:
                     sets = [flat[x:y] for x, y in zip(offsets[a:b], offsets[a + 1:b + 1])]
-                    yield _edges(rep[a:b], compare(sets, lo[a:b], hi[a:b], block[a:b]))
+                    yield compare(sets, lo[a:b], hi[a:b], block[a:b]).edges(rep[a:b])
 
     return run
 
@@ -258,7 +259,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     # Clusters grow with the documents: their join with the texts is a shuffle of both at every size.
     facts = scratch.save(sized.join(known.select("rep", "h1"), "rep"), "clusters").hint("merge")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(facts, "rep")
-    links = scratch.save(block_pairs(sets_of(texts, words), "cluster", "size").mapInArrow(exact_links(similarity), "a long, b long"), "links")
+    links = scratch.save(block_pairs(sets_of(texts, words), "cluster", "size").mapInArrow(exact_links(similarity), "a long, b long").distinct(), "links")
     found = components(links, scratch).select(F.col("id").alias("rep"), "root")
     named = (classes.join(found, "rep", "left").where("copies > 1 OR root IS NOT NULL")
              .select(*[F.col(c).alias(f"_{c}") for c in same], F.coalesce("root", "rep").alias("component_id")))
