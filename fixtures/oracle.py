@@ -8,8 +8,6 @@ from __future__ import annotations
 
 import re
 
-from wayfield.functions.offsets import NEIGHBOUR_OPTIONS, offsets
-
 
 def walk_cost(cap: str, dh: str = "o.dh", dz: str = "(b.z - a.z)") -> str:
     decay = f"3.5::double * abs({dz} / {dh} + 0.05::double)"
@@ -18,7 +16,8 @@ def walk_cost(cap: str, dh: str = "o.dh", dz: str = "(b.z - a.z)") -> str:
     return f"{dh} / 6000.0::double * exp(least({decay}, 80.0::double))"
 
 
-_STEPS = ", ".join(f"({k}, {dr}, {dc})" for k in NEIGHBOUR_OPTIONS for dr, dc in offsets(k))
+_STEPS = ("select k, dr, dc, greatest(abs(dr), abs(dc)) as far, abs(dr * dc) as area from (values (8), (16), (24), (32), (64)) a(k), "
+          "generate_series(-3, 3) b(dr), generate_series(-3, 3) c(dc)")
 
 # (name, columns or recursion clause, body), in the order they may build on each other
 PARTS: list[tuple[str, str, str]] = [
@@ -29,7 +28,7 @@ PARTS: list[tuple[str, str, str]] = [
                    "when p_partkey % 97 = 0 then 'NaN'::double "
                    "else (p_partkey * 7 % 11) * 0.25::double - 0.25::double end as v from part"),
     ("steps", "", f"select k, dr, dc, sqrt((dr * 30.0::double) * (dr * 30.0::double) + (dc * 30.0::double) * (dc * 30.0::double)) as dh "
-                  f"from (values {_STEPS}) t(k, dr, dc)"),
+                  f"from ({_STEPS}) where far > 0 and (far = 1 or k = 64 or (k = 16 and area = 2) or (k in (24, 32) and far = 2) or (k = 32 and area = 3))"),
     ("pts", "", "select s_suppkey as point_id, ((s_suppkey * 11 + s_nationkey * 3) % 40 + 0.5::double) * 30 as x, "
                 "y0 - ((s_suppkey * 7 + s_nationkey) % nrows + case when s_suppkey % 10 = 9 then nrows else 0 end + 0.5::double) * 30 as y "
                 "from supplier, g"),

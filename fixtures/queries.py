@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +23,8 @@ from wayfield.schema import JobOptions
 from wayfield.sources import cells as C, features as V
 from wayfield.sources.scratch import Scratch
 
-# The tile size of the jobs, and one small enough that the grid of the test data has several tiles
-# and halos are exchanged.
-TILE = JobOptions().tile_size
+# Tiles small enough that the grids of the test data have many of them and halos are exchanged.
+TILE = 16
 SMALL_TILE = 32
 
 
@@ -42,6 +42,11 @@ class Inputs:
     def cells(self):
         return tables.dem_cells(self.spark, self.sf_dir)
 
+    @property
+    def holes(self):
+        """The terrain with every thirteenth cell or so without elevation."""
+        return self.cells.withColumn("z", F.when(F.col("cell_id") % 13 != 5, F.col("z")))
+
     @property
     def raster(self):
         return tables.cost_raster(self.spark, self.sf_dir)
@@ -129,6 +134,15 @@ def _(q):
     return C.read_dem(q.spark, path, q.meta, window=window).select("cell_id", "row", "col", _r("z"))
 
 
+@query("dem_window_plain", "select cell_id, cast(r as integer) as row, cast(c as integer) as col, round(z, 6) as z "
+                           "from cells, g where r between nrows // 2 and nrows - 1 and c between 10 and 29")
+def _(q):
+    path = q.scratch("dem")
+    q.cells.select("cell_id", "z").write.parquet(path)
+    window = (q.meta.nrows // 2, q.meta.nrows - 1, 10, 29)
+    return C.read_dem(q.spark, path, q.meta, window=window).select("cell_id", "row", "col", _r("z"))
+
+
 @query("points_stored", "select point_id, x, y from pts")
 def _(q):
     path = q.scratch("points")
@@ -229,15 +243,58 @@ def _(q):
     return checks.first_failure(checks.check_inputs(q.cells, q.points, q.meta))
 
 
-@query("same_grid_check", "select 'same_grid' as \"check\", count(*) = (select count(*) from raster) as ok, 'ok' as status from cells")
+def _same_grid_sql(raster: str, dims: str = "true") -> str:
+    """Status of a cost raster, a select of its ``cell_id``."""
+    status = (f"case when not {dims} then 'other_dimensions' when count(*) filter (cell_id not between 0 and n - 1) > 0 then 'cells_outside_grid' "
+              "when count(*) > count(distinct cell_id) then 'repeated_cells' when count(*) < any_value(n) then 'missing_cells' else 'ok' end")
+    return (f"select 'same_grid' as \"check\", status = 'ok' as ok, status from (select {status} as status "
+            f"from ({raster}), (select count(*) as n from cells))")
+
+
+@query("same_grid_check", _same_grid_sql("select cell_id from raster"))
+def _(q):
+    return checks.check_same_grid(q.raster, q.meta, q.meta)
+
+
+@query("same_grid_repeated", _same_grid_sql("select case when cell_id = 3 then 4 else cell_id end as cell_id from raster"))
+def _(q):
+    raster = q.raster.withColumn("cell_id", F.when(F.col("cell_id") == 3, 4).otherwise(F.col("cell_id")))
+    return checks.check_same_grid(raster, q.meta, q.meta)
+
+
+@query("same_grid_transposed", _same_grid_sql("select cell_id from raster", "(select nrows = 40 from g)"))
+def _(q):
+    return checks.check_same_grid(q.raster, q.meta, replace(q.meta, nrows=q.meta.ncols, ncols=q.meta.nrows))
+
+
+@query("other_grid_check", _same_grid_sql("select s as cell_id from samples"))
+def _(q):
+    return checks.check_same_grid(q.samples, q.meta, q.meta)
+
+
+@query("line_schema_check", "select 'line_schema' as \"check\", true as ok, 'ok' as status union all select 'line_schema', false, 'no_cost_column'")
+def _(q):
+    return checks.line_schema_report(q.lines).unionByName(checks.line_schema_report(q.lines.drop("cost")))
+
+
+@query("rotation_check", "select 'rotation' as \"check\", true as ok, 'ok' as status union all select 'rotation', false, 'rotated'")
 def _(q):
-    return checks.check_same_grid(q.cells, q.raster, q.meta)
+    turned = replace(q.meta, rot_x=0.5)
+    return checks.rotation_report(q.cells, q.meta).unionByName(checks.rotation_report(q.cells, turned))
 
 
-@query("other_grid_check", "select 'same_grid' as \"check\", count(*) = (select count(*) from samples) as ok, "
-                           "case when count(*) = (select count(*) from samples) then 'ok' else 'other_dimensions' end as status from cells")
+@query("points_null", "select count(*) as total, count(*) filter (x is null or not (x between 0 and 1200.0::double and y between 0 and y0)) as outside, "
+                      "count(*) - (select count(*) from placed where point_id % 7 <> 3) as without_cell, 'some_outside' as status "
+                      "from (select case when point_id % 7 = 3 then null else x end as x, y from pts), g")
 def _(q):
-    return checks.check_same_grid(q.cells, q.samples, q.meta)
+    return checks.points_bounds_report(q.points.withColumn("x", F.when(F.col("point_id") % 7 != 3, F.col("x"))), q.meta)
+
+
+@query("points_wkt_empty", "select point_id, x, y from pts where point_id % 3 <> 1")
+def _(q):
+    text = F.when(F.col("point_id") % 3 == 1, "POINT EMPTY").otherwise(
+        F.concat(F.lit("POINT ("), F.col("x").cast("string"), F.lit(" "), F.col("y").cast("string"), F.lit(")")))
+    return V.points_from_wkt(q.points.select("point_id", text.alias("wkt")))
 
 
 # ---- points and coordinates --------------------------------------------------------------------
@@ -333,7 +390,7 @@ def _(q):
 
 for _k in NEIGHBOUR_OPTIONS:
     def _degree(q, k=_k):
-        return N.degree_profile(N.edges(q.cells, k, q.meta))
+        return N.degree_profile(N.edges(q.cells, k, q.meta), q.cells)
     query(f"degree_profile_{_k}", f"select a.cell_id as src, count(*) as degree {_PAIRS.format(k=_k)} group by 1")(_degree)
 
     def _base(q, k=_k):
@@ -344,7 +401,34 @@ for _k in NEIGHBOUR_OPTIONS:
 @query("edge_totals", f"select count(*) as cells, cast(sum(n) as bigint) as edges, min(n) as min_degree, max(n) as max_degree "
                       f"from (select a.cell_id, count(*) as n {_PAIRS.format(k=16)} group by 1)")
 def _(q):
-    return N.edge_totals(N.edges(q.cells, 16, q.meta))
+    return N.edge_totals(N.edges(q.cells, 16, q.meta), q.cells)
+
+
+_HOLES = "(select *, case when cell_id % 13 = 5 then null else z end as h from cells)"
+_HOLE_PAIRS = (f"from {_HOLES} a left join (select * from steps where k = 16) o on true "
+               f"left join {_HOLES} b on b.r = a.r + o.dr and b.c = a.c + o.dc and b.h is not null and a.h is not null")
+_HOLE_COST = walk_cost("speed", dz="(b.h - a.h)")
+
+
+@query("degree_profile_holes", f"select a.cell_id as src, count(b.cell_id) as degree {_HOLE_PAIRS} group by 1")
+def _(q):
+    return N.degree_profile(N.edges(q.holes, 16, q.meta), q.holes)
+
+
+@query("base_cost_nodata", f"select a.cell_id, case when any_value(a.h) is not null then round(coalesce(avg({_HOLE_COST}) filter (b.cell_id is not null), 0), 9) end as value {_HOLE_PAIRS} group by 1")
+def _(q):
+    return R.base_cost(q.holes, 16, q.meta).select("cell_id", _r("value", 9))
+
+
+@query("total_cost_nodata", f"select cell_id, round(value * m, 9) as value from (select a.cell_id, case when any_value(a.h) is not null "
+                            f"then coalesce(avg({_HOLE_COST}) filter (b.cell_id is not null), 0) end as value {_HOLE_PAIRS} group by 1) join mult using (cell_id)")
+def _(q):
+    return R.total_cost(R.base_cost(q.holes, 16, q.meta), q.mult).select("cell_id", _r("value", 9))
+
+
+@query("base_cost_by_name", f"select a.cell_id, round(avg({walk_cost('speed')}), 9) as value {_PAIRS.format(k=8)} group by 1")
+def _(q):
+    return R.base_cost(q.cells, 8, q.meta, cost="tobler").select("cell_id", _r("value", 9))
 
 
 # ---- lines and multipliers ---------------------------------------------------------------------
@@ -507,7 +591,7 @@ def _(q):
 def _(q):
     samples = Scratch(q.spark, "s").save(q.samples, "s")
     solved = D.cost_trees(q.cells, samples, q.stencil("exponent", SMALL_TILE), targets=samples, bounded=True)
-    return tracing.path_counts(solved, samples)
+    return tracing.path_counts(solved)
 
 
 @query("fete_density", "select cells.cell_id, coalesce(n, 0) as n from cells left join dens_p on cell = cells.cell_id")
@@ -529,3 +613,24 @@ def _(q):
                           "count(*) as nonzero_cells, (select count(*) from cells) as total_cells from dens_p")
 def _(q):
     return fete(q.cells, q.points, q.meta, q.options())["summary"]
+
+
+_FACTS = ("select 'cost_raster' as fact, 'applied' as status, null::double as value union all select 'modified_cells', null, (select count(*) from lmult where m > 1) "
+          "union all select 'modified_percent', null, round((select count(*) from lmult where m > 1) * 100.0::double / (select count(*) from cells), 6) "
+          "union all select 'applied_raster_cells', null, (select count(*) from rmult where m <> 1) "
+          "union all select 'line_features', null, (select count(*) from supplier) "
+          "union all select 'line_vertices', null, (select 2 * count(*) from segs)")
+_REPORTED = "fact not in ('line_features_inside', 'line_vertices_inside')"
+
+
+@query("fete_report", f"select 'points' as fact, null as status, (select count(*) from pts)::double as value union all "
+                      f"select 'points_skipped', null, (select count(*) from pts) - (select count(*) from placed) union all {_FACTS}")
+def _(q):
+    report = fete(q.cells, q.points, q.meta, q.options(), q.lines, q.raster)["report"]
+    return report.where(_REPORTED).withColumn("value", F.round("value", 6))
+
+
+@query("lcpa_report", f"select 'destinations' as fact, null as status, (select count(*) from dest_pts)::double as value union all "
+                      f"select 'destinations_skipped', null, (select count(*) from dest_pts) - (select count(*) from dests) union all {_FACTS}")
+def _(q):
+    return q.lcpa(modified=True)["report"].where(_REPORTED).withColumn("value", F.round("value", 6))

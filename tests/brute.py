@@ -5,7 +5,8 @@ from __future__ import annotations
 import heapq
 import math
 
-from wayfield.functions.offsets import offsets
+from fractions import Fraction
+
 from wayfield.schema import GridMeta
 
 
@@ -24,12 +25,18 @@ def hours(dh, dz, cap="speed"):
     return dh / 6000 * math.exp(min(arg, 80))
 
 
+def steps(k):
+    """Steps by their squared length."""
+    lengths = {8: (1, 2), 16: (1, 2, 5), 24: (1, 2, 4, 5, 8), 32: (1, 2, 4, 5, 8, 10), 64: range(1, 19)}[k]
+    return [(dr, dc) for dr in range(-3, 4) for dc in range(-3, 4) if dr * dr + dc * dc in lengths]
+
+
 def edges(rows, meta, k, mult=None, cap="speed"):
     out = {}
     for r, row in enumerate(rows):
         for c, z in enumerate(row):
             here = out.setdefault(r * meta.ncols + c, [])
-            for dr, dc in offsets(k):
+            for dr, dc in steps(k):
                 rr, cc = r + dr, c + dc
                 if 0 <= rr < meta.nrows and 0 <= cc < meta.ncols and z is not None and rows[rr][cc] is not None:
                     to = rr * meta.ncols + cc
@@ -69,20 +76,14 @@ def path(pred, source, dest):
 
 
 def walk(c1, r1, c2, r2):
-    """Integer line walk, one step at a time."""
-    dx, dy = abs(c2 - c1), abs(r2 - r1)
-    sx, sy = (1 if c1 < c2 else -1), (1 if r1 < r2 else -1)
-    balance, at, cells = dx - dy, (c1, r1), [(c1, r1)]
-    while at != (c2, r2):
-        twice = 2 * balance
-        c, r = at
-        if twice > -dy:
-            balance, c = balance - dy, c + sx
-        if twice < dx:
-            balance, r = balance + dx, r + sy
-        at = (c, r)
-        cells.append(at)
-    return cells
+    """The cells nearest to the ideal line, one for each step along its longer side; halfway, that nearer the start."""
+    longest = max(abs(c2 - c1), abs(r2 - r1), 1)
+
+    def at(start, end, i):
+        way = math.ceil(Fraction(abs(end - start) * i, longest) - Fraction(1, 2))
+        return start + way if end > start else start - way
+
+    return [(at(c1, c2, i), at(r1, r2, i)) for i in range(max(abs(c2 - c1), abs(r2 - r1)) + 1)]
 
 
 def box(counts, meta, b, fold):

@@ -25,7 +25,7 @@ def test_shared_cells_weigh_both_ways(spark):
     out = fete(cells, points(spark, meta, [3, 3, 5]), meta, JobOptions(neighbours=8))
     assert raster(out["density"]) == {0: 0, 1: 0, 2: 0, 3: 4, 4: 4, 5: 4, 6: 0, 7: 0, 8: 0}
     assert tuple(out["summary"].first()) == (4, 4, 4, 3, 9)
-    assert set(out) == {"slope", "base_cost", "density", "summary"}
+    assert set(out) == {"slope", "base_cost", "density", "summary", "report"}
 
 
 def test_buffer_is_clipped_and_counts_again(spark):
@@ -62,8 +62,10 @@ def test_modifiers_add_outputs_and_wrong_rasters_are_refused_or_skipped(spark):
     assert all(total[c] == pytest.approx(2 * base[c]) for c in base)
     assert set(raster(out["additional_cost"], "value").values()) == {2.0}
     bad = good.where("cell_id < 5")
-    with pytest.raises(ValueError, match="other_dimensions"):
+    with pytest.raises(ValueError, match="missing_cells"):
         fete(cells, pts, meta, cost_raster=bad)
+    with pytest.raises(ValueError, match="other_dimensions"):
+        fete(cells, pts, meta, cost_raster=good, raster_meta=GridMeta(4, 3, 0, 30, 10, -10, "local"))
     assert "total_cost" not in fete(cells, pts, meta, JobOptions(on_mismatch="skip"), cost_raster=bad)
 
 

@@ -82,12 +82,12 @@ def test_bounded_search_changes_nothing_at_targets(spark, size, monkeypatch):
     best = {s: brute.distances(graph, s) for s in sources}
     near = sorted(best[sources[0]], key=best[sources[0]].get)[3:9]
     stencil = Stencil(meta, 16, size, lap=1)
-    solved = D.cost_trees(cells, ids(spark, sources), stencil, mult, ids(spark, near), bounded=True)
+    solved = D.cost_trees(cells, ids(spark, sources), stencil, mult, ids(spark, near), bounded=True, with_goals=True)
     got = as_dict(D.target_costs(solved), "source", "cell_id", value="d")
     assert got.keys() == {(s, t) for s in sources for t in near}
     assert all(got[s, t] == pytest.approx(best[s][t]) for s, t in got)
     hole = next(c for c in range(meta.n_cells) if c not in best[sources[0]])
-    solved = D.cost_trees(cells, ids(spark, sources), stencil, mult, ids(spark, near + [hole]), bounded=True)
+    solved = D.cost_trees(cells, ids(spark, sources), stencil, mult, ids(spark, near + [hole]), bounded=True, with_goals=True)
     assert as_dict(D.target_costs(solved), "source", "cell_id", value="d") == got
     edge_table = N.edges(cells, 16, meta, mult)
     bounded = as_dict(frontier.frontier_distance(edge_table, ids(spark, sources[:1]), ids(spark, near)),
@@ -116,13 +116,13 @@ def test_path_counts_and_density_match_traced_paths(spark, size):
             if t != s:
                 for cell in brute.path(pred, s, t):
                     want[s, cell] = want.get((s, cell), 0) + m[t]
-    counts = tracing.path_counts(solved, table)
+    counts = tracing.path_counts(solved)
     assert as_dict(counts, "source", "cell_id", value="n") == want
     dense = {}
     for (s, cell), n in want.items():
         dense[cell] = dense.get(cell, 0) + n * m[s]
     weighted = as_dict(tracing.density(counts, table), "cell_id", value="value")
-    in_tasks = tracing.density(tracing.path_counts(solved, table, table, per_source=False))
+    in_tasks = tracing.density(tracing.path_counts(solved, table, per_source=False))
     assert weighted == as_dict(in_tasks, "cell_id", value="value") == {(c,): n for c, n in dense.items()}
     at_sources = {s: n for (s, cell), n in want.items() if s == cell}
     assert at_sources == {s: sum(m.values()) - m[s] for s in sources}
@@ -134,7 +134,7 @@ def test_traced_paths(spark, size, pieces, monkeypatch):
     monkeypatch.setattr(tracing, "PIECES_PER_GROUP", pieces)
     cells, meta, mult, graph, sources = setup(spark, 13, n=9)
     origin, dests = sources[0], sources
-    solved = D.cost_trees(cells, ids(spark, [origin]), Stencil(meta, 16, size, lap=2), mult, ids(spark, dests))
+    solved = D.cost_trees(cells, ids(spark, [origin]), Stencil(meta, 16, size, lap=2), mult, ids(spark, dests), with_goals=True)
     steps = {}
     for r in tracing.trace_paths(solved, ids(spark, dests)).collect():
         steps.setdefault(r.dest_cell, {})[r.step] = r.cell_id
@@ -168,7 +168,7 @@ def test_finished_tiles_leave_the_loop(spark, monkeypatch):
 def test_many_sources_form_many_groups(spark, monkeypatch):
     monkeypatch.setattr(D, "SOURCES_PER_GROUP", 4)
     cells, meta, mult, graph, sources = setup(spark, 17, n=15)
-    solved = D.cost_trees(cells, ids(spark, sources), Stencil(meta, 16, 10), mult, ids(spark, sources))
+    solved = D.cost_trees(cells, ids(spark, sources), Stencil(meta, 16, 10), mult, ids(spark, sources), with_goals=True)
     sizes = [r["count"] for r in solved.trees.select("source", "bucket").distinct().groupBy("bucket").count().collect()]
     assert sorted(sizes) == [3, 4, 4, 4]
     got = as_dict(D.target_costs(solved), "source", "cell_id", value="d")

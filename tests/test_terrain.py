@@ -55,15 +55,18 @@ def test_edges_match_brute_force(spark, k, local):
     try:
         got = {(r.src, r.dst): r.w for r in N.edges(cells, k, meta, table, tile_size=4).collect()}
         base = values(R.base_cost(cells, k, meta, tile_size=4))
-        profile = {r.src: r.degree for r in N.degree_profile(N.edges(cells, k, meta, tile_size=4)).collect()}
+        profile = {r.src: r.degree for r in N.degree_profile(N.edges(cells, k, meta, tile_size=4), cells).collect()}
     finally:
         spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     want = {(v, u): w for v, out in brute.edges(rows, meta, k, mult).items() for u, w in out}
     assert got.keys() == want.keys() and all(got[e] == pytest.approx(want[e]) for e in want)
     plain = brute.edges(rows, meta, k)
     for cell, out in plain.items():
-        assert base[cell] == pytest.approx(sum(w for _, w in out) / len(out) if out else 0.0)
-        assert profile.get(cell, 0) == len(out)
+        if rows[cell // meta.ncols][cell % meta.ncols] is None:
+            assert base[cell] is None
+        else:
+            assert base[cell] == pytest.approx(sum(w for _, w in out) / len(out) if out else 0.0)
+        assert profile[cell] == len(out)
 
 
 def test_one_cell_grid(spark):

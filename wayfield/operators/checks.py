@@ -50,8 +50,10 @@ def points_bounds(points: DataFrame, meta: GridMeta) -> DataFrame:
     inside = F.col("x").between(*x_range) & F.col("y").between(*y_range)
     col, row = F.floor((F.col("x") - meta.x0) / meta.dx), F.floor((F.col("y") - meta.y0) / meta.dy)
     on_grid = row.between(0, meta.nrows - 1) & col.between(0, meta.ncols - 1)
-    return points.agg(F.count("*").alias("total"), F.count_if(~inside).alias("outside"),
-                      F.count_if(~on_grid).alias("without_cell"))
+    # A point without coordinates is nowhere: outside, and in no cell.
+    outside, nowhere = (~F.coalesce(x, F.lit(False)) for x in (inside, on_grid))
+    return points.agg(F.count("*").alias("total"), F.count_if(outside).alias("outside"),
+                      F.count_if(nowhere).alias("without_cell"))
 
 
 def points_bounds_report(points: DataFrame, meta: GridMeta) -> DataFrame:
@@ -99,14 +101,17 @@ def first_failure(reports: DataFrame) -> DataFrame:
         F.coalesce("bad.status", F.lit("ok")).alias("status"))
 
 
-def check_same_grid(cells: DataFrame, raster: DataFrame, meta: GridMeta) -> DataFrame:
-    """A cost raster has the cells of the elevation grid, compared by count and id range."""
-    facts = lambda df, p: df.agg(F.count("*").alias(f"{p}_n"), F.min("cell_id").alias(f"{p}_lo"),
-                                 F.max("cell_id").alias(f"{p}_hi")).withColumn("_one", F.lit(1))
-    both = facts(cells, "a").join(facts(raster, "b"), "_one")
-    same = ((F.col("a_n") == F.col("b_n")) & F.col("a_lo").eqNullSafe(F.col("b_lo"))
-            & F.col("a_hi").eqNullSafe(F.col("b_hi")))
-    return _report(both, "same_grid", F.when(same, "ok").otherwise("other_dimensions"))
+def check_same_grid(raster: DataFrame, meta: GridMeta, raster_meta: GridMeta) -> DataFrame:
+    """A cost raster has the rows and columns of the elevation grid, and each of its cells exactly once."""
+    per_id = raster.groupBy("cell_id").agg(F.count("*").alias("copies"))
+    on_grid = F.coalesce(F.col("cell_id").between(0, meta.n_cells - 1), F.lit(False))
+    facts = per_id.agg(F.count_if(on_grid).alias("distinct"), F.count_if(~on_grid).alias("outside"),
+                       F.count_if(F.col("copies") > 1).alias("repeated"))
+    status = (F.when(F.lit(not meta.same_grid(raster_meta)), "other_dimensions")
+               .when(F.col("outside") > 0, "cells_outside_grid")
+               .when(F.col("repeated") > 0, "repeated_cells")
+               .when(F.col("distinct") != meta.n_cells, "missing_cells").otherwise("ok"))
+    return _report(facts, "same_grid", status)
 
 
 def check_line_schema(lines: DataFrame) -> list[str]:
@@ -114,3 +119,14 @@ def check_line_schema(lines: DataFrame) -> list[str]:
     if "cost" not in lines.columns:
         raise ValueError(f"lines have no column 'cost'; columns: {', '.join(lines.columns)}")
     return lines.columns
+
+
+def line_schema_report(lines: DataFrame) -> DataFrame:
+    """As the other checks: whether a line table has costs."""
+    status = F.lit("ok" if "cost" in lines.columns else "no_cost_column")
+    return _report(lines.agg(F.count("*")), "line_schema", status)
+
+
+def rotation_report(cells: DataFrame, meta: GridMeta) -> DataFrame:
+    """As the other checks: whether the grid is turned, which no operator can work on."""
+    return _report(cells.agg(F.count("*")), "rotation", F.lit("rotated" if meta.is_rotated() else "ok"))

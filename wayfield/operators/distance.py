@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from wayfield.functions.geo import cell_col, cell_row
 from wayfield.functions.offsets import offsets
 from wayfield.operators.numbering import numbered
-from wayfield.operators.tile_kernels import Frame, Stencil, exits, predecessors, relax
+from wayfield.operators.tile_kernels import Frame, Stencil, exits, predecessors, relax, sweep
 from wayfield.operators.tiles import halo_tiles, tile_count, tile_of, with_halo
 from wayfield.schema import GridMeta
 from wayfield.sources.scratch import Scratch, task_slots
@@ -40,14 +40,14 @@ SETTLE_EVERY = 8
 RING = ("source", "tile", "bucket", "cell_id", "d")
 LONGS = pa.list_(pa.int64())
 BLOCK_SCHEMA = pa.schema([("tile", pa.int64()), ("z", pa.binary()), ("m", pa.binary()), ("targets", pa.binary()),
-                          ("halo", pa.int64())])
+                          ("target_weights", pa.binary()), ("halo", pa.int64())])
 BORDER_SCHEMA = pa.schema([("source", pa.int64()), ("tile", pa.int64()), ("bucket", pa.int32()),
                            ("cell_id", pa.int64()), ("d", pa.float64())])
 TREE_SCHEMA = pa.schema([
     ("source", pa.int64()), ("tile", pa.int64()), ("bucket", pa.int32()),
     ("moves", pa.list_(pa.int8())), ("own_moves", pa.list_(pa.int8())), ("d", pa.list_(pa.float64())),
     ("hop_cell", LONGS), ("hop_next", LONGS), ("hop_steps", LONGS),
-    ("goal_cell", LONGS), ("goal_d", pa.list_(pa.float64()))])
+    ("goal_cell", LONGS), ("goal_d", pa.list_(pa.float64())), ("leave_cell", LONGS), ("leave_n", LONGS)])
 
 
 @dataclass
@@ -55,24 +55,23 @@ class CostTrees:
     """Least-cost trees of a set of sources, one row per (source, tile).
 
     ``moves`` holds the predecessor move of each cell of the tile's area; the ``hop`` columns say
-    for border and target cells where their path leaves the area and after how many steps; the
-    ``goal`` columns hold the costs of the targets. ``own_moves`` and ``d`` cover the tile's own
-    cells and are null unless asked for.
+    for border cells where their path leaves the area and after how many steps; the ``leave``
+    columns say in which cells outside the area how many paths from the tile's own targets arrive.
+    The ``goal`` columns hold the costs of the targets, and hops start there too, if ``with_goals``
+    was set (so a row for each source and target: not for searches between all points).
+    ``own_moves`` and ``d`` cover the tile's own cells and are null unless asked for.
     """
 
     trees: DataFrame
     stencil: Stencil
     scratch: Scratch
     rounds: int
+    blocks: DataFrame
 
     @property
     def meta(self) -> GridMeta:
         return self.stencil.meta
 
-    @property
-    def single_tile(self) -> bool:
-        return tile_count(self.meta, self.stencil.size) == 1
-
 
 def with_row_col(cells: DataFrame, meta: GridMeta) -> DataFrame:
     return (cells.withColumn("row", cell_row(F.col("cell_id"), meta))
@@ -89,28 +88,27 @@ def group_sources(sources: DataFrame, stencil: Stencil, scratch: Scratch) -> Dat
     at = with_row_col(sources.select("cell_id").distinct(), meta)
     placed = scratch.save(at.select(F.col("cell_id").alias("source"), tile_of(
         F.col("row"), F.col("col"), meta, stencil.size).alias("tile")), "sources")
-    if placed.count() <= SOURCES_PER_GROUP:
-        return placed.withColumn("bucket", F.lit(0))
     ranked = numbered(placed, ["tile", "source"], scratch)
     return ranked.select("source", "tile", F.floor(F.col("rank") / SOURCES_PER_GROUP).cast("int").alias("bucket"))
 
 
 def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
                targets: DataFrame | None = None) -> DataFrame:
-    """One row per tile: elevations and multipliers of its padded extent, positions of targets,
-    and how many halo cells have an elevation.
+    """One row per tile: elevations and multipliers of its padded extent, positions and weights of
+    targets (``cell_id`` and, if there is one, ``m``), and how many halo cells have an elevation.
 
     The inputs are stacked and not joined, so all of them are shuffled once, by tile.
     """
     meta = stencil.meta
     none = F.lit(None).cast("double")
-    rows = cells.where(F.col("z").isNotNull()).select("row", "col", "z", none.alias("m"), F.lit(False).alias("t"))
+    rows = cells.where(F.col("z").isNotNull()).select("row", "col", "z", none.alias("m"), F.lit(0).cast("bigint").alias("t"))
     if mult is not None:
         rows = rows.unionByName(with_row_col(mult, meta).select(
-            "row", "col", none.alias("z"), "m", F.lit(False).alias("t")))
+            "row", "col", none.alias("z"), "m", F.lit(0).cast("bigint").alias("t")))
     if targets is not None:
-        rows = rows.unionByName(with_row_col(targets.select("cell_id"), meta).select(
-            "row", "col", none.alias("z"), none.alias("m"), F.lit(True).alias("t")))
+        weight = F.col("m").cast("bigint") if "m" in targets.columns else F.lit(1).cast("bigint")
+        weighed = targets.groupBy("cell_id").agg(F.sum(weight).alias("t"))
+        rows = rows.unionByName(with_row_col(weighed, meta).select("row", "col", none.alias("z"), none.alias("m"), "t"))
     has_mult = mult is not None
 
     def pack(key, rows):
@@ -123,11 +121,12 @@ def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None
             layer = np.full(frame.length, empty)
             layer[at[known]] = values[known]
             layers.append(layer)
-        goal = np.unique(at[column(rows, "t").astype(bool)])
-        goal = goal[frame.in_own[goal]].astype(np.int64)
+        weight = column(rows, "t")
+        goal = np.flatnonzero((weight > 0) & frame.in_own[at])
+        goal, weight = at[goal].astype(np.int64), weight[goal]
         halo = np.count_nonzero(~np.isnan(layers[0][~frame.in_area]))
         return pa.table([key[:1], [layers[0].tobytes()], [layers[1].tobytes() if has_mult else None],
-                         [goal.tobytes()], [halo]], schema=BLOCK_SCHEMA)
+                         [goal.tobytes()], [weight.tobytes()], [halo]], schema=BLOCK_SCHEMA)
 
     local = with_halo(rows, meta, stencil.size, stencil.overlap + stencil.reach)
     slots = min(task_slots(cells.sparkSession), tile_count(meta, stencil.size))
@@ -142,24 +141,24 @@ def _load_tile(key, ring, block, stencil):
     """Frame, weights, targets, sources and starting distances of one (tile, bucket) group."""
     frame = Frame(key[0].as_py(), stencil)
     if len(block):
-        z, m, goal = (None if v is None else np.frombuffer(v, t) for v, t in
-                      ((block.column(name)[0].as_py(), t) for name, t in
-                       (("z", np.float64), ("m", np.float64), ("targets", np.int64))))
+        z, m, goal, weight = (None if v is None else np.frombuffer(v, t) for v, t in
+                              ((block.column(name)[0].as_py(), t) for name, t in
+                               (("z", np.float64), ("m", np.float64), ("targets", np.int64), ("target_weights", np.int64))))
     else:  # a tile without any elevation has no block
-        z, m, goal = np.full(frame.length, np.nan), None, np.zeros(0, np.int64)
+        z, m, goal, weight = np.full(frame.length, np.nan), None, np.zeros(0, np.int64), np.zeros(0, np.int64)
     w = frame.weights(z, m)
     sources, who = np.unique(column(ring, "source"), return_inverse=True)
     d = np.full((len(sources), frame.length), np.inf)
     d[who, frame.positions(column(ring, "cell_id"))] = column(ring, "d")
     relax(d, w, frame.steps)
-    return frame, w, goal, sources, d
+    return frame, w, goal, weight, sources, d
 
 
 def _border_costs(stencil: Stencil):
     def run(key, ring, block):
         if not len(ring):
             return BORDER_SCHEMA.empty_table()
-        frame, _, goal, sources, d = _load_tile(key, ring, block, stencil)
+        frame, _, goal, _, sources, d = _load_tile(key, ring, block, stencil)
         who, at = np.nonzero(np.isfinite(d[:, frame.border]))
         at = frame.border[at]
         out = [(sources[who], frame.cells(at), d[who, at])]
@@ -173,14 +172,18 @@ def _border_costs(stencil: Stencil):
     return run
 
 
-def _tree_rows(stencil: Stencil, keep_cells: bool):
+def _tree_rows(stencil: Stencil, keep_cells: bool, with_goals: bool):
     def run(key, ring, block):
         if not len(ring):
             return TREE_SCHEMA.empty_table()
-        frame, w, goal, sources, d = _load_tile(key, ring, block, stencil)
+        frame, w, goal, weight, sources, d = _load_tile(key, ring, block, stencil)
         n = len(sources)
         moves = np.full(d.shape, -1, np.int8)
         moves[:, frame.area] = best = predecessors(d, w, frame)
+        total = np.zeros(d.shape, np.int64)
+        total[:, goal] = np.where(moves[:, goal] >= 0, weight, 0)
+        out, count = sweep(total.reshape(-1), moves.reshape(-1), frame)
+        goal = goal if with_goals else goal[:0]
         wanted = np.union1d(frame.border, goal).astype(np.int64)
         who, at = np.nonzero(np.isfinite(d[:, wanted]))
         left, steps = exits(who * frame.length + wanted[at], moves.reshape(-1), frame)
@@ -198,7 +201,8 @@ def _tree_rows(stencil: Stencil, keep_cells: bool):
                for name, x in (("own_moves", moves), ("d", d))]
         columns = [sources, pa.repeat(key[0], n), pa.repeat(key[1], n), per_cell(best), *own,
                    per_source(who, frame.cells(wanted[at])), per_source(who, nxt), per_source(who, steps),
-                   per_source(hit_who, frame.cells(goal[hit])), per_source(hit_who, d[hit_who, goal[hit]])]
+                   per_source(hit_who, frame.cells(goal[hit])), per_source(hit_who, d[hit_who, goal[hit]]),
+                   per_source(out // frame.length, frame.cells(out % frame.length)), per_source(out // frame.length, count)]
         return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns],
                         schema=TREE_SCHEMA)
     return run
@@ -235,11 +239,12 @@ def _bounds(ring: DataFrame, target_tiles: int) -> DataFrame:
 
 def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
                targets: DataFrame | None = None, bounded: bool = False, keep_cells: bool = False,
-               blocks: DataFrame | None = None) -> CostTrees:
+               blocks: DataFrame | None = None, with_goals: bool = False) -> CostTrees:
     """Solve least cost from every cell in ``sources`` (``cell_id``) over the grid.
 
     With ``bounded`` the search of a source ends at the cost of its farthest target, which changes
-    no result at the targets. ``blocks`` are packed tiles to use again.
+    no result at the targets. ``blocks`` are packed tiles to use again. ``with_goals`` keeps a row for
+    each source and target.
     """
     spark = cells.sparkSession
     scratch = Scratch(spark, "cost")
@@ -280,8 +285,8 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
             scratch.drop(older)
 
     known = reduce(DataFrame.unionByName, final, ring.where("cell_id >= 0").select(*RING))
-    trees = scratch.save(_per_group(known, blocks, slots, _tree_rows(stencil, keep_cells), TREE_SCHEMA), "trees")
-    return CostTrees(trees, stencil, scratch, rounds)
+    trees = scratch.save(_per_group(known, blocks, slots, _tree_rows(stencil, keep_cells, with_goals), TREE_SCHEMA), "trees")
+    return CostTrees(trees, stencil, scratch, rounds, blocks)
 
 
 def _merge(ring: DataFrame, news: DataFrame, slots: int, bounds: DataFrame | None, some_settled: bool) -> DataFrame:
@@ -383,7 +388,7 @@ def cost_distance(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult:
 
 def pairwise_cost(cells: DataFrame, points: DataFrame, stencil: Stencil, mult: DataFrame | None = None) -> DataFrame:
     """Origin-destination costs between all point cells."""
-    return target_costs(cost_trees(cells, points, stencil, mult, targets=points, bounded=True))
+    return target_costs(cost_trees(cells, points, stencil, mult, targets=points, bounded=True, with_goals=True))
 
 
 def reachability(costs: DataFrame, dests: DataFrame) -> DataFrame:

@@ -75,13 +75,14 @@ def edges(cells: DataFrame, k: int, meta: GridMeta, mult: DataFrame | None = Non
     return pairs.select("src", "dst", w.alias("w"))
 
 
-def degree_profile(edge_table: DataFrame) -> DataFrame:
-    """Out-degree of every cell that has an edge."""
-    return edge_table.groupBy("src").agg(F.count("*").alias("degree"))
+def degree_profile(edge_table: DataFrame, cells: DataFrame) -> DataFrame:
+    """Out-degree of every cell, 0 for cells without an edge."""
+    rows = edge_table.select("src", F.lit(1).alias("one")).unionByName(cells.select(F.col("cell_id").alias("src"), F.lit(0).alias("one")))
+    return rows.groupBy("src").agg(F.sum("one").alias("degree"))
 
 
-def edge_totals(edge_table: DataFrame) -> DataFrame:
-    """Edge count and the range of out-degrees as one row."""
-    return degree_profile(edge_table).agg(
+def edge_totals(edge_table: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells, edges and the range of out-degrees as one row."""
+    return degree_profile(edge_table, cells).agg(
         F.count("*").alias("cells"), F.coalesce(F.sum("degree"), F.lit(0)).alias("edges"),
         F.min("degree").alias("min_degree"), F.max("degree").alias("max_degree"))

@@ -38,14 +38,15 @@ def slope(cells: DataFrame, meta: GridMeta, units: str = "degrees", tile_size: i
 
 def base_cost(cells: DataFrame, k: int, meta: GridMeta, cost: str = "tobler",
               tile_size: int = STENCIL_TILE) -> DataFrame:
-    """Mean cost of leaving a cell towards its valid neighbours; 0 if it has none.
+    """Mean cost of leaving a cell towards its valid neighbours; 0 if it has none, null without elevation.
 
     The group key starts with the tile, so the aggregation needs no further shuffle.
     """
     pairs = neighbour_pairs(cells, k, meta, tile_size, how="left")
     w = cost_function(cost)(F.col("dh"), F.col("z_to") - F.col("z_from"), "speed")
-    return (pairs.groupBy("tile", "src").agg(F.avg(w).alias("w"))
-                 .select(F.col("src").alias("cell_id"), F.coalesce("w", F.lit(0.0)).alias("value")))
+    value = F.when(F.col("z").isNotNull(), F.coalesce("w", F.lit(0.0)))
+    return (pairs.groupBy("tile", "src").agg(F.avg(w).alias("w"), F.max("z_from").alias("z"))
+                 .select(F.col("src").alias("cell_id"), value.alias("value")))
 
 
 def combine_multipliers(cells: DataFrame, line_mult: DataFrame | None,

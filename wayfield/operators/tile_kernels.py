@@ -116,18 +116,27 @@ class Frame:
 
 
 def relax(d, w, steps):
-    """Lower the distances ``d`` (sources x positions) until no move improves any of them."""
+    """Lower the distances ``d`` (sources x positions) until no move improves any of them; returns the number of rounds.
+
+    A round moves on from the positions that are nearly the nearest of their own source, so sources
+    that are far apart in cost do not wait for each other, and it touches only what has changed.
+    """
     length = w.shape[1]
     flat = d.reshape(-1)
     finite = w[np.isfinite(w)]
     width = 2.0 * float(np.median(finite)) if len(finite) else 0.0
-    changed = np.isfinite(flat)
-    live = np.flatnonzero(changed)
+    queued = np.isfinite(flat)
+    live = np.flatnonzero(queued)
+    rounds = 0
     while len(live):
-        here = flat[live]
-        near = here <= here.min() + width
+        rounds += 1
+        here, source = flat[live], live // length
+        least = np.full(len(d), np.inf)
+        np.minimum.at(least, source, here)
+        near = here <= least[source] + width
         now, base = live[near], here[near]
-        changed[now] = False
+        queued[now] = False
+        following = [live[~near]]
         at = now % length
         for i, step in enumerate(steps):
             to = now + step
@@ -135,8 +144,11 @@ def relax(d, w, steps):
             better = value < flat.take(to)
             to = to[better]
             flat[to] = value[better]
-            changed[to] = True
-        live = np.flatnonzero(changed)
+            to = to[~queued[to]]
+            queued[to] = True
+            following.append(to)
+        live = np.concatenate(following)
+    return rounds
 
 
 def predecessors(d, w, frame):
@@ -193,3 +205,29 @@ def visits(starts, moves, frame):
         at, who = at[ok] - frame.steps[move[ok]], who[ok]
         inside = frame.in_area[at % frame.length]
         at, who, step = at[inside], who[inside], step + 1
+
+
+def sweep(total, moves, frame):
+    """Let the counts ``total`` (flat, sources x positions) flow along the predecessors, children first.
+
+    Each position ends with what started there or passed through it. Returns the flat positions
+    outside the area that counts left to, and how many; every position is visited once.
+    """
+    at = np.flatnonzero(moves >= 0)
+    parent = np.full(len(moves), -1, np.int64)
+    parent[at] = at - frame.steps[moves[at]]
+    inside = np.zeros(len(moves), bool)
+    inside[at] = frame.in_area[parent[at] % frame.length]
+    waiting = np.bincount(parent[at[inside[at]]], minlength=len(moves))
+    ready = at[waiting[at] == 0]
+    while len(ready):
+        to = parent[ready[inside[ready]]]
+        np.add.at(total, to, total[ready[inside[ready]]])
+        np.subtract.at(waiting, to, 1)
+        to = np.unique(to)
+        ready = to[(waiting[to] == 0) & (parent[to] >= 0)]
+    out = at[~inside[at] & (total[at] != 0)]
+    left, which = np.unique(parent[out], return_inverse=True)
+    n = np.zeros(len(left), np.int64)
+    np.add.at(n, which, total[out])
+    return left, n

@@ -17,7 +17,7 @@ from wayfield.functions.geo import cell_col, cell_row, cell_to_world
 from wayfield.operators.distance import CostTrees, column, goals, hops, with_row_col
 from wayfield.operators.numbering import numbered
 from wayfield.operators.terrain import dilate
-from wayfield.operators.tile_kernels import Frame, Stencil, visits
+from wayfield.operators.tile_kernels import Frame, Stencil, sweep, visits
 from wayfield.operators.tiles import tile_of
 from wayfield.schema import GridMeta
 from wayfield.sources.features import line_wkt
@@ -57,14 +57,13 @@ def flow(hop_table: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame
     return entries.groupBy("source", "bucket", "cell_id").agg(F.sum("n").alias("n"))
 
 
-def path_starts(solved: CostTrees, dests: DataFrame) -> DataFrame:
-    """Reached destinations of every source as tokens; ``dests`` is ``cell_id, m``.
+def path_exits(solved: CostTrees) -> DataFrame:
+    """Paths that leave the area they start in, as tokens: one for each source and cell they leave to.
 
     A source's own cell starts no path.
     """
-    return (goals(solved).where(F.col("cell_id") != F.col("source"))
-            .join(dests.select("cell_id", "m"), "cell_id")
-            .select("source", "bucket", "cell_id", F.col("m").alias("n")))
+    left = solved.trees.select("source", "bucket", F.inline(F.arrays_zip("leave_cell", "leave_n")))
+    return left.groupBy("source", "bucket", F.col("leave_cell").alias("cell_id")).agg(F.sum("leave_n").alias("n"))
 
 
 def _load_trees(key, starts, trees, stencil):
@@ -80,14 +79,20 @@ def _load_trees(key, starts, trees, stencil):
 
 def _count_cells(stencil: Stencil, per_source: bool):
     def run(key, entries, trees):
-        if not len(entries) or not len(trees):
+        if not len(trees):
             return COUNT_SCHEMA.empty_table()
-        frame, sources, moves, starts = _load_trees(key, entries, trees, stencil)
-        n = column(entries, "n")
+        coming = entries.filter(entries.column("targets").is_null())
+        frame, sources, moves, at = _load_trees(key, coming, trees, stencil)
         total = np.zeros(moves.size, np.int64)
-        for who, _, at in visits(starts, moves, frame):
-            np.add.at(total, at, n[who])
+        for content in entries.filter(entries.column("targets").is_valid()).to_pylist():  # one row
+            goal, weight = (np.frombuffer(content[c], np.int64) for c in ("targets", "target_weights"))
+            view = total.reshape(len(sources), -1)
+            view[:, goal] = np.where(moves.reshape(len(sources), -1)[:, goal] >= 0, weight, 0)
+        np.add.at(total, at, column(coming, "n"))
+        sweep(total, moves, frame)
         total = total.reshape(len(sources), -1)
+        total[:, ~frame.in_area] = 0
+        total *= column(trees, "weight")[:, None]
         if not per_source:
             total = total.sum(axis=0, keepdims=True)
         who, at = np.nonzero(total)
@@ -103,25 +108,31 @@ def _in_tiles(solved: CostTrees, table: DataFrame) -> DataFrame:
             .withColumn("tile", tile_of(F.col("row"), F.col("col"), meta, size)).drop("row", "col"))
 
 
-def path_counts(solved: CostTrees, dests: DataFrame, source_weights: DataFrame | None = None,
-                per_source: bool = True) -> DataFrame:
-    """How many paths from each source to the destinations pass through each cell.
+def path_counts(solved: CostTrees, source_weights: DataFrame | None = None, per_source: bool = True) -> DataFrame:
+    """How many paths from each source to the targets of its search pass through each cell.
 
-    ``dests`` is ``cell_id, m``. With ``per_source=False`` the counts, times the weights of the
-    sources (``cell_id, m``), are summed over sources inside the tasks: ``cell_id, n``, where a
-    cell may still come in several rows.
+    Paths are counted with the weights of the targets and, if given, of the sources (``cell_id, m``).
+    What moves between tiles are counts at the cells where paths enter a tile, so their number does
+    not depend on that of the targets; inside a tile one sweep adds up what starts and what enters.
+    With ``per_source=False`` the counts are summed over sources inside the tasks: ``cell_id, n``,
+    where a cell may still come in several rows.
     """
-    starts = path_starts(solved, dests)
-    entries = starts if solved.single_tile else flow(
-        solved.scratch.save_bucketed(hops(solved), "hops", "source", "cell_id"), starts, solved.scratch)
-    if source_weights is not None:
-        weights = source_weights.select(F.col("cell_id").alias("source"), F.col("m").alias("_w"))
-        entries = entries.join(weights, "source").select(
-            "source", "bucket", "cell_id", (F.col("n") * F.col("_w")).alias("n"))
+    scratch = solved.scratch
+    entries = flow(scratch.save_bucketed(hops(solved), "hops", "source", "cell_id"), path_exits(solved), scratch)
     slots = task_slots(entries.sparkSession)
     # Fresh column ids: without tile changes the entries come straight from the same scan.
     trees = solved.trees.select([F.col(c).alias(c) for c in ("source", "tile", "bucket", "moves")])
-    entries = _in_tiles(solved, entries)
+    none = F.lit(None).cast("binary")
+    seeds = (solved.trees.select("tile", "bucket").distinct()
+             .join(solved.blocks.where(F.length("targets") > 0).select("tile", "targets", "target_weights"), "tile"))
+    nothing = F.lit(None).cast("bigint")
+    entries = (_in_tiles(solved, entries).select("source", "tile", "bucket", "cell_id", "n", none.alias("targets"), none.alias("target_weights"))
+               .unionByName(seeds.select(nothing.alias("source"), "tile", "bucket", nothing.alias("cell_id"), nothing.alias("n"), "targets", "target_weights")))
+    if source_weights is not None:
+        weights = source_weights.select(F.col("cell_id").alias("source"), F.col("m").cast("bigint").alias("weight"))
+        trees = trees.join(weights, "source")
+    else:
+        trees = trees.withColumn("weight", F.lit(1).cast("bigint"))
     counted = (entries.repartition(slots, "tile", "bucket").groupBy("tile", "bucket")
                .cogroup(trees.repartition(slots, "tile", "bucket").groupBy("tile", "bucket"))
                .applyInArrow(_count_cells(solved.stencil, per_source), from_arrow_schema(COUNT_SCHEMA)))
@@ -170,7 +181,8 @@ def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
     way near a source all pass through the same tile; their pieces are split by a salt there.
     """
     scratch = solved.scratch
-    hop_table = scratch.save_bucketed(hops(solved), "hops", "source", "cell_id")
+    # All paths of a source meet near it: these keys are hot, and a join of two shuffles can be split there.
+    hop_table = scratch.save(hops(solved), "hops")
     first = (goals(solved).join(dest_cells.select("cell_id"), "cell_id", "left_semi")
              .select("source", "bucket", F.col("cell_id").alias("dest_cell"), "cell_id", F.lit(0).cast("bigint").alias("back")))
 
@@ -179,7 +191,7 @@ def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
                    .select("source", "bucket", "dest_cell", F.col("next_cell").alias("cell_id"),
                            (F.col("back") + F.col("steps")).alias("back")))
 
-    pieces = scratch.save(first, "pieces") if solved.single_tile else _rounds(onward, first, scratch, "pieces")
+    pieces = _rounds(onward, first, scratch, "pieces")
     slots = task_slots(pieces.sparkSession)
     lengths = (pieces.join(hop_table, ["source", "cell_id"]).where(F.col("next_cell") < 0)
                .select("source", "dest_cell", (F.col("back") + F.col("steps")).alias("last")))
@@ -198,7 +210,7 @@ def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
 def number_paths(reach: DataFrame, scratch: Scratch) -> DataFrame:
     """Give the reachable destinations path numbers 0, 1, ... by ``dest_id``."""
     known = reach.where("reachable").select("dest_id", "cell_id", "d")
-    return numbered(known, ["dest_id"], scratch, "path_id").withColumn("path_id", F.col("path_id").cast("int"))
+    return numbered(known, ["dest_id"], scratch, "path_id")
 
 
 def path_raster(cell_counts: DataFrame, meta: GridMeta, b: int) -> DataFrame:
@@ -226,12 +238,12 @@ def path_cells(paths: DataFrame, numbered: DataFrame) -> DataFrame:
                     .select("path_id", F.col("step").cast("int").alias("step"), "cell_id"))
 
 
-def lcpa_summary(reach: DataFrame, path_lengths: DataFrame) -> DataFrame:
+def lcpa_summary(reach: DataFrame, crossing: DataFrame) -> DataFrame:
     """Destinations, cells of all written paths, their cost.
 
-    ``path_lengths`` is ``dest_cell, cells``. Unreachable destinations count as destinations only.
+    ``crossing`` is ``cell_id, n``, paths through each cell: every cell of a path counts in it once.
+    Unreachable destinations count as destinations only.
     """
-    known = reach.join(path_lengths.select(F.col("dest_cell").alias("cell_id"), "cells"), "cell_id", "left")
-    return known.agg(F.count("*").alias("num_destinations"),
-                     F.coalesce(F.sum("cells"), F.lit(0)).alias("total_path_cells"),
-                     F.coalesce(F.sum("d"), F.lit(0.0)).alias("total_cost"))
+    cells = crossing.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_path_cells"), F.lit(1).alias("_one"))
+    known = reach.agg(F.count("*").alias("num_destinations"), F.coalesce(F.sum("d"), F.lit(0.0)).alias("total_cost"), F.lit(1).alias("_one"))
+    return known.join(cells, "_one").select("num_destinations", "total_path_cells", "total_cost")

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.functions.geo import require_north_up
 from wayfield.operators import checks
 from wayfield.operators.distance import cost_trees, pack_tiles, reachability, target_costs
-from wayfield.operators.lines import rasterize_lines
+from wayfield.operators.lines import line_coverage, rasterize_lines
 from wayfield.operators.points import points_to_cells, sample_cells
-from wayfield.operators.terrain import base_cost, combine_multipliers, dilate, on_grid, slope, total_cost
+from wayfield.operators.terrain import base_cost, combine_multipliers, dilate, modifier_stats, on_grid, slope, total_cost
 from wayfield.operators.tile_kernels import Stencil
 from wayfield.operators.tracing import (density_summary, lcpa_summary, number_paths, path_cells, path_counts,
                                         path_lines, path_raster, trace_paths)
@@ -20,6 +21,24 @@ from wayfield.schema import GridMeta, JobOptions
 from wayfield.sources.scratch import Scratch
 
 
+class Outputs(Mapping):
+    """The outputs of a job by name; each is made, once, when it is asked for."""
+
+    def __init__(self, makers: dict[str, Callable[[], DataFrame]]):
+        self._makers, self._made = makers, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
 def _require(report: DataFrame) -> None:
     row = report.first()
     if not row["ok"]:
@@ -27,27 +46,42 @@ def _require(report: DataFrame) -> None:
 
 
 def _surfaces(cells: DataFrame, meta: GridMeta, options: JobOptions, lines: DataFrame | None,
-              cost_raster: DataFrame | None) -> tuple[dict[str, DataFrame], DataFrame | None]:
-    """Slope, base cost and, when there are modifiers, additional and total cost."""
+              cost_raster: DataFrame | None, raster_meta: GridMeta | None) -> tuple[dict[str, Callable], DataFrame | None, list]:
+    """Makers of slope, base cost and, when there are modifiers, additional and total cost; the multipliers; report lines."""
     base = base_cost(cells, options.neighbours, meta, options.cost_function)
-    out = {"slope": slope(cells, meta, options.slope_units), "base_cost": base}
+    out = {"slope": lambda: slope(cells, meta, options.slope_units), "base_cost": lambda: base}
+    facts = []
     if cost_raster is not None:
-        report = checks.check_same_grid(cells, cost_raster, meta)
-        if not report.first()["ok"]:
+        report = checks.check_same_grid(cost_raster, meta, raster_meta or meta)
+        row = report.first()
+        if not row["ok"]:
             if options.on_mismatch == "raise":
-                _require(report)
+                raise ValueError(f"input check {row['check']!r} failed: {row['status']}")
             cost_raster = None
+        facts.append(("cost_raster", "applied" if row["ok"] else f"skipped: {row['status']}", None))
     line_mult = None
     if lines is not None:
         checks.check_line_schema(lines)
         line_mult = rasterize_lines(lines, meta, options.line_buffer, options.line_combine)
+    if line_mult is not None or cost_raster is not None:
+        stats = modifier_stats(line_mult if line_mult is not None else base.select("cell_id", F.lit(1.0).alias("m")).limit(0),
+                               cost_raster if cost_raster is not None else base.select("cell_id", F.lit(1.0).alias("v")).limit(0), meta).first()
+        facts += [(name, None, float(stats[name] or 0)) for name in ("modified_cells", "modified_percent", "applied_raster_cells")]
+    if lines is not None:
+        covered = line_coverage(lines, meta).first()
+        facts += [(f"line_{name}", None, float(covered[name] or 0)) for name in ("features", "features_inside", "vertices", "vertices_inside")]
     if line_mult is None and cost_raster is None:
-        return out, None
+        return out, None, facts
     mult = Scratch(cells.sparkSession, "multipliers").save(
         combine_multipliers(cells, line_mult, cost_raster), "m")
-    out["additional_cost"] = mult.select("cell_id", F.col("m").alias("value"))
-    out["total_cost"] = total_cost(base, mult)
-    return out, mult
+    out["additional_cost"] = lambda: mult.select("cell_id", F.col("m").alias("value"))
+    out["total_cost"] = lambda: total_cost(base, mult)
+    return out, mult, facts
+
+
+def _report(spark: SparkSession, facts: list[tuple[str, str | None, float | None]]) -> DataFrame:
+    """What a job did with its inputs: ``fact, status, value``."""
+    return spark.createDataFrame(facts, "fact string, status string, value double")
 
 
 def point_density(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOptions = JobOptions(),
@@ -68,47 +102,77 @@ def point_density(cells: DataFrame, points: DataFrame, meta: GridMeta, options:
     for i in range(passes):
         sources = samples.where(F.pmod(F.hash("cell_id"), F.lit(passes)) == i)
         solved = cost_trees(cells, sources, stencil, targets=samples, bounded=True, blocks=blocks)
-        counts = path_counts(solved, samples, source_weights=samples, per_source=False)
+        counts = path_counts(solved, source_weights=samples, per_source=False)
         parts.append(scratch.save(counts.groupBy("cell_id").agg(F.sum("n").alias("value")), "counts"))
         solved.scratch.clear()
     return dilate(reduce(DataFrame.unionByName, parts), meta, options.buffer, "sum")
 
 
 def fete(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOptions = JobOptions(),
-         lines: DataFrame | None = None, cost_raster: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Movement from everywhere to everywhere: cost surfaces and the density of all paths."""
+         lines: DataFrame | None = None, cost_raster: DataFrame | None = None,
+         raster_meta: GridMeta | None = None) -> Outputs:
+    """Movement from everywhere to everywhere: cost surfaces and the density of all paths.
+
+    The DEM is always checked; ``on_outside`` says only whether points off the grid stop the job or
+    are passed over. ``raster_meta`` is the cost raster's own grid, if it may differ.
+    """
     require_north_up(meta)
-    _require(checks.first_failure(checks.check_inputs(cells, points, meta))
-             if options.on_outside == "raise" else checks.check_points(points_to_cells(points, meta)))
-    out, mult = _surfaces(cells, meta, options, lines, cost_raster)
-    out["density"] = on_grid(cells, point_density(cells, points, meta, options, mult))
-    out["summary"] = density_summary(out["density"], meta)
-    return out
+    found = {r["check"]: r for r in checks.check_inputs(cells, points, meta).collect()}
+    for name in ("dem", "points", *(["points_bounds"] if options.on_outside == "raise" else [])):
+        if not found[name]["ok"]:
+            raise ValueError(f"input check {name!r} failed: {found[name]['status']}")
+    bounds = checks.points_bounds(points, meta).first()
+    if bounds["without_cell"] == bounds["total"]:
+        raise ValueError("input check 'points' failed: no_points on the grid")
+    out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta)
+    facts = [("points", None, float(bounds["total"])), ("points_skipped", None, float(bounds["without_cell"])), *facts]
+    outputs = Outputs(out | {
+        "density": lambda: on_grid(cells, point_density(cells, points, meta, options, mult)),
+        "summary": lambda: density_summary(outputs["density"], meta),
+        "report": lambda: _report(cells.sparkSession, facts)})
+    return outputs
 
 
 def lcpa(cells: DataFrame, origin: DataFrame, destinations: DataFrame, meta: GridMeta,
          options: JobOptions = JobOptions(), lines: DataFrame | None = None,
-         cost_raster: DataFrame | None = None, anchor: str = "corner") -> dict[str, DataFrame]:
-    """Least-cost paths from one origin to many destinations."""
+         cost_raster: DataFrame | None = None, anchor: str = "corner", raster_meta: GridMeta | None = None) -> Outputs:
+    """Least-cost paths from one origin to many destinations.
+
+    Rasters and summary come from counts of paths and not from the paths' cells, which are made
+    only for ``paths`` and ``path_lines``.
+    """
     require_north_up(meta)
+    _require(checks.check_dem(cells, meta))
     _require(checks.check_origin(origin))
-    _require(checks.check_destinations(destinations, meta))
+    skipped = checks.check_destinations(destinations, meta).first()
+    if not skipped["ok"]:
+        raise ValueError(f"input check 'destinations' failed: {skipped['status']}")
     _require(checks.check_points(points_to_cells(origin, meta)))
-    out, mult = _surfaces(cells, meta, options, lines, cost_raster)
+    out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta)
+    facts = [("destinations", None, float(skipped["total"])), ("destinations_skipped", None, float(skipped["skipped"])), *facts]
+    spark = cells.sparkSession
+    scratch = Scratch(spark, "lcpa")
     stencil = Stencil(meta, options.neighbours, options.tile_size, "speed", options.cost_function)
     source = points_to_cells(origin, meta).select("cell_id")
-    dests = checks.usable_destinations(destinations, meta)
-    targets = dests.groupBy("cell_id").agg(F.count("*").alias("m"))
-    solved = cost_trees(cells, source, stencil, mult, targets, bounded=True)
-    reach = solved.scratch.save(reachability(target_costs(solved), dests), "reach")
-    paths = solved.scratch.save(trace_paths(solved, targets), "paths")
-    numbered = number_paths(reach, solved.scratch)
-    lengths = paths.groupBy("dest_cell").agg(F.count("*").alias("cells"))
-    crossing = (paths.join(targets.select(F.col("cell_id").alias("dest_cell"), "m"), "dest_cell")
-                     .groupBy("cell_id").agg(F.sum("m").alias("n")))
-    out["reachability"] = reach
-    out["paths"] = path_cells(paths, numbered)
-    out["path_lines"] = path_lines(paths, numbered, meta, anchor)
-    out["path_raster"] = on_grid(cells, path_raster(crossing, meta, options.buffer))
-    out["summary"] = lcpa_summary(reach, lengths)
-    return out
+    dests = scratch.save(checks.usable_destinations(destinations, meta), "dests")
+    targets = scratch.save(dests.groupBy("cell_id").agg(F.count("*").alias("m")), "targets")
+
+    def crossing() -> DataFrame:
+        counts = path_counts(made["solved"], per_source=False)
+        # A destination in the origin's own cell has that cell as its path.
+        own = targets.join(source, "cell_id", "left_semi").select("cell_id", F.col("m").alias("n"))
+        return scratch.save(counts.unionByName(own).groupBy("cell_id").agg(F.sum("n").alias("n")), "crossing")
+
+    made = Outputs({
+        "solved": lambda: cost_trees(cells, source, stencil, mult, targets, bounded=True, with_goals=True),
+        "reach": lambda: scratch.save(reachability(target_costs(made["solved"]), dests), "reach"),
+        "crossing": crossing,
+        "paths": lambda: scratch.save(trace_paths(made["solved"], targets), "paths"),
+        "numbered": lambda: number_paths(made["reach"], scratch)})
+    return Outputs(out | {
+        "reachability": lambda: made["reach"],
+        "paths": lambda: path_cells(made["paths"], made["numbered"]),
+        "path_lines": lambda: path_lines(made["paths"], made["numbered"], meta, anchor),
+        "path_raster": lambda: on_grid(cells, path_raster(made["crossing"], meta, options.buffer)),
+        "summary": lambda: lcpa_summary(made["reach"], made["crossing"]),
+        "report": lambda: _report(spark, facts)})

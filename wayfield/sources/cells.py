@@ -11,6 +11,7 @@ from wayfield.schema import CELLS, COST_RASTER, GridMeta
 
 # Side of a storage block in cells: 2048 x 2048 cells give files of tens of MB.
 BLOCK_SIDE = 2048
+BLOCKS = ("block_side", "block_row", "block_col")
 
 
 def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
@@ -20,34 +21,33 @@ def _read(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> Dat
     return reader.format(fmt).load(path)
 
 
-def _with_block(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField("block_row", T.IntegerType()),
-                                         T.StructField("block_col", T.IntegerType())])
-
-
 def read_dem(spark: SparkSession, path: str, meta: GridMeta, nodata: float | None = None,
              fmt: str = "parquet", window: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Elevation cells; the NoData value and NaN become null.
 
     ``path`` holds columns ``cell_id, z``. ``window`` is (first row, last row, first col, last
-    col); on a table written by :func:`write_cells` it prunes whole storage blocks.
+    col); if the table has the storage blocks of :func:`write_cells`, whole blocks are skipped. Their
+    size is stored with them.
     """
     raw = T.StructType([T.StructField("cell_id", T.LongType()), T.StructField("z", T.DoubleType())])
-    blocked = window is not None and fmt == "parquet"
-    cells = _read(spark, path, _with_block(raw) if blocked else raw, fmt)
+    blocked = window is not None and fmt == "parquet" and "block_side" in spark.read.parquet(path).columns
+    if blocked:
+        raw = T.StructType(raw.fields + [T.StructField(c, T.IntegerType()) for c in BLOCKS])
+    cells = _read(spark, path, raw, fmt)
     missing = F.isnan("z") if nodata is None else F.isnan("z") | (F.col("z") == nodata)
     cells = cells.select(
         "cell_id",
         cell_row(F.col("cell_id"), meta).cast("int").alias("row"),
         cell_col(F.col("cell_id"), meta).cast("int").alias("col"),
         F.when(missing, None).otherwise(F.col("z")).alias("z"),
-        *(["block_row", "block_col"] if blocked else []))
+        *(BLOCKS if blocked else []))
     if window is not None:
         r0, r1, c0, c1 = window
         cells = cells.where(F.col("row").between(r0, r1) & F.col("col").between(c0, c1))
         if blocked:
-            cells = cells.where(F.col("block_row").between(r0 // BLOCK_SIDE, r1 // BLOCK_SIDE)
-                                & F.col("block_col").between(c0 // BLOCK_SIDE, c1 // BLOCK_SIDE))
+            side = F.col("block_side")
+            for block, low, high in (("block_row", r0, r1), ("block_col", c0, c1)):
+                cells = cells.where(((F.col(block) + 1) * side > low) & (F.col(block) * side <= high))
     return cells.select(*CELLS.names)
 
 
@@ -80,11 +80,11 @@ def write_cells(df: DataFrame, path: str, meta: GridMeta, mode: str = "errorifex
     A block is spread over its rows' hash too, so one block is never one task's whole work.
     """
     row, col = cell_row(F.col("cell_id"), meta), cell_col(F.col("cell_id"), meta)
-    (df.withColumn("block_row", F.floor(row / BLOCK_SIDE).cast("int"))
+    (df.withColumn("block_side", F.lit(BLOCK_SIDE)).withColumn("block_row", F.floor(row / BLOCK_SIDE).cast("int"))
        .withColumn("block_col", F.floor(col / BLOCK_SIDE).cast("int"))
        .repartition("block_row", "block_col", F.pmod(F.hash(row), F.lit(4)))
        .sortWithinPartitions("block_row", "block_col", "cell_id")
-       .write.mode(mode).partitionBy("block_row", "block_col").parquet(path))
+       .write.mode(mode).partitionBy(*BLOCKS).parquet(path))
 
 
 def full_grid(spark: SparkSession, meta: GridMeta) -> DataFrame:

@@ -28,24 +28,26 @@ def keep_geometry(df: DataFrame, kinds: tuple[str, ...], wkt: str = "wkt") -> Da
 
 
 def _vertex(text: Column) -> Column:
+    """Two numbers; null where there are none, as in an empty geometry."""
     xy = F.split(F.trim(text), r"\s+")
-    return F.struct(xy[0].cast("double").alias("x"), xy[1].cast("double").alias("y"))
+    return F.struct(*[F.get(xy, F.lit(i)).try_cast("double").alias(c) for i, c in enumerate("xy")])
 
 
 def points_from_wkt(df: DataFrame, wkt: str = "wkt") -> DataFrame:
-    """``point_id, wkt`` to ``point_id, x, y``; other geometries are left out."""
+    """``point_id, wkt`` to ``point_id, x, y``; other and empty geometries are left out."""
     inner = F.regexp_extract(F.col(wkt), r"\(([^()]*)\)", 1)
     vertex = _vertex(inner)
     return keep_geometry(df, ("POINT",), wkt).select(
-        "point_id", vertex["x"].alias("x"), vertex["y"].alias("y"))
+        "point_id", vertex["x"].alias("x"), vertex["y"].alias("y")).where("x is not null and y is not null")
 
 
 def lines_from_wkt(df: DataFrame, wkt: str = "wkt") -> DataFrame:
-    """``line_id, cost, wkt`` to nested parts; other geometries are left out."""
+    """``line_id, cost, wkt`` to nested parts; other geometries and vertices that are no numbers are left out."""
+    known = lambda v: v["x"].isNotNull() & v["y"].isNotNull()
     parts = F.regexp_extract_all(F.col(wkt), F.lit(r"\(([^()]+)\)"), 1)
     return keep_geometry(df, LINE_KINDS, wkt).select(
         "line_id", "cost",
-        F.transform(parts, lambda part: F.transform(F.split(part, ","), _vertex)).alias("parts"))
+        F.transform(parts, lambda part: F.filter(F.transform(F.split(part, ","), _vertex), known)).alias("parts"))
 
 
 def _vertex_text(v: Column) -> Column:
