@@ -104,7 +104,7 @@ for _tag in ("_o", "_om"):
         (f"back{_tag}", "", f"select d.cell_id as dest, d.cell_id as cell, 0 as n from (select distinct cell_id from dests) d join dist{_tag} t on t.v = d.cell_id "
                             f"union all select w.dest, p.p, w.n + 1 from back{_tag} w join pred{_tag} p on p.v = w.cell"),
         (f"path{_tag}", "", f"select dest, max(n) over (partition by dest) - n as step, cell from back{_tag}"),
-        (f"num{_tag}", "", f"select cast(row_number() over (order by dest_id) - 1 as integer) as path_id, dest_id, cell_id, dist from dests join dist{_tag} on v = cell_id"),
+        (f"num{_tag}", "", f"select cast(row_number() over (order by dest_id) - 1 as bigint) as path_id, dest_id, cell_id, dist from dests join dist{_tag} on v = cell_id"),
     ]
 for _tag in ("_p", "_pm"):
     PARTS += [

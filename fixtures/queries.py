@@ -568,7 +568,7 @@ def _(q):
 def _(q):
     path = q.scratch("lines")
     V.write_path_lines(q.lcpa()["path_lines"], path, "json")
-    stored = q.spark.read.schema("path_id int, dest_id long, wkt string").json(path)
+    stored = q.spark.read.schema("path_id long, dest_id long, wkt string").json(path)
     return stored.select("path_id", "dest_id", F.size(F.split("wkt", ",")).alias("vertices"))
 
 

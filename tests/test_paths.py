@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from wayfield.operators import distance as D, frontier, neighbours as N, tracing
-from wayfield.operators.tile_kernels import Stencil
+from wayfield.operators.tile_kernels import Frame, Stencil, relax
+from wayfield.schema import GridMeta
 from wayfield.sources.scratch import Scratch
 
 
@@ -204,3 +206,32 @@ def test_summary_of_an_empty_density(spark):
     empty = cells.select("cell_id", F.lit(0).cast("long").alias("n"))
     row = tracing.density_summary(empty, meta).first()
     assert tuple(row) == (0, 0, 0, 0, 2)
+
+
+def test_counts_between_tiles_are_bounded_by_the_borders(spark):
+    """No row for a pair of points: what leaves a tile is at most a row for each source and cell around its area."""
+    cells, meta = brute.grid(spark, [[float((r * 5 + c * 3) % 7) for c in range(16)] for r in range(16)])
+    points = weights(spark, {i: 1 for i in range(0, 256, 3)})
+    stencil = Stencil(meta, 16, 8)
+    solved = D.cost_trees(cells, points, stencil, targets=points, bounded=True)
+    around = sum((f.height + 2 * f.reach) * (f.width + 2 * f.reach) - f.height * f.width for f in (Frame(t, stencil) for t in range(4)))
+    rows = solved.trees.agg(F.sum(F.size("leave_cell")).alias("leave"), F.sum(F.size("goal_cell")).alias("goals")).first()
+    assert rows["goals"] == 0 and rows["leave"] < 86 * around / 2 < 86 * 85 * 2
+    assert tracing.path_counts(solved).agg(F.sum("n")).first()[0] > 86 * 85
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("wayfield_hops")]
+
+
+def test_sources_far_apart_in_cost_do_not_wait_for_each_other():
+    stencil = Stencil(GridMeta(40, 40, 0.0, 400.0, 10.0, -10.0, "local"), 16, 64)
+    frame = Frame(0, stencil)
+    z = np.full(frame.length, np.nan)
+    z[frame.area] = np.random.default_rng(1).uniform(0, 3, len(frame.area))
+    w = frame.weights(z, None)
+
+    def rounds(bases):
+        d = np.full((len(bases), frame.length), np.inf)
+        for i, base in enumerate(bases):
+            d[i, frame.area[i * 37]] = base
+        return relax(d, w, frame.steps)
+
+    assert rounds([5.0 * i for i in range(16)]) <= 2 * max(rounds([0.0]), rounds([0.0] * 16))

@@ -119,6 +119,7 @@ def path_counts(solved: CostTrees, source_weights: DataFrame | None = None, per_
     """
     scratch = solved.scratch
     entries = flow(scratch.save_bucketed(hops(solved), "hops", "source", "cell_id"), path_exits(solved), scratch)
+    scratch.forget_tables()
     slots = task_slots(entries.sparkSession)
     # Fresh column ids: without tile changes the entries come straight from the same scan.
     trees = solved.trees.select([F.col(c).alias(c) for c in ("source", "tile", "bucket", "moves")])

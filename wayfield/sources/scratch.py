@@ -65,12 +65,23 @@ class Scratch:
         if path.startswith(self.path):
             self._delete(path)
 
-    def clear(self) -> None:
-        """Delete everything this run wrote."""
+    def forget_tables(self) -> None:
+        """Take bucketed tables that no later step reads out of the catalog."""
         for table in self._tables:
             self.spark.sql(f"DROP TABLE IF EXISTS {table}")
+        self._tables.clear()
+
+    def clear(self) -> None:
+        """Delete everything this run wrote."""
+        self.forget_tables()
         self._delete(self.path)
 
+    def __enter__(self) -> "Scratch":
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.clear()
+
     def _delete(self, path: str) -> None:
         jpath = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
