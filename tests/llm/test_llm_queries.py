@@ -10,7 +10,7 @@ from test_llm_text import WORD, plain_components, plain_mix
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from wayfield.llm.licenses import license_scan
+from wayfield.llm.licenses import license_scan, licence_texts
 from wayfield.llm.preferences import format_preferences, gathered, paired_by_opening
 from wayfield.llm.queries import ORACLE, QUERIES
 from wayfield.sources.scratch import Scratch
@@ -69,6 +69,49 @@ def test_licences(spark):
     assert license_scan(docs.limit(0)).count() == 0
 
 
+WRAPPED = {
+    "Apache-2.0": """# Copyright 2021 The Authors
+#
+# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+""", "GPL-2.0": """/* This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version.
+ */
+""", "MPL-2.0": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""}
+
+
+def test_licence_files_and_wrapped_headers(spark):
+    code = "\n" + "\n".join(f"value_{i} = compute(first_{i}, second_{i})" for i in range(60))
+    files, wanted = [(0, "none/x", "a licence is what we lack, and copyright too" + code)], {0: None}
+    for licence, text in licence_texts():
+        # A file of the licence as it is given out, and one below it that says nothing.
+        n, whole = len(files), f"Copyright (c) 2020 Some Body\n\n{text}"
+        files += [(n, f"{licence}/{n}", whole), (n + 1, f"{licence}/src/main", code)]
+        wanted |= {n: licence, n + 1: licence}
+    headers = len(files)
+    for licence, header in WRAPPED.items():
+        wanted[len(files)] = licence
+        files.append((len(files), f"headers/{len(files)}", header + code))
+    for tag, licence in [("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-2.0-or-later", "GPL-2.0"), ("(MIT OR Apache-2.0)", "Apache-2.0"), ("LicenseRef-Own", None)]:
+        wanted[len(files)] = licence
+        files.append((len(files), f"tags/{len(files)}", f"// SPDX-License-Identifier: {tag}" + code))
+    # No header of a single file holds for others; a file that is named as a licence does.
+    named = len(files)
+    files += [(named, "headers/other", code), (named + 1, "named/LICENSE", "SPDX-License-Identifier: MIT" + code), (named + 2, "named/a/b", code)]
+    wanted |= {named: None, named + 1: "MIT", named + 2: "MIT"}
+    rows = license_scan(spark.createDataFrame(files, "doc_id long, path string, text string")).collect()
+    assert {r["doc_id"]: r["licence"] for r in rows} == wanted
+    assert all(r["origin"] == "inherited" and r["steps"] == 1 for r in rows if 0 < r["doc_id"] < headers and r["doc_id"] % 2 == 0)
+
+
 def test_stages_on_odd_documents(spark, tmp_path):
     docs = documents(spark)
     columns = docs.columns

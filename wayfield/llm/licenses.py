@@ -1,12 +1,24 @@
-"""Licence scans: sparse TF-IDF cosine of header lines and licence files to templates, and inheritance along paths.
+"""Licence scans: sparse TF-IDF cosine of headers and whole files to templates, and inheritance along paths.
 
-A header is a line of a document. Lines and templates are vectors of word counts times inverse document
-frequency, over the words of the templates; all other words of a line lie outside and only add to its length, each
-like a word that one document has. Document frequencies are counted over all documents. A line with one of the
-signal words is compared with the templates that share a word with it; the best of at least ``LEAST`` is the
-document's own licence. A document of whose words at least ``FILE_SHARE`` stand in such lines is a licence file: its
-licence holds for its directory (of several files that with the highest score, then the smallest id). A document
-without an own licence inherits that of the nearest directory above it that has one.
+Vectors are word counts times inverse document frequency, over the words of the templates; all other words lie
+outside and only add to a vector's length, each like a word that one document has. Document frequencies are counted
+over all documents. Three things are compared:
+
+1. lines with one of the signal words, with the one-line notices; the best of at least ``LEAST`` counts;
+2. blocks (lines between blank ones; comment marks alone are blank), with standard headers, wrapped as they are, and
+   with whole licence texts; the best of at least ``LEAST_TEXT`` counts;
+3. whole documents, with the same. A document that is the text of a licence has that licence whatever its lines say.
+
+SPDX-License-Identifier tags count with a score of 1. The best score is the document's own licence.
+
+A licence file is a document that is as a whole like a licence text or header, or of whose words at least
+``FILE_SHARE`` stand in lines of the first kind, or that has an own licence and is named LICENSE, COPYING or alike.
+Its licence holds for its directory (of several files that which is a text, then that with the highest score, then the
+smallest id). A document without an own licence inherits that of the nearest directory above it that has one.
+
+The texts are in ``licence_texts``. Those of the CC BY licences and of AGPL-3.0 are not there: the first are known by
+notices, headers and tags, and for AGPL-3.0 the text of GPL-3.0 stands under its name. ``OP10_SQL`` knows only one-line
+notices and the share of words in them; the given tables hold nothing else.
 
 Cases: null and empty texts have no own licence but may inherit; a null path lies in no directory; ties go to the
 alphabetically first licence; rows that repeat a doc_id are documents of their own; an empty table gives an empty
@@ -15,6 +27,10 @@ result. Only ``doc_id``, ``path`` and ``text`` are read. DataFrame functions onl
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +55,40 @@ SIGNAL = r"(?i)licen[sc]e|copyright|cc0|cc by|redistribution"
 LEAST = 0.6
 FILE_SHARE = 0.1
 
+# Standard headers as their licences word them.
+_GNU = ("This {0} is free software{4} you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation; "
+        "either version {2} of the License, or {3} any later version.")
+HEADERS = [
+    ("AGPL-3.0", _GNU.format("program", "Affero General Public License", "3", "(at your option)", ":")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. "
+                   "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for "
+                   "additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0 (the License); you may not "
+                   "use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit "
+                  "http://creativecommons.org/licenses/by/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."),
+    ("CC-BY-NC-4.0", "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit "
+                     "http://creativecommons.org/licenses/by-nc/4.0/ or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain "
+                "worldwide. This software is distributed without any warranty. You should have received a copy of the CC0 Public Domain Dedication along with this "
+                "software. If not, see http://creativecommons.org/publicdomain/zero/1.0/."),
+    ("GPL-2.0", _GNU.format("program", "General Public License", "2", "(at your option)", ";")),
+    ("GPL-3.0", _GNU.format("program", "General Public License", "3", "(at your option)", ":")),
+    ("LGPL-2.1", _GNU.format("library", "Lesser General Public License", "2.1", "(at your option)", ";")),
+    ("LGPL-3.0", _GNU.format("library", "Lesser General Public License", "3", "(at your option)", ":")),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the "
+            "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+            "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain "
+                "one at https://mozilla.org/MPL/2.0/."),
+]
+LEAST_TEXT = 0.7
+# What lies between blocks: a line of blanks and comment marks, or several.
+BETWEEN = r"\n[\s#/*;%!<>-]*\n"
+TAG = r"(?i)SPDX-License-Identifier:[ \t]*([^\r\n]*)"
+FILE_NAME = r"(?i)(?:^|/)(?:un)?(?:licen[sc]e|copying)(?:[.-][^/]*)?$"
+
 
 def words_of(text: Column) -> Column:
     """Lower-case words: runs of ASCII letters, digits, and points or hyphens inside them."""
@@ -49,27 +99,56 @@ def _score(dot: Column, a: Column, b: Column) -> Column:
     return F.round(dot / F.sqrt(a * b), 6)
 
 
-def template_weights(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
-    """``licence, word, idf, weight, square`` (square of the template's length), and the weight of all other words.
+def licence_texts() -> list[tuple[str, str]]:
+    """Names and texts of whole licences."""
+    texts = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    named = re.sub(r"(?i)\bGNU General Public License", "GNU Affero General Public License", texts["GPL-3.0"])
+    return [("AGPL-3.0", named), *texts.items()]
 
-    As many rows as the templates have words.
-    """
-    named = docs.sparkSession.createDataFrame(TEMPLATES, "licence string, notice string")
-    counts = named.select("licence", F.explode(words_of(F.col("notice"))).alias("word")).groupBy("licence", "word").agg(F.count("*").alias("tf"))
-    known = F.array_distinct(F.flatten(F.array(*[words_of(F.lit(notice)) for _, notice in TEMPLATES])))
-    own = F.array_intersect(words_of(F.col("text")), known)
-    seen = docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+
+def _counts(text: str) -> Counter:
+    return Counter(re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", text.lower()))
+
+
+def inverse_frequencies(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Column]:
+    """``word, idf`` for the words of all templates, and the weight of all other words."""
+    known = sorted(set().union(*[_counts(text) for _, text in [*TEMPLATES, *HEADERS, *licence_texts()]]))
+    words = docs.sparkSession.createDataFrame([(w,) for w in known], "word string")
+    # The templates' words: a table of fixed size.
+    seen = (docs.select(F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).join(F.broadcast(words), "word")
+            .groupBy("word").agg(F.count("*").alias("df")))
     total = F.lit(1.0 + docs.count())
     idf = lambda df: F.log(total / (F.lit(1.0) + df)) + 1.0
-    of_word = idf(F.coalesce("df", F.lit(0)))
-    weighed = counts.join(F.broadcast(seen), "word", "left").select("licence", "word", of_word.alias("idf"), (F.col("tf") * of_word).alias("weight"))
+    rated = words.join(F.broadcast(seen), "word", "left").select("word", idf(F.coalesce("df", F.lit(0))).alias("idf"))
+    return scratch.save(rated.coalesce(1), "frequencies"), idf(F.lit(1))
+
+
+def template_weights(spark: SparkSession, idf: DataFrame, scratch: Scratch) -> DataFrame:
+    """``licence, word, idf, weight, square`` of the notices (square of the template's length).
+
+    As many rows as the notices have words.
+    """
+    rows = [(licence, word, n) for licence, notice in TEMPLATES for word, n in _counts(notice).items()]
+    counts = spark.createDataFrame(rows, "licence string, word string, tf long")
+    weighed = counts.join(F.broadcast(idf), "word").select("licence", "word", "idf", (F.col("tf") * F.col("idf")).alias("weight"))
     squares = weighed.groupBy("licence").agg(F.sum(F.col("weight") * F.col("weight")).alias("square"))
-    return scratch.save(weighed.join(squares, "licence").coalesce(1), "templates"), idf(F.lit(1))
+    return scratch.save(weighed.join(squares, "licence").coalesce(1), "templates")
 
 
-def header_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """``row, doc_id, all_words, line, words, licence, score``: the best template of each line that has one."""
-    templates, rare = template_weights(docs, scratch)
+def text_weights(spark: SparkSession, idf: DataFrame, templates: list[tuple[str, str]], scratch: Scratch) -> DataFrame:
+    """``word, idf, parts``: the word's part in each of ``templates``, which have length 1."""
+    counts = [_counts(text) for _, text in templates]
+    rows = [(word, [float(c[word]) for c in counts]) for word in sorted(set().union(*counts))]
+    weighed = spark.createDataFrame(rows, "word string, tf array<double>").join(F.broadcast(idf), "word")
+    part = [F.col("tf")[k] * F.col("idf") for k in range(len(templates))]
+    lengths = weighed.agg(F.array(*[F.sqrt(F.sum(p * p)) for p in part]).alias("lengths"))
+    parts = F.array(*[p / F.col("lengths")[k] for k, p in enumerate(part)])
+    return scratch.save(weighed.crossJoin(F.broadcast(lengths)).select("word", "idf", parts.alias("parts")).coalesce(1), "texts")
+
+
+def header_lines(docs: DataFrame, frequencies: DataFrame, rare: Column, scratch: Scratch) -> DataFrame:
+    """``row, doc_id, all_words, line, words, licence, score``: the best notice of each line that has one."""
+    templates = template_weights(docs.sparkSession, frequencies, scratch)
     idf = templates.select("word", "idf").distinct()
     marked = docs.where(F.col("text").rlike(SIGNAL)).dropDuplicates(["row"]).withColumn("all_words", F.size(words_of(F.col("text"))))
     lines = marked.select("row", "doc_id", "all_words", F.posexplode(F.split("text", "\n")).alias("line", "content")).where(F.col("content").rlike(SIGNAL))
@@ -86,6 +165,40 @@ def header_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return scored.groupBy(*line, "words").agg(best.alias("best")).select(*line, "words", F.col("best.licence").alias("licence"), (-F.col("best.s")).alias("score"))
 
 
+def whole_texts(docs: DataFrame, frequencies: DataFrame, rare: Column, scratch: Scratch) -> DataFrame:
+    """``row, doc_id, licence, score, whole, is_text``: what blocks and whole documents are like.
+
+    ``whole`` is for a document as a whole; ``is_text`` if it is like the text of a licence, not only like a header.
+    """
+    texts = licence_texts()
+    templates = [*texts, *HEADERS]
+    parts = text_weights(docs.sparkSession, frequencies, templates, scratch)
+    marked = docs.where(F.col("text").rlike(SIGNAL)).dropDuplicates(["row"])
+    # Unit 0 is the document, the others are its blocks.
+    pieces = F.concat(F.array("text"), F.filter(F.split("text", BETWEEN), lambda x: x.rlike(SIGNAL)))
+    units = marked.select("row", "doc_id", F.posexplode(pieces).alias("unit", "content"))
+    counts = units.select("row", "doc_id", "unit", F.explode(words_of(F.col("content"))).alias("word")).groupBy("row", "doc_id", "unit", "word").agg(F.count("*").alias("tf"))
+    # The templates' words: a table of fixed size, one row for each word.
+    weighed = counts.join(F.broadcast(parts), "word", "left").withColumn("weight", F.col("tf") * F.coalesce(F.col("idf"), rare))
+    dots = weighed.groupBy("row", "doc_id", "unit").agg(
+        F.sum(F.col("weight") * F.col("weight")).alias("own"), F.array(*[F.sum(F.col("weight") * F.col("parts")[k]) for k in range(len(templates))]).alias("dots"))
+    rated = lambda ks: F.array_min(F.array(*[F.struct(
+        (-_score(F.coalesce(F.col("dots")[k], F.lit(0.0)), F.col("own"), F.lit(1.0))).alias("s"), F.lit(templates[k][0]).alias("licence")) for k in ks]))
+    best = dots.select("row", "doc_id", (F.col("unit") == 0).alias("whole"), rated(range(len(texts))).alias("text"), rated(range(len(templates))).alias("any"))
+    is_text = F.col("whole") & (F.col("text.s") <= -LEAST_TEXT)
+    chosen = F.when(is_text, F.col("text")).otherwise(F.col("any"))
+    return best.where(F.col("any.s") <= -LEAST_TEXT).select("row", "doc_id", chosen["licence"].alias("licence"), (-chosen["s"]).alias("score"), "whole", is_text.alias("is_text"))
+
+
+def tags(docs: DataFrame) -> DataFrame:
+    """``row, doc_id, licence``: the known licences that SPDX tags name."""
+    names = sorted({name for name, _ in [*TEMPLATES, *HEADERS, *licence_texts()]})
+    known = docs.sparkSession.createDataFrame([(n, n.lower()) for n in names], "licence string, name string")
+    named = docs.select("row", "doc_id", F.explode(F.regexp_extract_all("text", F.lit(TAG), F.lit(1))).alias("tag"))
+    apart = named.select("row", "doc_id", F.explode(F.split(F.lower("tag"), r"[^a-z0-9.+-]+")).alias("name"))
+    return apart.withColumn("name", F.regexp_replace("name", r"(?:-only|-or-later|\+)$", "")).join(F.broadcast(known), "name").select("row", "doc_id", "licence").distinct()
+
+
 def parents(path: Column) -> Column:
     """The directories above a path, the nearest first."""
     parts = F.split(path, "/")
@@ -100,15 +213,20 @@ def license_scan(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     scratch = scratch or Scratch(docs.sparkSession, "licences")
     # A row is known by its id, its path and its text.
     rows = docs.select("doc_id", "path", "text", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("path", F.lit("")), F.coalesce("text", F.lit(""))).alias("row"))
-    lines = header_lines(rows, scratch)
-    best = F.min(F.struct((-F.col("score")).alias("s"), "licence"))
-    own = scratch.save(lines.groupBy("row", "doc_id").agg(best.alias("best"), F.sum("words").alias("in_lines"), F.max("all_words").alias("all_words")).select(
-        F.col("row").alias("_row"), F.col("doc_id").alias("_doc"), F.col("best.licence").alias("own"), (-F.col("best.s")).alias("own_score"),
-        (F.col("in_lines") >= FILE_SHARE * F.col("all_words")).alias("is_file")), "own")
+    frequencies, rare = inverse_frequencies(rows, scratch)
+    no, none = F.lit(False), F.lit(None).cast("bigint")
+    found = (header_lines(rows, frequencies, rare, scratch).select("row", "doc_id", "licence", "score", no.alias("whole"), no.alias("is_text"), "words", F.col("all_words").cast("bigint").alias("all_words"))
+             .unionByName(whole_texts(rows, frequencies, rare, scratch).withColumns({"words": none, "all_words": none}))
+             .unionByName(tags(rows).withColumns({"score": F.lit(1.0), "whole": no, "is_text": no, "words": none, "all_words": none})))
+    best = F.min(F.struct((~F.col("is_text")).alias("other"), (-F.col("score")).alias("s"), "licence"))
+    share = F.coalesce(F.sum("words") >= FILE_SHARE * F.max("all_words"), no)
+    own = scratch.save(found.groupBy("row", "doc_id").agg(best.alias("best"), (F.max("whole") | share).alias("is_file")).select(
+        F.col("row").alias("_row"), F.col("doc_id").alias("_doc"), F.col("best.licence").alias("own"), (-F.col("best.s")).alias("own_score"), (~F.col("best.other")).alias("is_text"), "is_file"), "own")
     known = scratch.save(rows.select("doc_id", "path", "row").join(own, F.col("row") == F.col("_row"), "left").drop("_row", "_doc", "row"), "rows")
     directory = F.try_element_at(parents(F.col("path")), F.lit(1))
-    first = F.min(F.struct((-F.col("own_score")).alias("s"), F.col("doc_id").isNull().alias("none"), "doc_id", "own"))
-    files = (known.where("is_file AND path LIKE '%/%'").groupBy(directory.alias("above")).agg(first.alias("file"))
+    is_file = F.col("is_file") | (F.col("own").isNotNull() & F.col("path").rlike(FILE_NAME))
+    first = F.min(F.struct((~F.col("is_text")).alias("other"), (-F.col("own_score")).alias("s"), F.col("doc_id").isNull().alias("none"), "doc_id", "own"))
+    files = (known.where(is_file & F.col("path").contains("/")).groupBy(directory.alias("above")).agg(first.alias("file"))
              .select("above", F.col("file.own").alias("licence"), (-F.col("file.s")).alias("score")))
     # Each directory once, however many documents it has.
     folders = known.where("path LIKE '%/%'").select(directory.alias("folder")).distinct()
