@@ -1,8 +1,9 @@
 """From raw documents to packed training sequences.
 
-``doc_id`` is a document's identity here: rows without one leave in the second stage, and of rows that
-repeat one a single row stays there. Columns other than those named below are carried along. Empty tables
-pass through as empty tables.
+Every row is a document. ``doc_id`` is its identity from the first stage on, which gives rows without one,
+and all but one of the rows that repeat one, numbers above the largest in use. The second stage alone, on a table
+that has not been through the first, still drops rows without an id and keeps one row for each id. Columns other than
+those named below are carried along. Empty tables pass through as empty tables.
 """
 
 from __future__ import annotations
@@ -17,15 +18,36 @@ from wayfield.llm.mixing import mixed_documents
 from wayfield.llm.neardup import near_duplicates
 from wayfield.llm.packing import TOKENIZER, pack_documents
 from wayfield.llm.quality import GOOD, learn_quality, score_quality
-from wayfield.llm.shared import table
+from wayfield.llm.shared import running_sum, table
 from wayfield.llm.suffixes import without_repeats
-from wayfield.sources.scratch import scratch_root
+from wayfield.sources.scratch import Scratch, scratch_root
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """``docs`` with a ``doc_id`` of its own for each row; of rows with the same, the first by its text's hash keeps it."""
+    known = docs.groupBy("doc_id").agg(F.count("*").alias("rows"))
+    scratch = Scratch(docs.sparkSession, "identities")
+    shared = scratch.save(known.where("doc_id IS NULL OR rows > 1").select(F.col("doc_id").alias("__shared")), "shared")
+    if shared.isEmpty():
+        return docs
+    is_shared = F.col("doc_id") == F.col("__shared")
+    alone = docs.where("doc_id IS NOT NULL").join(shared, is_shared, "left_anti")
+    # Written once, so that a row keeps its number.
+    several = scratch.save(docs.where("doc_id IS NOT NULL").join(shared, is_shared, "left_semi").unionByName(docs.where("doc_id IS NULL"))
+                           .withColumn("__hash", F.xxhash64("text")).withColumn("__row", F.monotonically_increasing_id()), "several")
+    numbered = running_sum(several.select("doc_id", "__hash", "__row", F.lit(1).alias("__one")), [], ["doc_id", "__hash", "__row"], "__one", scratch, "__number")
+    numbered = scratch.save(numbered.select(F.col("doc_id").alias("__id"), F.col("__row").alias("__at"), "__number"), "numbered")
+    first = numbered.where("__id IS NOT NULL").groupBy("__id").agg(F.min("__number").alias("__number")).select("__number", F.col("__id").alias("__kept"))
+    above = F.lit((docs.agg(F.max("doc_id")).first()[0] or 0) + 1)
+    own = numbered.join(first, "__number", "left").select("__at", F.coalesce("__kept", above + F.col("__number")).cast(docs.schema["doc_id"].dataType).alias("__own"))
+    renamed = several.join(own, F.col("__row") == F.col("__at")).withColumn("doc_id", F.col("__own"))
+    return alone.unionByName(renamed.select(*docs.columns))
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality trees do not reject."""
+    """Documents that the quality trees do not reject, each with an id of its own."""
     trees = learn_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, trees, "__score").where(F.col("__score") >= GOOD).select(*docs.columns)
+    return score_quality(identified(docs), trees, "__score").where(F.col("__score") >= GOOD).select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

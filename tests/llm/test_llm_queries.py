@@ -139,6 +139,29 @@ def test_stages_on_odd_documents(spark, tmp_path):
         assert stage(spark, documents(spark, []), SF_DIR).count() == 0, name
 
 
+def through(spark, folder, docs, stages, sf_dir=SF_DIR):
+    for name, stage in corpus_pipeline.STAGES[:stages]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return docs
+
+
+def test_rows_without_an_id_of_their_own_stay(spark, tmp_path):
+    given = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    good = corpus_pipeline.good_documents(spark, given, SF_DIR)
+    texts_apart = [r["text"] for r in corpus_pipeline.distinct_documents(spark, good, SF_DIR).select("text").orderBy("doc_id").limit(12).collect()]
+    # Ids: null, repeated, and the own ones; the first text stands twice under a repeated id.
+    ids = [None, None, None, 7, 7, 7, 7, 8, 8, 9, 10, 11]
+    rows = [*zip(ids, texts_apart, ["a"] * 12), (None, texts_apart[0], "a"), (7, texts_apart[3], "a")]
+    got = through(spark, tmp_path, documents(spark, rows), 2).collect()
+    assert sorted(r["text"] for r in got) == sorted(texts_apart)
+    kept = [r["doc_id"] for r in got]
+    assert None not in kept and len(set(kept)) == 12 and {8, 9, 10, 11} <= set(kept) and all(i in ids or i > 11 for i in kept)
+    assert {r["doc_id"]: r["text"] for r in got if r["doc_id"] in (9, 10, 11)} == dict(zip(ids[9:], texts_apart[9:]))
+    packed = corpus_pipeline.packed(spark, corpus_pipeline.unrepeated_documents(spark, spark.read.parquet(f"{tmp_path}/near_duplicates"), SF_DIR), SF_DIR)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept)
+
+
 def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF_DIR)
     rows = packed.select("doc_id", "sequence_id", "offset", "length").collect()
