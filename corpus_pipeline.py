@@ -45,9 +45,12 @@ def identified(docs: DataFrame) -> DataFrame:
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality trees do not reject, each with an id of its own."""
+    """Documents that the quality trees do not reject, all if there was no label to learn from; each with an id of its own."""
     trees = learn_quality(docs, table(spark, sf_dir, "labels"))
-    return score_quality(identified(docs), trees, "__score").where(F.col("__score") >= GOOD).select(*docs.columns)
+    own = identified(docs)
+    if not trees.labels:
+        return own
+    return score_quality(own, trees, "__score").where(F.col("__score") >= GOOD).select(*docs.columns)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

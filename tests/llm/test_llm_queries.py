@@ -162,6 +162,16 @@ def test_rows_without_an_id_of_their_own_stay(spark, tmp_path):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == set(kept)
 
 
+def test_all_documents_are_good_without_labels(spark, tmp_path):
+    labels = spark.read.parquet(f"{SF_DIR}/labels.parquet")
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for name, left in [("none", labels.limit(0)), ("strange", labels.withColumn("doc_id", -F.col("doc_id") - 1)), ("bad", labels.withColumn("quality", F.col("quality") * 0))]:
+        left.write.parquet(str(tmp_path / name / "labels.parquet"))
+        good = corpus_pipeline.good_documents(spark, docs, str(tmp_path / name))
+        # Labels that call everything bad are evidence.
+        assert good.columns == docs.columns and good.count() == (0 if name == "bad" else docs.count())
+
+
 def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, SF_DIR)
     rows = packed.select("doc_id", "sequence_id", "offset", "length").collect()

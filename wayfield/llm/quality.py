@@ -96,6 +96,7 @@ class Trees:
     edge: np.ndarray
     leaf: np.ndarray  # trees x leaves
     base: float
+    labels: int = 0  # rows that the trees were grown on
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         margin = np.full(len(rows), self.base)
@@ -117,7 +118,7 @@ def grow(rows: np.ndarray, label: np.ndarray) -> Trees:
     none = np.zeros((0, 2 ** DEPTH - 1))
     if len(label) == 0 or share in (0.0, 1.0):
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Trees(none.astype(int), none, np.zeros((0, 2 ** DEPTH)), float(np.log(share / (1 - share))))
+        return Trees(none.astype(int), none, np.zeros((0, 2 ** DEPTH)), float(np.log(share / (1 - share))), len(label))
     width = rows.shape[1]
     edges = [np.unique(np.quantile(rows[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(width)]
     binned = np.column_stack([np.searchsorted(edges[f], rows[:, f], side="left") for f in range(width)])
@@ -151,7 +152,7 @@ def grow(rows: np.ndarray, label: np.ndarray) -> Trees:
         value = RATE * np.bincount(leaf, slope, 2 ** DEPTH) / (np.bincount(leaf, weight, 2 ** DEPTH) + PENALTY)
         margin += value[leaf]
         features.append(feature), cuts.append(cut), leaves.append(value)
-    return Trees(np.array(features), np.array(cuts), np.array(leaves), base)
+    return Trees(np.array(features), np.array(cuts), np.array(leaves), base, len(label))
 
 
 def held_out(doc_id: Column) -> Column:
