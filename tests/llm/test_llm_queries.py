@@ -50,6 +50,16 @@ def test_preferences(spark):
     assert paired_by_opening(turns.limit(0), Scratch(spark, "test-none")).count() == 0
 
 
+def test_odd_number_of_conversations(spark):
+    for n in (1, 3, 5):
+        turns = spark.createDataFrame([(c, t, r, f"{r} {c}") for c in range(n) for t, r in enumerate(["user", "assistant"])], "conv_id long, turn long, role string, text string")
+        rows = {r["conv_id"]: r for r in paired_by_opening(turns, Scratch(spark, "test-odd")).collect()}
+        assert rows.keys() == (set(range(n)) if n > 1 else set())
+        alone = [c for c, r in rows.items() if rows[r["other"]]["other"] != c]
+        assert len(alone) == (1 if n > 1 else 0)
+        assert all(r["other"] != c and r["rejected"][1]["text"] == f"assistant {r['other']}" for c, r in rows.items())
+
+
 def test_equal_conversations_are_all_prompt(spark):
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
     same = gathered(turns).select("conv_id", F.col("turns").alias("chosen"), F.col("turns").alias("rejected"))

@@ -66,8 +66,8 @@ def paired_by_opening(turns: DataFrame, scratch: Scratch) -> DataFrame:
     """``conv_id, other, chosen, rejected``: each conversation, and what it would be with another's last answer.
 
     Conversations are numbered by their first turn and id and paired in that order, so those that open alike answer
-    each other. ``rejected`` has the last assistant turn of the other in place of the own one. Conversations
-    without an assistant turn, or paired with such a one, have no pair.
+    each other; the last one of an odd number has its predecessor as other. ``rejected`` has the last assistant turn of the other in place of the own one. Conversations
+    without an assistant turn take no part; a single one has no pair.
     """
     whole = gathered(turns)
     answers = F.transform(F.col("turns"), lambda t: t["role"] == "assistant")
@@ -75,7 +75,9 @@ def paired_by_opening(turns: DataFrame, scratch: Scratch) -> DataFrame:
     convs = scratch.save(whole.where(F.array_contains(answers, True)).select(
         "conv_id", "turns", last.cast("int").alias("last"), F.md5(F.concat(F.col("turns")[0]["role"], F.lit("\n"), F.col("turns")[0]["text"])).alias("opening")), "turns")
     numbered = scratch.save(running_sum(convs.select("conv_id", "opening", F.lit(1).alias("one")), [], ["opening", "conv_id"], "one", scratch, "number"), "numbered")
-    mates = numbered.select("conv_id", F.col("number").bitwiseXOR(F.lit(1)).alias("mate")).join(
+    highest = numbered.agg(F.max("number")).first()[0] or 0
+    across = F.col("number").bitwiseXOR(F.lit(1))
+    mates = numbered.select("conv_id", F.when(across > highest, F.col("number") - 1).otherwise(across).alias("mate")).join(
         numbered.select(F.col("conv_id").alias("other"), F.col("number").alias("mate")), "mate")
     answer = convs.select(F.col("conv_id").alias("other"), F.element_at("turns", F.col("last") + 1)["text"].alias("answer"))
     rejected = F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), F.when(i == F.col("last"), F.col("answer")).otherwise(t["text"]).alias("text")))
