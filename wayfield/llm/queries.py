@@ -9,8 +9,11 @@ from wayfield.llm.mixing import OP6_SQL, op6_mix_sources
 from wayfield.llm.mtree import OP1_SQL, op1_mtree_search
 from wayfield.llm.neardup import OP3_SQL, op3_minhash_neardup
 from wayfield.llm.packing import op4_pack_sequences
+from wayfield.llm.periodic import OP12_SQL, op12_periodic_runs
 from wayfield.llm.preferences import OP8_SQL, op8_preference_chat
 from wayfield.llm.quality import op2_quality_trees
+from wayfield.llm.resampling import OP11_SQL, op11_importance_resample
+from wayfield.llm.simhash import op13_simhash_neardup
 from wayfield.llm.suffixes import OP5_SQL, op5_suffix_dedup
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_preference_chat": op8_preference_chat,
     "op9_id_files": op9_id_files,
     "op10_license_scan": op10_license_scan,
+    "op11_importance_resample": op11_importance_resample,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_simhash_neardup": op13_simhash_neardup,
 }
 
 ORACLE = {
@@ -33,4 +39,6 @@ ORACLE = {
     "op6_mix_sources": OP6_SQL,
     "op8_preference_chat": OP8_SQL,
     "op10_license_scan": OP10_SQL,
+    "op11_importance_resample": OP11_SQL,
+    "op12_periodic_runs": OP12_SQL,
 }

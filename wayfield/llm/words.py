@@ -90,3 +90,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
         else:
             out.append(np.zeros(0, np.uint64))
     return out
+
+
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of each text joined by one blank: all bytes, the first byte of each word, and the bytes before each text.
+
+    ``words`` is the number of words before each text, one entry more than texts. The words may stand in any order in ``data``.
+    """
+    lengths = ends - starts
+    gap = np.ones(len(starts), np.int64)
+    gap[words[:-1][np.diff(words) > 0]] = 0
+    after = np.cumsum(lengths + gap)
+    out = np.full(int(after[-1]) if len(after) else 0, 0x20, np.uint8)
+    first = after - lengths
+    place = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out[place + np.repeat(first, lengths)] = data[place + np.repeat(starts, lengths)]
+    return out, first, np.append(0, after)[words]
