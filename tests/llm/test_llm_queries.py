@@ -25,7 +25,7 @@ def test_query_against_sql(spark, name):
 
 
 def test_all_are_registered():
-    assert {*QUERIES, "pipeline"} <= entry.queries().keys() and sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert {*QUERIES, "pipeline"} <= entry.queries().keys() and sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
 
 
 def test_quality_on_held_out_rows(spark):

@@ -9,7 +9,7 @@ from odd import documents, texts, tuples
 from pyspark.sql import functions as F
 
 from wayfield.llm.mixing import first_words, mix_sources, mixed_documents
-from wayfield.llm.neardup import CHUNK, CHUNKS, DISTANCE, SYMBOLS, chunk_keys, near_duplicates
+from wayfield.llm.neardup import CHUNKS_OF, SYMBOLS, chunk_for, chunk_keys, distance, near_duplicates
 from wayfield.llm.quality import grow, learn_quality, score_quality
 from wayfield.llm.suffixes import repeated_passages, without_repeats
 
@@ -39,25 +39,41 @@ def plain_components(rows, n, least, whole):
     return sorted(((doc, len(s), c := min(ids[x]) if ids[x] else None, doc == c) for (doc, _, _), x, s in zip(rows, label, sets)), key=repr)
 
 
-@pytest.mark.parametrize("n, similarity", [(3, (85, 100)), (5, (80, 100))])
+@pytest.mark.parametrize("n, similarity", [(3, (85, 100)), (5, (80, 100)), (2, (70, 100)), (2, (50, 100))])
 def test_near_duplicates(spark, n, similarity):
     got = tuples(near_duplicates(documents(spark), n, similarity), "doc_id", "n_shingles", "component_id", "kept")
     assert got == plain_components(texts(), n, *similarity)
 
 
-def test_signatures_at_the_distance_meet():
+@pytest.mark.parametrize("chunk", CHUNKS_OF)
+def test_signatures_at_the_distance_meet(chunk):
     r = np.random.default_rng(3)
     for _ in range(300):
         pair = np.repeat(r.integers(0, 1 << 16, (1, SYMBOLS), dtype=np.uint16), 2, 0)
-        pair[1, r.choice(SYMBOLS, DISTANCE, replace=False)] ^= 1
-        a, b = chunk_keys(pair)
+        pair[1, r.choice(SYMBOLS, distance(chunk), replace=False)] ^= 1
+        a, b = chunk_keys(pair, chunk)
         assert (a == b).any()
     pair[1] = pair[0]
-    pair[1, [c * CHUNK + j for c in range(CHUNKS) for j in (0, 1)]] ^= 1
-    a, b = chunk_keys(pair)
+    pair[1, [c * chunk + j for c in range(SYMBOLS // chunk) for j in (0, 1)]] ^= 1
+    a, b = chunk_keys(pair, chunk)
     assert not (a == b).any()
 
 
+def test_chunks_follow_the_similarity():
+    assert [chunk_for((s, 100)) for s in (99, 85, 80, 70, 60, 50, 30)] == [4, 4, 4, 3, 2, 2, 2]
+    with pytest.raises(ValueError):
+        chunk_for((10, 100))
+
+
+def test_links_at_low_similarities_are_found(spark):
+    """Pairs just at the similarity: sets of 120 shingles that share what 0.5 and 0.7 of the union are."""
+    for least in (50, 70):
+        common = -(-240 * least // (100 + least))
+        rows = [(2 * i + j, " ".join([f"{i}c{n}" for n in range(common)] + [f"{i}{j}o{n}" for n in range(120 - common)]), "a") for i in range(150) for j in (0, 1)]
+        got = near_duplicates(documents(spark, rows), 1, (least, 100))
+        assert got.where("component_id = doc_id - doc_id % 2").count() == 300
+
+
 def test_large_group_of_near_copies_in_blocks(spark, monkeypatch):
     import wayfield.llm.neardup as neardup
     monkeypatch.setattr(neardup, "BLOCK", 8)

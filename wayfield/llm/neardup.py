@@ -2,10 +2,12 @@
 
 1. A document's set holds its distinct shingles. Documents with equal sets form a class and go on as one.
 2. A class has a signature of 48 MinHash symbols of 16 bits. The Hamming distance of two signatures is the
-   number of symbols that differ. Signatures are split into 12 chunks of 4 symbols; by the pigeonhole
-   principle two signatures at distance 23 or less agree in some chunk but for one symbol at most. So each
-   chunk is entered under each of its symbols left out, and every pair at distance 23 or less meets under
-   some key. (At a similarity of 0.85 the distance exceeds 23 with a probability below 1e-7.)
+   number of symbols that differ. Signatures are split into chunks; by the pigeonhole principle two signatures that
+   differ in less than two symbols a chunk agree in some chunk but for one symbol at most. So each chunk is entered
+   under each of its symbols left out, and every pair up to that distance meets under some key. Chunks have as
+   many symbols as the similarity allows: a linked pair is beyond the distance with a probability of at most
+   ``MISS``. (12 chunks of 4 and a distance of 23 at 0.85 and 0.80, where the probabilities are 1.3e-8 and 3.3e-6;
+   chunks of 3 at 0.7, of 2 at 0.6 and 0.5. What would need still shorter ones is refused.)
 3. Keys shared by several classes are buckets. A bucket is cut into blocks, and each pair of blocks is a
    unit of work of bounded size, however large the bucket is. A unit returns each member with the smallest
    one that it is connected with over such pairs: fewer rows than members, never all pairs.
@@ -22,6 +24,7 @@ empty result. Only ``doc_id`` and ``text`` are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,9 @@ from wayfield.llm.shared import binary, components, packed, run_starts, runs, sl
 from wayfield.llm.words import mix, shingle_sets
 from wayfield.sources.scratch import Scratch
 
-SYMBOLS, CHUNKS, ERRORS = 48, 12, 1
-CHUNK = SYMBOLS // CHUNKS
-# Every pair of signatures up to this distance is found.
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+SYMBOLS, ERRORS = 48, 1
+# Symbols of a chunk, and the probability with which a linked pair may have signatures beyond the distance.
+CHUNKS_OF, MISS = (4, 3, 2), 1e-5
 # Members of a block; a unit of work compares two blocks.
 BLOCK = 256
 
@@ -44,6 +46,21 @@ _XOR = _random.integers(0, 2 ** 63, SYMBOLS, dtype=np.uint64)
 _TIMES = _random.integers(0, 2 ** 63, SYMBOLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def distance(chunk: int) -> int:
+    """Every pair of signatures up to this distance is found."""
+    return SYMBOLS // chunk * (ERRORS + 1) - 1
+
+
+def chunk_for(similarity: tuple[int, int]) -> int:
+    """Symbols of a chunk with which a pair of this similarity is found, but for a probability of ``MISS``."""
+    differ = 1 - similarity[0] / similarity[1]
+    for chunk in CHUNKS_OF:
+        beyond = sum(comb(SYMBOLS, n) * differ ** n * (1 - differ) ** (SYMBOLS - n) for n in range(distance(chunk) + 1, SYMBOLS + 1))
+        if beyond <= MISS:
+            return chunk
+    raise ValueError(f"{SYMBOLS} symbols do not find pairs of a similarity of {similarity[0] / similarity[1]}")
+
+
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
     """One row of symbols per non-empty set."""
     flat = np.concatenate(sets)
@@ -77,23 +94,23 @@ def sketch(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, signature binary")
 
 
-def chunk_keys(symbols: np.ndarray) -> np.ndarray:
+def chunk_keys(symbols: np.ndarray, chunk: int) -> np.ndarray:
     """The keys of each signature: number of the chunk and of the symbol left out, and the other symbols."""
-    chunks = symbols.reshape(-1, CHUNKS, CHUNK).astype(np.int64)
-    out = np.empty((len(symbols), CHUNKS, CHUNK), np.int64)
-    for left_out in range(CHUNK):
-        key = np.arange(CHUNKS) * CHUNK + left_out
-        for j in range(CHUNK):
+    chunks = symbols.reshape(len(symbols), -1, chunk).astype(np.int64)
+    out = np.empty(chunks.shape, np.int64)
+    for left_out in range(chunk):
+        key = np.arange(chunks.shape[1]) * chunk + left_out
+        for j in range(chunk):
             if j != left_out:
                 key = key << 16 | chunks[:, :, j]
         out[:, :, left_out] = key
     return out.reshape(len(symbols), -1)
 
 
-def keyed(classes: DataFrame) -> DataFrame:
+def keyed(classes: DataFrame, chunk: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = chunk_keys(text_bytes(batch.column("signature"))[0].view(np.uint16).reshape(-1, SYMBOLS))
+            keys = chunk_keys(text_bytes(batch.column("signature"))[0].view(np.uint16).reshape(-1, SYMBOLS), chunk)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("rep").take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))],
                                              ["key", "rep"])
 
@@ -155,26 +172,29 @@ def lags(end: np.ndarray, lo: np.ndarray, hi: np.ndarray, block: np.ndarray, for
         lag += 1
 
 
-def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def close_pairs(chunk: int):
     """Of each pair of blocks, what is connected by pairs at the signature distance."""
-    keys = ["key", "lo", "hi"]
-    for data in runs(batches, keys):
-        data = data.combine_chunks()
-        starts = run_starts(data, keys)
-        symbols = text_bytes(data.column("signature").chunk(0))[0].view(np.uint16).reshape(-1, SYMBOLS)
-        lo, hi, block, rep = (data.column(c).to_numpy() for c in ("lo", "hi", "block", "rep"))
-        number = data.column("key").to_numpy() >> 48
-        forest = Forest(len(rep))
-        for a, b in lags(np.repeat(starts[1:], np.diff(starts)), lo, hi, block, forest):
-            same = (symbols[a] == symbols[b]).reshape(-1, CHUNKS, CHUNK)
-            errors = CHUNK - same.sum(2)
-            # A pair that meets under several keys counts under the first of them only.
-            chunk = (errors <= ERRORS).argmax(1)
-            row = np.arange(len(a))
-            left_out = np.where(errors[row, chunk] > 0, same[row, chunk].argmin(1), 0)
-            near = (errors.sum(1) <= DISTANCE) & (chunk * CHUNK + left_out == number[a])
-            forest.link(a[near], b[near])
-        yield forest.edges(rep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = ["key", "lo", "hi"]
+        for data in runs(batches, keys):
+            data = data.combine_chunks()
+            starts = run_starts(data, keys)
+            symbols = text_bytes(data.column("signature").chunk(0))[0].view(np.uint16).reshape(-1, SYMBOLS)
+            lo, hi, block, rep = (data.column(c).to_numpy() for c in ("lo", "hi", "block", "rep"))
+            number = data.column("key").to_numpy() >> 16 * (chunk - 1)
+            forest = Forest(len(rep))
+            for a, b in lags(np.repeat(starts[1:], np.diff(starts)), lo, hi, block, forest):
+                same = (symbols[a] == symbols[b]).reshape(len(a), -1, chunk)
+                errors = chunk - same.sum(2)
+                # A pair that meets under several keys counts under the first of them only.
+                first = (errors <= ERRORS).argmax(1)
+                row = np.arange(len(a))
+                left_out = np.where(errors[row, first] > 0, same[row, first].argmin(1), 0)
+                near = (errors.sum(1) <= distance(chunk)) & (first * chunk + left_out == number[a])
+                forest.link(a[near], b[near])
+            yield forest.edges(rep)
+
+    return run
 
 
 def exact_links(similarity: tuple[int, int]):
@@ -244,16 +264,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: tuple[int, int]
     Sets are linked if intersection * similarity[1] >= union * similarity[0]; ``component_id`` is the smallest doc_id that
     can be reached over links, and ``kept`` tells whether that is the document itself.
     """
-    scratch = scratch or Scratch(docs.sparkSession, "neardup")
+    scratch, chunk = scratch or Scratch(docs.sparkSession, "neardup"), chunk_for(similarity)
     sketches = scratch.save(sketch(docs, words), "sketches")
     same = ["n_shingles", "h1", "h2"]
     classes = scratch.save(sketches.where("n_shingles > 0").groupBy(*same).agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("signature").alias("signature")), "classes")
     known = classes.where("rep IS NOT NULL")
-    keys = keyed(known)
+    keys = keyed(known, chunk)
     buckets = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = keys.join(buckets, "key").join(known.select("rep", "signature"), "rep")
-    close = scratch.save(block_pairs(members, "key", "size").mapInArrow(close_pairs, "a long, b long").distinct(), "close")
+    close = scratch.save(block_pairs(members, "key", "size").mapInArrow(close_pairs(chunk), "a long, b long").distinct(), "close")
     clusters = components(close, scratch).select(F.col("id").alias("rep"), F.col("root").alias("cluster"))
     sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("size")), "cluster")
     # Clusters grow with the documents: their join with the texts is a shuffle of both at every size.

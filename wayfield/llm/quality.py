@@ -156,8 +156,8 @@ def grow(rows: np.ndarray, label: np.ndarray) -> Trees:
 
 
 def held_out(doc_id: Column) -> Column:
-    """Rows that are never learnt from."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
+    """Rows that are never learnt from; one without an id is none of them."""
+    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def with_statistics(docs: DataFrame) -> DataFrame:

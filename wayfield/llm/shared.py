@@ -139,17 +139,17 @@ def running_sum(df: DataFrame, by: list[str], order: list[str], value: str, scra
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``id, root`` for every end of ``edges(a, b)``: root is the smallest id that can be reached.
 
-    Alternating large-star and small-star rounds, each a written table. Minima are pre-aggregated
-    and joined back, so a node with very many neighbours is an aggregate and a join that adaptive
-    execution may split, never one group in a task.
+    Alternating large-star and small-star rounds, each a written table. Minima are pre-aggregated, written
+    and joined back: both sides of these joins come from tables, so adaptive execution splits the key
+    of a node with very many neighbours.
     """
     now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     facts = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = scratch.save(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        low = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u")
         nearer = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         now = scratch.save(nearer.where("u <> v").distinct(), "edges")
