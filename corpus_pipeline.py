@@ -11,7 +11,7 @@ from __future__ import annotations
 import uuid
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfield.llm.mixing import mixed_documents
@@ -54,11 +54,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates (five words, similarity 0.8)."""
+    """One document, that with the smallest id, of each group of near duplicates (five words, similarity 0.8).
+
+    Rows without an id of their own get one, so that no row goes but for its own text.
+    """
+    docs = identified(docs)
     kept = near_duplicates(docs, words=5, similarity=(80, 100)).where("kept").select(F.col("doc_id").alias("__doc"))
-    found = docs.join(kept, F.col("doc_id") == F.col("__doc"), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    return found.withColumn("__first", first).where(F.col("__first") == 1).select(*docs.columns)
+    return docs.join(kept, F.col("doc_id") == F.col("__doc"), "left_semi").select(*docs.columns)
 
 
 def unrepeated_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

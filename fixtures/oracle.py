@@ -54,6 +54,8 @@ PARTS: list[tuple[str, str, str]] = [
                  "union all select k, case when k % 2 = 0 then 0 else 1 end, case when k % 2 = 0 then 1 else 0 end, "
                  "(n % 5) * 0.75::double - 0.25::double, case when k % 2 = 0 then r1 else r2 end, case when k % 2 = 0 then c1 else c2 end, "
                  "case when k % 2 = 0 then r2 else r0 end, case when k % 2 = 0 then c2 else c0 end from ends2"),
+    ("line_ends", "", "select line_id, ra between 0 and nrows - 1 and ca between 0 and 39 as inside from segs, g "
+                      "union all select line_id, rb between 0 and nrows - 1 and cb between 0 and 39 from segs, g"),
     ("walk", "", "select line_id, part, seg, i as step, cost, "
                  "ra + (case when ra < rb then 1 else -1 end) * (case when tall <= wide then minor else i end) as r, "
                  "ca + (case when ca < cb then 1 else -1 end) * (case when tall <= wide then i else minor end) as c "
@@ -70,15 +72,24 @@ PARTS: list[tuple[str, str, str]] = [
                  "from cells left join lmult l on l.cell_id = cells.cell_id left join rmult r on r.cell_id = cells.cell_id"),
     ("base16", "", f"select a.cell_id, coalesce(avg({walk_cost('speed')}), 0.0::double) as value from cells a cross join (select * from steps where k = 16) o "
                    "left join cells b on b.r = a.r + o.dr and b.c = a.c + o.dc where b.cell_id is not null group by 1"),
+    # the wide terrain
+    ("wg", "", "select max(o_orderkey) // 500 + 1 as nrows from orders"),
+    ("wcells", "", "select o_orderkey as cell_id, o_orderkey // 500 as r, o_orderkey % 500 as c, "
+                   "o_custkey % 40 * 0.25::double + o_totalprice * 0.00001::double as z from orders"),
+    ("wplaced", "", "select (s_suppkey * 7 + s_nationkey) % nrows as r, (s_suppkey * 37 + s_nationkey * 3) % 500 as c from supplier, wg where s_suppkey % 10 <> 9"),
+    ("wsamples", "", "select r * 500 + c as s, count(*) as m from wplaced group by 1"),
+    ("wdests", "", "select c_custkey as dest_id, (c_custkey * 3 + c_nationkey) % nrows * 500 + (c_custkey * 17 + c_nationkey * 5) % 500 as cell_id "
+                   "from customer, wg where c_custkey % 10 <> 9"),
+    ("worg", "", "select cast(floor(avg(r + 0.5::double)) as bigint) * 500 + cast(floor(avg(c + 0.5::double)) as bigint) as s from wplaced"),
 ]
 
 
-def _edges(name: str, cap: str, mult: bool) -> tuple[str, str, str]:
+def _edges(name: str, cap: str, mult: bool, cells: str = "cells") -> tuple[str, str, str]:
     factor = " * mult.m" if mult else ""
     join = " join mult on mult.cell_id = b.cell_id" if mult else ""
-    return (name, "", f"select a.cell_id as src, b.cell_id as dst, {walk_cost(cap)}{factor} as w from cells a "
+    return (name, "", f"select a.cell_id as src, b.cell_id as dst, {walk_cost(cap)}{factor} as w from {cells} a "
                       "cross join (select * from steps where k = 16) o "
-                      f"join cells b on b.r = a.r + o.dr and b.c = a.c + o.dc{join}")
+                      f"join {cells} b on b.r = a.r + o.dr and b.c = a.c + o.dc{join}")
 
 
 def _paths(tag: str, edge: str, starts: str) -> list[tuple[str, str, str]]:
@@ -99,19 +110,21 @@ PARTS += [_edges("edge_s", "speed", False), _edges("edge_x", "exponent", False),
           _edges("edge_sm", "speed", True), _edges("edge_xm", "exponent", True)]
 PARTS += _paths("_o", "edge_s", "org") + _paths("_om", "edge_sm", "org")
 PARTS += _paths("_p", "edge_x", "samples") + _paths("_pm", "edge_xm", "samples")
-for _tag in ("_o", "_om"):
+PARTS += [_edges("edge_ws", "speed", False, "wcells"), _edges("edge_wx", "exponent", False, "wcells")]
+PARTS += _paths("_wo", "edge_ws", "worg") + _paths("_wp", "edge_wx", "wsamples")
+for _tag, _dests in (("_o", "dests"), ("_om", "dests"), ("_wo", "wdests")):
     PARTS += [
-        (f"back{_tag}", "", f"select d.cell_id as dest, d.cell_id as cell, 0 as n from (select distinct cell_id from dests) d join dist{_tag} t on t.v = d.cell_id "
+        (f"back{_tag}", "", f"select d.cell_id as dest, d.cell_id as cell, 0 as n from (select distinct cell_id from {_dests}) d join dist{_tag} t on t.v = d.cell_id "
                             f"union all select w.dest, p.p, w.n + 1 from back{_tag} w join pred{_tag} p on p.v = w.cell"),
         (f"path{_tag}", "", f"select dest, max(n) over (partition by dest) - n as step, cell from back{_tag}"),
-        (f"num{_tag}", "", f"select cast(row_number() over (order by dest_id) - 1 as bigint) as path_id, dest_id, cell_id, dist from dests join dist{_tag} on v = cell_id"),
+        (f"num{_tag}", "", f"select cast(row_number() over (order by dest_id) - 1 as bigint) as path_id, dest_id, cell_id, dist from {_dests} join dist{_tag} on v = cell_id"),
     ]
-for _tag in ("_p", "_pm"):
+for _tag, _samples in (("_p", "samples"), ("_pm", "samples"), ("_wp", "wsamples")):
     PARTS += [
-        (f"tok{_tag}", "", f"select a.s as s, b.s as dest, b.s as cell, b.m as n from samples a, samples b where a.s <> b.s "
+        (f"tok{_tag}", "", f"select a.s as s, b.s as dest, b.s as cell, b.m as n from {_samples} a, {_samples} b where a.s <> b.s "
                            f"union all select w.s, w.dest, p.p, w.n from tok{_tag} w join pred{_tag} p on p.s = w.s and p.v = w.cell"),
         (f"pc{_tag}", "", f"select s, cell, cast(sum(n) as bigint) as n from tok{_tag} group by 1, 2"),
-        (f"dens{_tag}", "", f"select cell, cast(sum(n * m) as bigint) as n from pc{_tag} join samples using (s) group by 1"),
+        (f"dens{_tag}", "", f"select cell, cast(sum(n * m) as bigint) as n from pc{_tag} join {_samples} using (s) group by 1"),
     ]
 
 _NAMES = {name for name, _, _ in PARTS}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +15,7 @@ from wayfield.functions.costs import tobler
 from wayfield.functions.geo import cell_col, cell_id, cell_row, cell_to_world
 from wayfield.functions.offsets import NEIGHBOUR_OPTIONS
 from wayfield.operators import checks, lines as L, neighbours as N, points as P, terrain as R
-from wayfield.operators import distance as D, frontier, tracing
+from wayfield.operators import distance as D, frontier, overlay, tracing
 from wayfield.operators.tile_kernels import Stencil
 from wayfield.operators.tiles import configure
 from wayfield.plans.jobs import fete, lcpa, point_density
@@ -91,12 +91,31 @@ class Inputs:
 
     def lcpa(self, **kw) -> dict[str, DataFrame]:
         modified = kw.pop("modified", False)
-        extra = {"lines": self.lines, "cost_raster": self.raster} if modified else {}
+        extra = {"lines": self.lines, "cost_raster": self.raster, "raster_meta": self.meta} if modified else {}
         return lcpa(self.cells, self.origin, self.dest_points, self.meta, self.options(**kw), **extra)
 
     def scratch(self, label: str) -> str:
         return Scratch(self.spark, label).path
 
+    @property
+    def wide(self) -> "Wide":
+        return Wide(self.spark, self.sf_dir)
+
+
+class Wide(Inputs):
+    """The wide terrain with its own points; its queries use the default tile."""
+
+    @cached_property
+    def meta(self):
+        return tables.wide_meta(self.spark, self.sf_dir)
+
+    @property
+    def cells(self):
+        return tables.wide_cells(self.spark, self.sf_dir)
+
+    def options(self, **kw) -> JobOptions:
+        return JobOptions(on_outside="skip", **kw)
+
 
 def _r(name: str, places: int = 6):
     return F.round(F.col(name), places).alias(name)
@@ -272,15 +291,28 @@ def _(q):
     return checks.check_same_grid(q.samples, q.meta, q.meta)
 
 
-@query("line_schema_check", "select 'line_schema' as \"check\", true as ok, 'ok' as status union all select 'line_schema', false, 'no_cost_column'")
+def _line_schema_sql(columns: str) -> str:
+    return (f"select 'line_schema' as \"check\", bool_or(column_name = 'cost') as ok, case when bool_or(column_name = 'cost') then 'ok' else 'no_cost_column' end as status "
+            f"from (describe select {columns} from supplier)")
+
+
+@query("line_schema_check", f"{_line_schema_sql('s_suppkey as line_id, s_acctbal as cost')} union all {_line_schema_sql('s_suppkey as line_id, s_acctbal as costs')} "
+                            f"union all {_line_schema_sql('*')}")
 def _(q):
-    return checks.line_schema_report(q.lines).unionByName(checks.line_schema_report(q.lines.drop("cost")))
+    suppliers = tables.table(q.spark, q.sf_dir, "supplier")
+    named = [suppliers.select(F.col("s_suppkey").alias("line_id"), F.col("s_acctbal").alias(name)) for name in ("cost", "costs")]
+    return reduce(DataFrame.unionByName, map(checks.line_schema_report, [*named, suppliers]))
 
 
-@query("rotation_check", "select 'rotation' as \"check\", true as ok, 'ok' as status union all select 'rotation', false, 'rotated'")
+@query("rotation_check", "select n_nationkey as grid, not coalesce(abs(x) > 1e-12, false) and not coalesce(abs(y) > 1e-12, false) as ok, "
+                         "case when coalesce(abs(x) > 1e-12, false) or coalesce(abs(y) > 1e-12, false) then 'rotated' else 'ok' end as status from (select n_nationkey, "
+                         "case when n_regionkey = 4 then null else (n_nationkey % 4 - 2) * 1e-12::double end as x, (n_regionkey - 2) * 0.6e-12::double as y from nation)")
 def _(q):
-    turned = replace(q.meta, rot_x=0.5)
-    return checks.rotation_report(q.cells, q.meta).unionByName(checks.rotation_report(q.cells, turned))
+    """One geotransform for each nation, turned by nothing, by rounding or by more."""
+    nations = tables.table(q.spark, q.sf_dir, "nation")
+    x = F.when(F.col("n_regionkey") != 4, (F.pmod("n_nationkey", F.lit(4)) - 2) * F.lit(1e-12))
+    grids = nations.select(F.col("n_nationkey").alias("grid"), x.alias("rot_x"), ((F.col("n_regionkey") - 2) * F.lit(0.6e-12)).alias("rot_y"))
+    return checks.check_rotation(grids).select("grid", "ok", "status")
 
 
 @query("points_null", "select count(*) as total, count(*) filter (x is null or not (x between 0 and 1200.0::double and y between 0 and y0)) as outside, "
@@ -503,11 +535,25 @@ def _(q):
     return D.cost_distance(q.cells, q.samples, q.stencil("exponent"), q.mult).select("source", "cell_id", _r("d"))
 
 
-@query("cost_distance_frontier", "select s as source, v as cell_id, round(dist, 6) as d from dist_o")
+@query("cost_distance_wide", "select s as source, v as cell_id, round(dist, 6) as d from dist_wo")
 def _(q):
-    edge_table = N.edges(q.cells, 16, q.meta)
+    q = q.wide
     source = P.points_to_cells(q.origin, q.meta).select("cell_id")
-    return frontier.frontier_distance(edge_table, source).select("source", "cell_id", _r("d"))
+    return D.cost_distance(q.cells, source, q.stencil(tile=JobOptions.tile_size)).select("source", "cell_id", _r("d"))
+
+
+@query("cost_distance_frontier", "select s as source, v as cell_id, round(dist, 6) as d from dist_p")
+def _(q):
+    edge_table = N.edges(q.cells, 16, q.meta, cap="exponent")
+    return frontier.frontier_distance(edge_table, q.samples).select("source", "cell_id", _r("d"))
+
+
+@query("cost_distance_buckets", "select s as source, v as cell_id, round(dist, 6) as d from dist_om")
+def _(q):
+    """In cost buckets as wide as a few level steps, so that steep and slowed steps are heavy ones."""
+    source = P.points_to_cells(q.origin, q.meta).select("cell_id")
+    edge_table = N.edges(q.cells, 16, q.meta, Scratch(q.spark, "m").save(q.mult, "m"))
+    return frontier.frontier_distance(edge_table, source, width=0.05).select("source", "cell_id", _r("d"))
 
 
 @query("predecessors", "select s as source, v as cell_id, p as pred from pred_p")
@@ -516,12 +562,11 @@ def _(q):
     return D.tree_predecessors(solved)
 
 
-@query("predecessors_joined", "select s as source, v as cell_id, p as pred from pred_om")
+@query("predecessors_joined", "select s as source, v as cell_id, p as pred from pred_pm")
 def _(q):
-    source = P.points_to_cells(q.origin, q.meta).select("cell_id")
     mult = Scratch(q.spark, "m").save(q.mult, "m")
-    dist = D.cost_distance(q.cells, source, q.stencil(), mult)
-    return frontier.predecessors(dist, N.edges(q.cells, 16, q.meta, mult))
+    dist = D.cost_distance(q.cells, q.samples, q.stencil("exponent", SMALL_TILE), mult)
+    return frontier.predecessors(dist, N.edges(q.cells, 16, q.meta, mult, cap="exponent"))
 
 
 @query("pairwise_cost", "select d.s as source, v as cell_id, round(dist, 6) as d from dist_p d join samples t on t.s = d.v")
@@ -529,6 +574,21 @@ def _(q):
     return D.pairwise_cost(q.cells, q.samples, q.stencil("exponent")).select("source", "cell_id", _r("d"))
 
 
+@query("pairwise_cost_overlay", "select d.s as source, v as cell_id, round(dist, 6) as d from dist_p d join samples t on t.s = d.v")
+def _(q):
+    """The same through costs of crossing tiles."""
+    over = overlay.build_overlay(q.cells, q.stencil("exponent"))
+    return overlay.overlay_costs(over, q.samples, q.samples).select("source", "cell_id", _r("d"))
+
+
+@query("overlay_searched_again", "select d.s as source, v as cell_id, round(dist, 6) as d from dist_pm d join (select distinct cell_id from dests) t on t.cell_id = d.v")
+def _(q):
+    """A second search of one overlay, with other points, in cost buckets."""
+    over = overlay.build_overlay(q.cells, q.stencil("exponent", SMALL_TILE), Scratch(q.spark, "m").save(q.mult, "m"))
+    first = overlay.overlay_costs(over, q.dests, q.samples)
+    return overlay.overlay_costs(over, first.select("cell_id").distinct(), q.dests, width=0.2).select("source", "cell_id", _r("d"))
+
+
 @query("reachability", "select dest_id, cell_id, round(dist, 6) as d, dist is not null as reachable from dests left join dist_o on v = cell_id")
 def _(q):
     return q.lcpa()["reachability"].select("dest_id", "cell_id", _r("d"), "reachable")
@@ -552,6 +612,12 @@ def _(q):
     return q.lcpa()["path_raster"]
 
 
+@query("lcpa_path_raster_wide", "select wcells.cell_id, coalesce(n, 0) as n from wcells left join (select cell, count(*) as n from num_wo join path_wo on dest = cell_id group by 1) h "
+                                "on h.cell = wcells.cell_id")
+def _(q):
+    return q.wide.lcpa()["path_raster"]
+
+
 @query("lcpa_path_raster_b1", f"select cells.cell_id, cast(coalesce(n, 0) as bigint) as n from cells left join {boxed(_HITS, 'cell', 1)} h on h.cell_id = cells.cell_id")
 def _(q):
     return q.lcpa(buffer=1)["path_raster"]
@@ -599,6 +665,12 @@ def _(q):
     return R.on_grid(q.cells, point_density(q.cells, q.points, q.meta, q.options()))
 
 
+@query("fete_density_wide", "select wcells.cell_id, coalesce(n, 0) as n from wcells left join dens_wp on cell = wcells.cell_id")
+def _(q):
+    q = q.wide
+    return R.on_grid(q.cells, point_density(q.cells, q.points, q.meta, q.options()))
+
+
 @query("fete_density_b1", f"select cells.cell_id, cast(coalesce(n, 0) as bigint) as n from cells left join {boxed('dens_p', 'cell', 1)} h on h.cell_id = cells.cell_id")
 def _(q):
     return R.on_grid(q.cells, point_density(q.cells, q.points, q.meta, q.options(buffer=1)))
@@ -606,7 +678,7 @@ def _(q):
 
 @query("fete_density_modified", "select cells.cell_id, coalesce(n, 0) as n from cells left join dens_pm on cell = cells.cell_id")
 def _(q):
-    return fete(q.cells, q.points, q.meta, q.options(tile_size=SMALL_TILE), q.lines, q.raster)["density"]
+    return fete(q.cells, q.points, q.meta, q.options(tile_size=SMALL_TILE), q.lines, q.raster, q.meta)["density"]
 
 
 @query("density_summary", "select max(n) as max_density, min(n) as min_density, cast(sum(n) // count(*) as bigint) as avg_density, "
@@ -619,18 +691,19 @@ _FACTS = ("select 'cost_raster' as fact, 'applied' as status, null::double as va
           "union all select 'modified_percent', null, round((select count(*) from lmult where m > 1) * 100.0::double / (select count(*) from cells), 6) "
           "union all select 'applied_raster_cells', null, (select count(*) from rmult where m <> 1) "
           "union all select 'line_features', null, (select count(*) from supplier) "
-          "union all select 'line_vertices', null, (select 2 * count(*) from segs)")
-_REPORTED = "fact not in ('line_features_inside', 'line_vertices_inside')"
+          "union all select 'line_vertices', null, (select 2 * count(*) from segs) "
+          "union all select 'line_features_inside', null, (select count(distinct line_id) from line_ends where inside) "
+          "union all select 'line_vertices_inside', null, (select count(*) from line_ends where inside)")
 
 
 @query("fete_report", f"select 'points' as fact, null as status, (select count(*) from pts)::double as value union all "
                       f"select 'points_skipped', null, (select count(*) from pts) - (select count(*) from placed) union all {_FACTS}")
 def _(q):
-    report = fete(q.cells, q.points, q.meta, q.options(), q.lines, q.raster)["report"]
-    return report.where(_REPORTED).withColumn("value", F.round("value", 6))
+    report = fete(q.cells, q.points, q.meta, q.options(), q.lines, q.raster, q.meta)["report"]
+    return report.withColumn("value", F.round("value", 6))
 
 
 @query("lcpa_report", f"select 'destinations' as fact, null as status, (select count(*) from dest_pts)::double as value union all "
                       f"select 'destinations_skipped', null, (select count(*) from dest_pts) - (select count(*) from dests) union all {_FACTS}")
 def _(q):
-    return q.lcpa(modified=True)["report"].where(_REPORTED).withColumn("value", F.round("value", 6))
+    return q.lcpa(modified=True)["report"].withColumn("value", F.round("value", 6))

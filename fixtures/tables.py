@@ -1,8 +1,8 @@
 """Analysis inputs derived from the given tables, always from all of their rows.
 
 ``part`` is the terrain: a grid 40 cells wide, 30 m a cell, one part per cell. ``supplier`` gives
-sample points and lines, ``customer`` gives destinations. ``fixtures/oracle.py`` says the same in
-SQL.
+sample points and lines, ``customer`` gives destinations. The *wide* terrain is made of ``orders``, 500
+cells wide, with its own points. ``fixtures/oracle.py`` says the same in SQL.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from wayfield.operators.points import points_to_cells
 from wayfield.schema import GridMeta
 
 WIDTH = 40
+WIDE = 500
 CELL = 30.0
 CRS = "LOCAL_CS[\"metres\"]"
 
@@ -28,6 +29,20 @@ def grid_meta(spark: SparkSession, sf_dir: str) -> GridMeta:
     return GridMeta(nrows, WIDTH, 0.0, CELL * nrows, CELL, -CELL, CRS)
 
 
+def wide_meta(spark: SparkSession, sf_dir: str) -> GridMeta:
+    last = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("last")).first()["last"]
+    nrows = last // WIDE + 1
+    return GridMeta(nrows, WIDE, 0.0, CELL * nrows, CELL, -CELL, CRS)
+
+
+def wide_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("cell_id"), F.call_function("div", key, F.lit(WIDE)).cast("int").alias("row"),
+        F.pmod(key, F.lit(WIDE)).cast("int").alias("col"),
+        (F.pmod(F.col("o_custkey"), F.lit(40)) * F.lit(0.25) + F.col("o_totalprice") * F.lit(0.00001)).alias("z"))
+
+
 def dem_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(
@@ -57,18 +72,20 @@ def _placed(df: DataFrame, key: str, row: Column, col: Column, meta: GridMeta) -
     """Points at cell centres; every tenth lies below the grid."""
     off = F.when(F.pmod(F.col(key), F.lit(10)) == 9, meta.nrows).otherwise(0)
     row = F.pmod(row, F.lit(meta.nrows)) + off
-    col = F.pmod(col, F.lit(WIDTH))
+    col = F.pmod(col, F.lit(meta.ncols))
     return df.select(F.col(key).alias("point_id"), _x(col).alias("x"), _y(row, meta).alias("y"))
 
 
 def points(spark: SparkSession, sf_dir: str, meta: GridMeta) -> DataFrame:
     k, n = F.col("s_suppkey"), F.col("s_nationkey")
-    return _placed(table(spark, sf_dir, "supplier"), "s_suppkey", k * 7 + n, k * 11 + n * 3, meta)
+    across = 11 if meta.ncols == WIDTH else 37
+    return _placed(table(spark, sf_dir, "supplier"), "s_suppkey", k * 7 + n, k * across + n * 3, meta)
 
 
 def destinations(spark: SparkSession, sf_dir: str, meta: GridMeta) -> DataFrame:
     k, n = F.col("c_custkey"), F.col("c_nationkey")
-    return _placed(table(spark, sf_dir, "customer"), "c_custkey", k * 3 + n, k * 7 + n * 5, meta)
+    across = 7 if meta.ncols == WIDTH else 17
+    return _placed(table(spark, sf_dir, "customer"), "c_custkey", k * 3 + n, k * across + n * 5, meta)
 
 
 def origin(spark: SparkSession, sf_dir: str, meta: GridMeta) -> DataFrame:

@@ -42,6 +42,15 @@ def test_sources_in_several_passes_give_the_same_density(spark):
     assert one == many and sum(one.values()) > 0
 
 
+def test_passes_follow_the_curve(spark):
+    cells, meta = brute.grid(spark, [[0.0] * 64] * 64)
+    samples = cells.where("row % 2 = 0 AND col % 2 = 0").select("cell_id", F.lit(1).alias("m"))
+    placed = source_passes(samples, meta, 16, Scratch(spark, "passes"))
+    tile = F.floor(F.floor(F.col("cell_id") / 64) / 16) * 4 + F.floor(F.col("cell_id") % 64 / 16)
+    rows = placed.groupBy("pass").agg(F.count("*").alias("n"), F.count_distinct(tile).alias("tiles")).collect()
+    assert len(rows) == 16 and all((r.n, r.tiles) == (64, 1) for r in rows)
+
+
 def test_points_outside(spark):
     cells, meta = brute.grid(spark, [[0.0] * 3] * 3)
     pts = points(spark, meta, [0, 8, 300])
@@ -57,16 +66,18 @@ def test_modifiers_add_outputs_and_wrong_rasters_are_refused_or_skipped(spark):
     cells, meta = brute.grid(spark, [[0.0] * 4] * 3)
     pts = points(spark, meta, [0, 3])
     good = cells.select("cell_id", F.lit(2.0).alias("v"))
-    out = fete(cells, pts, meta, cost_raster=good)
+    out = fete(cells, pts, meta, cost_raster=good, raster_meta=meta)
     base, total = raster(out["base_cost"], "value"), raster(out["total_cost"], "value")
     assert all(total[c] == pytest.approx(2 * base[c]) for c in base)
     assert set(raster(out["additional_cost"], "value").values()) == {2.0}
     bad = good.where("cell_id < 5")
     with pytest.raises(ValueError, match="missing_cells"):
-        fete(cells, pts, meta, cost_raster=bad)
+        fete(cells, pts, meta, cost_raster=bad, raster_meta=meta)
     with pytest.raises(ValueError, match="other_dimensions"):
         fete(cells, pts, meta, cost_raster=good, raster_meta=GridMeta(4, 3, 0, 30, 10, -10, "local"))
-    assert "total_cost" not in fete(cells, pts, meta, JobOptions(on_mismatch="skip"), cost_raster=bad)
+    with pytest.raises(ValueError, match="raster_meta is missing"):
+        fete(cells, pts, meta, cost_raster=good)
+    assert "total_cost" not in fete(cells, pts, meta, JobOptions(on_mismatch="skip"), cost_raster=bad, raster_meta=meta)
 
 
 def test_paths_to_many_destinations(spark):

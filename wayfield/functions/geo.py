@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wayfield.schema import GridMeta
+from wayfield.schema import ROUNDING, GridMeta
+
+
+def is_rotated(rot_x: Column, rot_y: Column) -> Column:
+    """Whether rotation terms of a geotransform are more than rounding; unknown ones count as none."""
+    return F.coalesce(F.abs(rot_x) > ROUNDING, F.lit(False)) | F.coalesce(F.abs(rot_y) > ROUNDING, F.lit(False))
 
 
 def require_north_up(meta: GridMeta) -> None:
@@ -50,3 +55,17 @@ def cell_to_world(row: Column, col: Column, meta: GridMeta, anchor: str = "corne
     shift = 0.0 if anchor == "corner" else 0.5
     return (F.lit(meta.x0) + (col + shift) * F.lit(meta.dx),
             F.lit(meta.y0) + (row + shift) * F.lit(meta.dy))
+
+
+def z_order(row: Column, col: Column) -> Column:
+    """Place of a cell on the Z-shaped curve: the bits of row and column (up to 31 each) take turns.
+
+    Cells that are close on the curve are close on the grid.
+    """
+    def apart(n: Column) -> Column:
+        n = n.cast("bigint")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            n = n.bitwiseOR(F.shiftleft(n, shift)).bitwiseAND(F.lit(mask))
+        return n
+
+    return F.shiftleft(apart(row), 1).bitwiseOR(apart(col))

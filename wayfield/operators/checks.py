@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayfield.functions.geo import is_rotated
 from wayfield.operators.points import points_to_cells
 from wayfield.schema import GridMeta
 
@@ -15,23 +16,32 @@ def _report(df: DataFrame, check: str, status: Column) -> DataFrame:
     return df.select(F.lit(check).alias("check"), (status == "ok").alias("ok"), status.alias("status"))
 
 
-def check_dem(cells: DataFrame, meta: GridMeta) -> DataFrame:
-    """Usable resolution, a CRS, and every cell exactly once.
+def _cell_facts(cells: DataFrame, meta: GridMeta) -> DataFrame:
+    """One row: different cells on the grid, rows on it and off it.
 
-    With ids inside the grid, a complete grid has as many rows as cells and no id twice; the
-    duplicate test is a partial aggregation by id.
+    Each task marks the cells that it reads in bitmaps of 32,768 cells and counts them; only bitmaps are shuffled. A cell
+    that two tasks read, or one twice, shows in the number of rows.
     """
-    per_id = cells.groupBy("cell_id").agg(F.count("*").alias("copies"))
-    on_grid = F.col("cell_id").between(0, meta.n_cells - 1)
-    facts = per_id.agg(F.count_if(on_grid).alias("distinct"), F.count_if(~on_grid).alias("outside"),
-                       F.count_if(F.col("copies") > 1).alias("repeated"))
-    status = (F.when(F.lit(meta.dx == 0 and meta.dy == 0), "no_geotransform")
-               .when(F.lit(not meta.crs), "no_crs")
-               .when(F.col("outside") > 0, "cells_outside_grid")
-               .when(F.col("repeated") > 0, "repeated_cells")
-               .when(F.col("distinct") != meta.n_cells, "missing_cells")
-               .otherwise("ok"))
-    return _report(facts, "dem", status)
+    on_grid = F.coalesce(F.col("cell_id").between(0, meta.n_cells - 1), F.lit(False))
+    at = F.when(on_grid, F.col("cell_id") + 1)
+    bits = (cells.groupBy(F.bitmap_bucket_number(at).alias("bucket"))
+                 .agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"),
+                      F.count_if(on_grid).alias("inside"), F.count_if(~on_grid).alias("outside")))
+    return bits.agg(F.coalesce(F.sum(F.when(F.col("bucket").isNotNull(), F.bitmap_count("bits"))), F.lit(0)).alias("distinct"),
+                    F.coalesce(F.sum("inside"), F.lit(0)).alias("inside"), F.coalesce(F.sum("outside"), F.lit(0)).alias("outside"))
+
+
+def _complete(meta: GridMeta, first: Column) -> Column:
+    """``first``, a ``when`` chain, followed by the status of the cells."""
+    return (first.when(F.col("outside") > 0, "cells_outside_grid")
+                 .when(F.col("inside") > F.col("distinct"), "repeated_cells")
+                 .when(F.col("distinct") != meta.n_cells, "missing_cells").otherwise("ok"))
+
+
+def check_dem(cells: DataFrame, meta: GridMeta) -> DataFrame:
+    """Usable resolution, a CRS, and every cell exactly once."""
+    first = F.when(F.lit(meta.dx == 0 and meta.dy == 0), "no_geotransform").when(F.lit(not meta.crs), "no_crs")
+    return _report(_cell_facts(cells, meta), "dem", _complete(meta, first))
 
 
 def check_points(points: DataFrame) -> DataFrame:
@@ -103,15 +113,8 @@ def first_failure(reports: DataFrame) -> DataFrame:
 
 def check_same_grid(raster: DataFrame, meta: GridMeta, raster_meta: GridMeta) -> DataFrame:
     """A cost raster has the rows and columns of the elevation grid, and each of its cells exactly once."""
-    per_id = raster.groupBy("cell_id").agg(F.count("*").alias("copies"))
-    on_grid = F.coalesce(F.col("cell_id").between(0, meta.n_cells - 1), F.lit(False))
-    facts = per_id.agg(F.count_if(on_grid).alias("distinct"), F.count_if(~on_grid).alias("outside"),
-                       F.count_if(F.col("copies") > 1).alias("repeated"))
-    status = (F.when(F.lit(not meta.same_grid(raster_meta)), "other_dimensions")
-               .when(F.col("outside") > 0, "cells_outside_grid")
-               .when(F.col("repeated") > 0, "repeated_cells")
-               .when(F.col("distinct") != meta.n_cells, "missing_cells").otherwise("ok"))
-    return _report(facts, "same_grid", status)
+    first = F.when(F.lit(not meta.same_grid(raster_meta)), "other_dimensions")
+    return _report(_cell_facts(raster, meta), "same_grid", _complete(meta, first))
 
 
 def check_line_schema(lines: DataFrame) -> list[str]:
@@ -127,6 +130,10 @@ def line_schema_report(lines: DataFrame) -> DataFrame:
     return _report(lines.agg(F.count("*")), "line_schema", status)
 
 
-def rotation_report(cells: DataFrame, meta: GridMeta) -> DataFrame:
-    """As the other checks: whether the grid is turned, which no operator can work on."""
-    return _report(cells.agg(F.count("*")), "rotation", F.lit("rotated" if meta.is_rotated() else "ok"))
+def check_rotation(transforms: DataFrame) -> DataFrame:
+    """The verdict for each row of a table of geotransforms (``rot_x, rot_y`` are their rotation terms).
+
+    No operator can work on a grid that is turned.
+    """
+    turned = is_rotated(F.col("rot_x"), F.col("rot_y"))
+    return transforms.withColumns({"ok": ~turned, "status": F.when(turned, "rotated").otherwise("ok")})

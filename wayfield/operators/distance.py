@@ -239,12 +239,13 @@ def _bounds(ring: DataFrame, target_tiles: int) -> DataFrame:
 
 def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
                targets: DataFrame | None = None, bounded: bool = False, keep_cells: bool = False,
-               blocks: DataFrame | None = None, with_goals: bool = False) -> CostTrees:
+               blocks: DataFrame | None = None, with_goals: bool = False, width: float | None = None) -> CostTrees:
     """Solve least cost from every cell in ``sources`` (``cell_id``) over the grid.
 
     With ``bounded`` the search of a source ends at the cost of its farthest target, which changes
     no result at the targets. ``blocks`` are packed tiles to use again. ``with_goals`` keeps a row for
-    each source and target.
+    each source and target. With ``width`` a tile waits until its least fresh ring cost lies in the lowest cost
+    bucket of its source: there are more rounds, but tiles are hardly ever relaxed before their ring is final.
     """
     spark = cells.sparkSession
     scratch = Scratch(spark, "cost")
@@ -266,8 +267,11 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
     live = tile_count(meta, size) > 1
     while live:
         rounds += 1
-        border = _per_group(ring.where("live").drop("live", "fresh"), blocks, slots,
-                            _border_costs(stencil), BORDER_SCHEMA)
+        if width is not None:
+            older, ring = ring, scratch.save(_in_bucket(ring, width), "ring")
+            scratch.drop(older)
+        now = "now" if width is not None else "live"
+        border = _per_group(ring.where(now).select(*RING), blocks, slots, _border_costs(stencil), BORDER_SCHEMA)
         bounds = _bounds(ring, target_tiles) if target_tiles else None
         merged = _merge(ring, _to_rings(border, stencil), slots, bounds, bool(final))
         seen = Observation()
@@ -290,14 +294,15 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
 
 
 def _merge(ring: DataFrame, news: DataFrame, slots: int, bounds: DataFrame | None, some_settled: bool) -> DataFrame:
-    """Ring with the news worked in, telling which rows improved and whose tiles must be relaxed.
+    """Ring with the news worked in, telling which rows improved (or wait) and whose tiles must be relaxed.
 
     News for a settled (source, tile) cannot improve it and is dropped.
     """
-    known = ring.select(*RING, F.col("d").alias("old"))
-    merged = (known.unionByName(news.withColumn("old", F.lit(None).cast("double")))
+    waits = F.col("fresh") & ~F.col("now") if "now" in ring.columns else F.lit(False)
+    known = ring.select(*RING, F.col("d").alias("old"), waits.alias("waits"))
+    merged = (known.unionByName(news.withColumns({"old": F.lit(None).cast("double"), "waits": F.lit(False)}))
                    .repartition(slots, "tile", "bucket").groupBy("tile", "bucket", "source", "cell_id")
-                   .agg(F.min("d").alias("d"), F.min("old").alias("old")))
+                   .agg(F.min("d").alias("d"), F.min("old").alias("old"), F.max("waits").alias("waits")))
     pair = Window.partitionBy("tile", "bucket", "source")
     if some_settled:
         over = F.max(F.col("cell_id") == SETTLED).over(pair)
@@ -307,12 +312,21 @@ def _merge(ring: DataFrame, news: DataFrame, slots: int, bounds: DataFrame | Non
         merged = merged.join(bounds, "source", "left")
         useful = F.coalesce(F.col("d") < F.col("bound"), F.lit(True))
         merged = merged.where(useful | F.col("old").isNotNull() | (F.col("cell_id") == TARGETS_DONE))
-    fresh = (F.col("cell_id") >= 0) & useful & (F.col("old").isNull() | (F.col("d") < F.col("old")))
+    fresh = (F.col("cell_id") >= 0) & useful & (F.col("old").isNull() | (F.col("d") < F.col("old")) | F.col("waits"))
     merged = merged.withColumn("fresh", fresh)
     live = F.max("fresh").over(pair) & (F.col("cell_id") >= 0)
     return merged.select(*RING, "fresh", live.alias("live"))
 
 
+def _in_bucket(ring: DataFrame, width: float) -> DataFrame:
+    """Ring with column ``now``: true for the rows of each (source, tile) whose least fresh cost is in its source's lowest bucket."""
+    front = ring.where("fresh").groupBy("source").agg(F.floor(F.min("d") / width).alias("front"))
+    pair = Window.partitionBy("tile", "bucket", "source")
+    least = F.min(F.when(F.col("fresh"), F.col("d"))).over(pair)
+    return (ring.withColumn("least", F.floor(least / width)).join(front, "source", "left")
+                .select(*RING, "fresh", "live", (F.col("live") & F.coalesce(F.col("least") == F.col("front"), F.lit(False))).alias("now")))
+
+
 def _settle(ring: DataFrame, blocks: DataFrame, stencil: Stencil) -> DataFrame:
     """Ring with column ``settled``: true for every row of a (source, tile) that cannot change.
 

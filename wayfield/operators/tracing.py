@@ -175,37 +175,67 @@ def _piece_cells(stencil: Stencil):
     return run
 
 
+def jump_tables(hop_table: DataFrame, scratch: Scratch) -> list[DataFrame]:
+    """Pointer doubling over hops: the n-th table leads 2^n hops on, the last one to the source from everywhere.
+
+    ``source, cell_id, next_cell, steps``; ``next_cell`` is -1 where the way ends before, and ``steps`` then counts up to the source.
+    So the number of tables is the logarithm of the most tiles that a path crosses.
+    """
+    tables = [scratch.save_bucketed(hop_table.select("source", "cell_id", "next_cell", "steps"), "jumps", "source", "cell_id")]
+    while tables[-1].where("next_cell >= 0").limit(1).count():
+        now = tables[-1]
+        ahead = now.select(F.col("source").alias("_source"), F.col("cell_id").alias("_cell"),
+                           F.col("next_cell").alias("_next"), F.col("steps").alias("_steps"))
+        moved = (now.where("next_cell >= 0").join(ahead, (F.col("source") == F.col("_source")) & (F.col("next_cell") == F.col("_cell")))
+                    .select("source", "cell_id", F.col("_next").alias("next_cell"), (F.col("steps") + F.col("_steps")).alias("steps")))
+        tables.append(scratch.save_bucketed(moved.unionByName(now.where("next_cell < 0")), "jumps", "source", "cell_id"))
+    return tables
+
+
+def path_nodes(starts: DataFrame, jumps: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """Every cell where a path from ``starts`` (``source, bucket, dest_cell, cell_id``) enters a tile, one row for each path and cell.
+
+    Jumps are taken from the longest to the shortest, each from all cells known by then.
+    """
+    nodes = scratch.save(starts, "nodes")
+    for jump in reversed(jumps[:-1]):
+        onward = (nodes.join(jump.where("next_cell >= 0").select("source", "cell_id", "next_cell"), ["source", "cell_id"])
+                       .select("source", "bucket", "dest_cell", F.col("next_cell").alias("cell_id")))
+        older, nodes = nodes, scratch.save(nodes.unionByName(onward), "nodes")
+        scratch.drop(older)
+    return nodes
+
+
 def trace_paths(solved: CostTrees, dest_cells: DataFrame) -> DataFrame:
     """Ordered cells of the path to each destination cell: ``source, dest_cell, step, cell_id``.
 
-    ``dest_cells`` is distinct ``cell_id``. Steps count from the source. Paths that share their
-    way near a source all pass through the same tile; their pieces are split by a salt there.
+    ``dest_cells`` is distinct ``cell_id``. Steps count from the source. Where a path enters tiles is found by pointer doubling. The piece
+    inside a tile is walked once for each source and cell where paths enter, however many of them do, and given to its paths at
+    the end. That join's keys are hot near a source; it is a join of two tables, which adaptive execution splits.
     """
     scratch = solved.scratch
-    # All paths of a source meet near it: these keys are hot, and a join of two shuffles can be split there.
-    hop_table = scratch.save(hops(solved), "hops")
+    jumps = jump_tables(hops(solved), scratch)
+    depth = jumps[-1].select("source", "cell_id", F.col("steps").alias("last"))
     first = (goals(solved).join(dest_cells.select("cell_id"), "cell_id", "left_semi")
-             .select("source", "bucket", F.col("cell_id").alias("dest_cell"), "cell_id", F.lit(0).cast("bigint").alias("back")))
-
-    def onward(now: DataFrame) -> DataFrame:
-        return (now.join(hop_table, ["source", "cell_id"]).where(F.col("next_cell") >= 0)
-                   .select("source", "bucket", "dest_cell", F.col("next_cell").alias("cell_id"),
-                           (F.col("back") + F.col("steps")).alias("back")))
-
-    pieces = _rounds(onward, first, scratch, "pieces")
-    slots = task_slots(pieces.sparkSession)
-    lengths = (pieces.join(hop_table, ["source", "cell_id"]).where(F.col("next_cell") < 0)
-               .select("source", "dest_cell", (F.col("back") + F.col("steps")).alias("last")))
-    placed = scratch.save(_in_tiles(solved, pieces.join(lengths, ["source", "dest_cell"])), "placed")
+             .select("source", "bucket", F.col("cell_id").alias("dest_cell"), "cell_id"))
+    nodes = path_nodes(first, jumps, scratch)
+    entered = nodes.select("source", "bucket", "cell_id").distinct().join(depth, ["source", "cell_id"])
+    # A piece is walked under the name of the cell where it is entered.
+    placed = scratch.save(_in_tiles(solved, entered.withColumn("dest_cell", F.col("cell_id")).withColumn("back", F.lit(0).cast("bigint"))), "placed")
+    scratch.forget_tables()
+    slots = task_slots(nodes.sparkSession)
     share = placed.groupBy("tile", "bucket").agg(F.ceil(F.count("*") / PIECES_PER_GROUP).alias("salts"))
     placed = (placed.join(share, ["tile", "bucket"])
               .withColumn("salt", F.pmod(F.xxhash64("dest_cell"), F.col("salts")).cast("int")).drop("salts"))
     trees = (solved.trees.select("source", "tile", "bucket", "moves").join(share, ["tile", "bucket"])
              .withColumn("salt", F.explode(F.sequence(F.lit(0), (F.col("salts") - 1).cast("int")))).drop("salts"))
     keys = ["tile", "bucket", "salt"]
-    return (placed.repartition(slots, *keys).groupBy(*keys)
-            .cogroup(trees.repartition(slots, *keys).groupBy(*keys))
-            .applyInArrow(_piece_cells(solved.stencil), from_arrow_schema(PIECE_SCHEMA)))
+    walked = (placed.repartition(slots, *keys).groupBy(*keys)
+              .cogroup(trees.repartition(slots, *keys).groupBy(*keys))
+              .applyInArrow(_piece_cells(solved.stencil), from_arrow_schema(PIECE_SCHEMA)))
+    pieces = scratch.save(walked.withColumnRenamed("dest_cell", "node"), "pieces")
+    on = nodes.select("source", "dest_cell", F.col("cell_id").alias("node"))
+    return on.join(pieces, ["source", "node"]).select("source", "dest_cell", "step", "cell_id")
 
 
 def number_paths(reach: DataFrame, scratch: Scratch) -> DataFrame:

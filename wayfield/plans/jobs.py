@@ -8,16 +8,17 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfield.functions.geo import require_north_up
+from wayfield.functions.geo import cell_col, cell_row, require_north_up, z_order
 from wayfield.operators import checks
 from wayfield.operators.distance import cost_trees, pack_tiles, reachability, target_costs
 from wayfield.operators.lines import line_coverage, rasterize_lines
+from wayfield.operators.numbering import numbered
 from wayfield.operators.points import points_to_cells, sample_cells
 from wayfield.operators.terrain import base_cost, combine_multipliers, dilate, modifier_stats, on_grid, slope, total_cost
 from wayfield.operators.tile_kernels import Stencil
 from wayfield.operators.tracing import (density_summary, lcpa_summary, number_paths, path_cells, path_counts,
                                         path_lines, path_raster, trace_paths)
-from wayfield.schema import GridMeta, JobOptions
+from wayfield.schema import COST_RASTER, GridMeta, JobOptions
 from wayfield.sources.scratch import Scratch
 
 
@@ -45,38 +46,53 @@ def _require(report: DataFrame) -> None:
         raise ValueError(f"input check {row['check']!r} failed: {row['status']}")
 
 
-def _surfaces(cells: DataFrame, meta: GridMeta, options: JobOptions, lines: DataFrame | None,
-              cost_raster: DataFrame | None, raster_meta: GridMeta | None) -> tuple[dict[str, Callable], DataFrame | None, list]:
-    """Makers of slope, base cost and, when there are modifiers, additional and total cost; the multipliers; report lines."""
-    base = base_cost(cells, options.neighbours, meta, options.cost_function)
-    out = {"slope": lambda: slope(cells, meta, options.slope_units), "base_cost": lambda: base}
-    facts = []
-    if cost_raster is not None:
-        report = checks.check_same_grid(cost_raster, meta, raster_meta or meta)
-        row = report.first()
-        if not row["ok"]:
-            if options.on_mismatch == "raise":
-                raise ValueError(f"input check {row['check']!r} failed: {row['status']}")
-            cost_raster = None
-        facts.append(("cost_raster", "applied" if row["ok"] else f"skipped: {row['status']}", None))
-    line_mult = None
+def _usable_raster(cost_raster: DataFrame | None, meta: GridMeta, raster_meta: GridMeta | None,
+                   options: JobOptions) -> tuple[DataFrame | None, list]:
+    """The cost raster, unless it is to be passed over, and what the report says of it."""
+    if cost_raster is None:
+        return None, []
+    if raster_meta is None:
+        raise ValueError("raster_meta is missing: rows and columns of a cost raster are its own, not those of the elevation grid")
+    row = checks.check_same_grid(cost_raster, meta, raster_meta).first()
+    if not row["ok"] and options.on_mismatch == "raise":
+        raise ValueError(f"input check {row['check']!r} failed: {row['status']}")
+    return (cost_raster if row["ok"] else None), [("cost_raster", "applied" if row["ok"] else f"skipped: {row['status']}", None)]
+
+
+def _surfaces(cells: DataFrame, meta: GridMeta, options: JobOptions, lines: DataFrame | None, cost_raster: DataFrame | None,
+              raster_meta: GridMeta | None) -> tuple[dict[str, Callable], Callable[[], DataFrame | None], Callable[[], list]]:
+    """Makers of slope, base cost and, when there are modifiers, additional and total cost; of the multipliers; of report lines.
+
+    Only the inputs are checked here. Lines are rasterised once, when an output first needs them.
+    """
+    spark = cells.sparkSession
+    cost_raster, said = _usable_raster(cost_raster, meta, raster_meta, options)
     if lines is not None:
         checks.check_line_schema(lines)
-        line_mult = rasterize_lines(lines, meta, options.line_buffer, options.line_combine)
-    if line_mult is not None or cost_raster is not None:
-        stats = modifier_stats(line_mult if line_mult is not None else base.select("cell_id", F.lit(1.0).alias("m")).limit(0),
-                               cost_raster if cost_raster is not None else base.select("cell_id", F.lit(1.0).alias("v")).limit(0), meta).first()
-        facts += [(name, None, float(stats[name] or 0)) for name in ("modified_cells", "modified_percent", "applied_raster_cells")]
-    if lines is not None:
-        covered = line_coverage(lines, meta).first()
-        facts += [(f"line_{name}", None, float(covered[name] or 0)) for name in ("features", "features_inside", "vertices", "vertices_inside")]
-    if line_mult is None and cost_raster is None:
-        return out, None, facts
-    mult = Scratch(cells.sparkSession, "multipliers").save(
-        combine_multipliers(cells, line_mult, cost_raster), "m")
-    out["additional_cost"] = lambda: mult.select("cell_id", F.col("m").alias("value"))
-    out["total_cost"] = lambda: total_cost(base, mult)
-    return out, mult, facts
+    modified = lines is not None or cost_raster is not None
+
+    def facts() -> list:
+        out = list(said)
+        if modified:
+            stats = modifier_stats(made["line_mult"], made["raster"], meta).first()
+            out += [(name, None, float(stats[name] or 0)) for name in ("modified_cells", "modified_percent", "applied_raster_cells")]
+        if lines is not None:
+            covered = line_coverage(lines, meta).first()
+            out += [(f"line_{name}", None, float(covered[name] or 0)) for name in ("features", "features_inside", "vertices", "vertices_inside")]
+        return out
+
+    made = Outputs({
+        "line_mult": lambda: (Scratch(spark, "line-multipliers").save(rasterize_lines(lines, meta, options.line_buffer, options.line_combine), "m")
+                              if lines is not None else spark.createDataFrame([], "cell_id long, m double")),
+        "raster": lambda: cost_raster if cost_raster is not None else spark.createDataFrame([], COST_RASTER),
+        "mult": lambda: (Scratch(spark, "multipliers").save(combine_multipliers(cells, made["line_mult"], cost_raster), "m") if modified else None),
+        "base": lambda: base_cost(cells, options.neighbours, meta, options.cost_function),
+        "facts": facts})
+    out = {"slope": lambda: slope(cells, meta, options.slope_units), "base_cost": lambda: made["base"]}
+    if modified:
+        out["additional_cost"] = lambda: made["mult"].select("cell_id", F.col("m").alias("value"))
+        out["total_cost"] = lambda: total_cost(made["base"], made["mult"])
+    return out, lambda: made["mult"], lambda: made["facts"]
 
 
 def _report(spark: SparkSession, facts: list[tuple[str, str | None, float | None]]) -> DataFrame:
@@ -84,12 +100,23 @@ def _report(spark: SparkSession, facts: list[tuple[str, str | None, float | None
     return spark.createDataFrame(facts, "fact string, status string, value double")
 
 
+def source_passes(samples: DataFrame, meta: GridMeta, passes: int, scratch: Scratch) -> DataFrame:
+    """``samples`` with column ``pass``: stretches of equal length along the Z-shaped curve."""
+    if passes == 1:
+        return samples.withColumn("pass", F.lit(0))
+    at = samples.withColumn("_z", z_order(cell_row(F.col("cell_id"), meta), cell_col(F.col("cell_id"), meta)))
+    ranked = numbered(at, ["_z"], scratch)
+    total = samples.count()
+    return scratch.save(ranked.withColumn("pass", F.floor(F.col("rank") * passes / total).cast("int")).drop("_z", "rank"), "passes")
+
+
 def point_density(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOptions = JobOptions(),
                   mult: DataFrame | None = None) -> DataFrame:
     """How many least-cost paths between all ordered pairs of points cross each cell.
 
     Sparse ``cell_id, value`` with the buffer applied. Sources are solved in passes of bounded
-    size, each leaving one count per cell; points that share a cell are solved once and weighted.
+    size along a space-filling curve, so the sources of a pass lie close together; each pass leaves one count
+    per cell. Points that share a cell are solved once and weighted.
     The box sum is linear, so it is applied once, after the sum over sources.
     """
     spark = cells.sparkSession
@@ -98,13 +125,15 @@ def point_density(cells: DataFrame, points: DataFrame, meta: GridMeta, options:
     samples = scratch.save(sample_cells(points, meta), "samples")
     blocks = scratch.save(pack_tiles(cells, stencil, mult, samples), "blocks")
     passes = max(1, -(-samples.count() // options.sources_per_pass))
+    ordered = source_passes(samples, meta, passes, scratch)
     parts = []
     for i in range(passes):
-        sources = samples.where(F.pmod(F.hash("cell_id"), F.lit(passes)) == i)
+        sources = ordered.where(F.col("pass") == i)
         solved = cost_trees(cells, sources, stencil, targets=samples, bounded=True, blocks=blocks)
         counts = path_counts(solved, source_weights=samples, per_source=False)
         parts.append(scratch.save(counts.groupBy("cell_id").agg(F.sum("n").alias("value")), "counts"))
         solved.scratch.clear()
+    scratch.drop(blocks)
     return dilate(reduce(DataFrame.unionByName, parts), meta, options.buffer, "sum")
 
 
@@ -114,7 +143,7 @@ def fete(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOption
     """Movement from everywhere to everywhere: cost surfaces and the density of all paths.
 
     The DEM is always checked; ``on_outside`` says only whether points off the grid stop the job or
-    are passed over. ``raster_meta`` is the cost raster's own grid, if it may differ.
+    are passed over. ``raster_meta`` is the cost raster's own grid and needed with one.
     """
     require_north_up(meta)
     found = {r["check"]: r for r in checks.check_inputs(cells, points, meta).collect()}
@@ -125,11 +154,11 @@ def fete(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOption
     if bounds["without_cell"] == bounds["total"]:
         raise ValueError("input check 'points' failed: no_points on the grid")
     out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta)
-    facts = [("points", None, float(bounds["total"])), ("points_skipped", None, float(bounds["without_cell"])), *facts]
+    counted = [("points", None, float(bounds["total"])), ("points_skipped", None, float(bounds["without_cell"]))]
     outputs = Outputs(out | {
-        "density": lambda: on_grid(cells, point_density(cells, points, meta, options, mult)),
+        "density": lambda: on_grid(cells, point_density(cells, points, meta, options, mult())),
         "summary": lambda: density_summary(outputs["density"], meta),
-        "report": lambda: _report(cells.sparkSession, facts)})
+        "report": lambda: _report(cells.sparkSession, [*counted, *facts()])})
     return outputs
 
 
@@ -149,25 +178,25 @@ def lcpa(cells: DataFrame, origin: DataFrame, destinations: DataFrame, meta: Gri
         raise ValueError(f"input check 'destinations' failed: {skipped['status']}")
     _require(checks.check_points(points_to_cells(origin, meta)))
     out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta)
-    facts = [("destinations", None, float(skipped["total"])), ("destinations_skipped", None, float(skipped["skipped"])), *facts]
+    counted = [("destinations", None, float(skipped["total"])), ("destinations_skipped", None, float(skipped["skipped"]))]
     spark = cells.sparkSession
     scratch = Scratch(spark, "lcpa")
     stencil = Stencil(meta, options.neighbours, options.tile_size, "speed", options.cost_function)
     source = points_to_cells(origin, meta).select("cell_id")
-    dests = scratch.save(checks.usable_destinations(destinations, meta), "dests")
-    targets = scratch.save(dests.groupBy("cell_id").agg(F.count("*").alias("m")), "targets")
 
     def crossing() -> DataFrame:
         counts = path_counts(made["solved"], per_source=False)
         # A destination in the origin's own cell has that cell as its path.
-        own = targets.join(source, "cell_id", "left_semi").select("cell_id", F.col("m").alias("n"))
+        own = made["targets"].join(source, "cell_id", "left_semi").select("cell_id", F.col("m").alias("n"))
         return scratch.save(counts.unionByName(own).groupBy("cell_id").agg(F.sum("n").alias("n")), "crossing")
 
     made = Outputs({
-        "solved": lambda: cost_trees(cells, source, stencil, mult, targets, bounded=True, with_goals=True),
-        "reach": lambda: scratch.save(reachability(target_costs(made["solved"]), dests), "reach"),
+        "dests": lambda: scratch.save(checks.usable_destinations(destinations, meta), "dests"),
+        "targets": lambda: scratch.save(made["dests"].groupBy("cell_id").agg(F.count("*").alias("m")), "targets"),
+        "solved": lambda: cost_trees(cells, source, stencil, mult(), made["targets"], bounded=True, with_goals=True),
+        "reach": lambda: scratch.save(reachability(target_costs(made["solved"]), made["dests"]), "reach"),
         "crossing": crossing,
-        "paths": lambda: scratch.save(trace_paths(made["solved"], targets), "paths"),
+        "paths": lambda: scratch.save(trace_paths(made["solved"], made["targets"]), "paths"),
         "numbered": lambda: number_paths(made["reach"], scratch)})
     return Outputs(out | {
         "reachability": lambda: made["reach"],
@@ -175,4 +204,4 @@ def lcpa(cells: DataFrame, origin: DataFrame, destinations: DataFrame, meta: Gri
         "path_lines": lambda: path_lines(made["paths"], made["numbered"], meta, anchor),
         "path_raster": lambda: on_grid(cells, path_raster(made["crossing"], meta, options.buffer)),
         "summary": lambda: lcpa_summary(made["reach"], made["crossing"]),
-        "report": lambda: _report(spark, facts)})
+        "report": lambda: _report(spark, [*counted, *facts()])})

@@ -6,6 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# Rotation terms up to this size are none.
+ROUNDING = 1e-12
+
 
 @dataclass(frozen=True)
 class GridMeta:
@@ -38,7 +41,7 @@ class GridMeta:
         return self.nrows * self.ncols
 
     def is_rotated(self) -> bool:
-        return abs(self.rot_x) > 1e-12 or abs(self.rot_y) > 1e-12
+        return abs(self.rot_x) > ROUNDING or abs(self.rot_y) > ROUNDING
 
     def same_grid(self, other: "GridMeta") -> bool:
         return (self.nrows, self.ncols) == (other.nrows, other.ncols)
