@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 import brute
 from wayfield.operators import checks
-from wayfield.plans.jobs import fete, lcpa
+from wayfield.plans.jobs import fete, lcpa, source_passes
 from wayfield.schema import GridMeta, JobOptions
 from wayfield.sources import cells as C, features as V
 from wayfield.sources.scratch import Scratch

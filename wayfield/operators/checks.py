@@ -103,6 +103,16 @@ def check_inputs(cells: DataFrame, points: DataFrame, meta: GridMeta) -> DataFra
     return reduce(DataFrame.unionByName, numbered)
 
 
+def check_path_inputs(cells: DataFrame, origin: DataFrame, destinations: DataFrame, meta: GridMeta) -> DataFrame:
+    """The checks of a search from one origin as rows in the order they are made, with the destinations' numbers."""
+    reports = [check_dem(cells, meta), check_origin(origin), check_destinations(destinations, meta),
+               check_points(points_to_cells(origin, meta))]
+    none = F.lit(None).cast("bigint")
+    numbered = [r.select(F.lit(i).alias("step"), "check", "ok", "status", *[c if c in r.columns else none.alias(c) for c in ("total", "skipped")])
+                for i, r in enumerate(reports)]
+    return reduce(DataFrame.unionByName, numbered)
+
+
 def first_failure(reports: DataFrame) -> DataFrame:
     """Verdict of a chain of checks: the first that failed, or ``ok``."""
     bad = F.min(F.when(~F.col("ok"), F.struct("step", "check", "status")))

@@ -264,7 +264,8 @@ def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: Dat
     final: list[DataFrame] = []
 
     rounds = 0
-    live = tile_count(meta, size) > 1
+    # Where no tile has a cell around it, nothing can leave one.
+    live = blocks.where("halo > 0").limit(1).count() > 0
     while live:
         rounds += 1
         if width is not None:

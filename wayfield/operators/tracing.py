@@ -33,15 +33,19 @@ PIECE_SCHEMA = pa.schema([("source", pa.int64()), ("dest_cell", pa.int64()), ("s
 
 def _rounds(step, first: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """``first`` and all tables that follow from it by ``step`` until one is empty."""
-    table = scratch.save(first, name)
-    everything = table
-    while True:
+    def saved(rows: DataFrame) -> tuple[DataFrame, int]:
         seen = Observation()
-        table = scratch.save(step(table).observe(seen, F.count("*").alias("n")), name)
-        if not seen.get["n"]:
+        return scratch.save(rows.observe(seen, F.count("*").alias("n")), name), seen.get["n"]
+
+    table, n = saved(first)
+    everything = table
+    while n:
+        table, n = saved(step(table))
+        if n:
+            everything = everything.unionByName(table)
+        else:
             scratch.drop(table)
-            return everything
-        everything = everything.unionByName(table)
+    return everything
 
 
 def flow(hop_table: DataFrame, tokens: DataFrame, scratch: Scratch) -> DataFrame:

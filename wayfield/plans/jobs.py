@@ -40,12 +40,6 @@ class Outputs(Mapping):
         return len(self._makers)
 
 
-def _require(report: DataFrame) -> None:
-    row = report.first()
-    if not row["ok"]:
-        raise ValueError(f"input check {row['check']!r} failed: {row['status']}")
-
-
 def _usable_raster(cost_raster: DataFrame | None, meta: GridMeta, raster_meta: GridMeta | None,
                    options: JobOptions) -> tuple[DataFrame | None, list]:
     """The cost raster, unless it is to be passed over, and what the report says of it."""
@@ -171,12 +165,11 @@ def lcpa(cells: DataFrame, origin: DataFrame, destinations: DataFrame, meta: Gri
     only for ``paths`` and ``path_lines``.
     """
     require_north_up(meta)
-    _require(checks.check_dem(cells, meta))
-    _require(checks.check_origin(origin))
-    skipped = checks.check_destinations(destinations, meta).first()
-    if not skipped["ok"]:
-        raise ValueError(f"input check 'destinations' failed: {skipped['status']}")
-    _require(checks.check_points(points_to_cells(origin, meta)))
+    found = sorted(checks.check_path_inputs(cells, origin, destinations, meta).collect(), key=lambda r: r["step"])
+    for row in found:
+        if not row["ok"]:
+            raise ValueError(f"input check {row['check']!r} failed: {row['status']}")
+    skipped = found[2]
     out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta)
     counted = [("destinations", None, float(skipped["total"])), ("destinations_skipped", None, float(skipped["skipped"]))]
     spark = cells.sparkSession

@@ -59,7 +59,7 @@ class JobOptions:
     cost_function: str = "tobler"
     on_mismatch: str = "raise"
     on_outside: str = "raise"
-    tile_size: int = 256
+    tile_size: int = 512
     sources_per_pass: int = 16384
 
 
