@@ -222,7 +222,7 @@ def license_scan(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     share = F.coalesce(F.sum("words") >= FILE_SHARE * F.max("all_words"), no)
     own = scratch.save(found.groupBy("row", "doc_id").agg(best.alias("best"), (F.max("whole") | share).alias("is_file")).select(
         F.col("row").alias("_row"), F.col("doc_id").alias("_doc"), F.col("best.licence").alias("own"), (-F.col("best.s")).alias("own_score"), (~F.col("best.other")).alias("is_text"), "is_file"), "own")
-    known = scratch.save(rows.select("doc_id", "path", "row").join(own, F.col("row") == F.col("_row"), "left").drop("_row", "_doc", "row"), "rows")
+    known = scratch.save(rows.select("doc_id", "path", "row").join(own, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").drop("_row", "_doc", "row"), "rows")
     directory = F.try_element_at(parents(F.col("path")), F.lit(1))
     is_file = F.col("is_file") | (F.col("own").isNotNull() & F.col("path").rlike(FILE_NAME))
     first = F.min(F.struct((~F.col("is_text")).alias("other"), (-F.col("own_score")).alias("s"), F.col("doc_id").isNull().alias("none"), "doc_id", "own"))
@@ -234,6 +234,8 @@ def license_scan(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     nearest = F.min(F.struct("steps", "above", "licence", "score"))
     inherited = (chains.join(files, "above").groupBy("folder").agg(nearest.alias("from"))
                  .select("folder", F.col("from.steps").alias("up"), F.col("from.above").alias("above"), F.col("from.licence").alias("theirs"), F.col("from.score").alias("their_score")))
+    # From a table, so that adaptive execution splits the key of a directory with very many documents.
+    inherited = scratch.save(inherited, "inherited")
     joined = known.withColumn("folder", F.when(F.col("path").contains("/"), directory)).join(inherited, "folder", "left")
     has = F.col("own").isNotNull()
     return joined.select("doc_id", "path", F.coalesce("own", "theirs").alias("licence"), F.coalesce("own_score", "their_score").alias("score"),

@@ -54,8 +54,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
                 seed: str = SEED) -> DataFrame:
     """``doc_id, source, size, source_size, target, taken`` for every row of ``docs(doc_id, text, source)``."""
     scratch = Scratch(docs.sparkSession, "mixing")
-    sized = docs.select("doc_id", "source", words_in(F.col("text")).alias("size"),
-                        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-" + seed))).alias("_key"))
+    # Written once, as a range sort reads its input twice and the words are dear to count.
+    sized = scratch.save(docs.select("doc_id", "source", words_in(F.col("text")).alias("size"),
+                                     F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-" + seed))).alias("_key")), "sizes")
     placed = scratch.save(running_sum(sized, ["source"], ["_key", "doc_id", "size"], "size", scratch, "before"), "placed")
     targets = source_targets(placed.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most, scratch)
     targets = targets.withColumnRenamed("source", "_source")
