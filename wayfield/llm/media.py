@@ -4,6 +4,10 @@ A payload's bytes are stored as quantised coefficients, a block for each 64 of t
 number that its place in a list of bytes stands for (frequent ones have small numbers), so the file gives the
 payload back exactly and is smaller than it. Reading accumulates all scans into coefficients, from which
 come both the payload and, by inverse transform, chroma upsampling and colour conversion, the RGB tensor.
+Tensors are stored as a column of bytes; features are taken from the stored ones.
+
+The query goes through the documents in ``PASSES`` shares by hash, at every size, and clears a share's files and tensors
+once its features are written: tensors are twice as large as the payloads and hardly compress.
 
 Cases: a null text is an empty one (a payload of 64 zero bytes); rows that repeat a doc_id or a text are stored
 each for itself and equally; a file that isn't a progressive JPEG has a null tensor; an empty table gives an empty result.
@@ -33,6 +37,9 @@ _TO_NUMBER[_LISTED] = _NUMBERS
 _TO_BYTE = np.zeros(256, np.uint8)
 _TO_BYTE[_NUMBERS + 127] = _LISTED
 BLOCK = 64
+# Shares of the documents whose files and tensors are on disk together.
+PASSES = 8
+FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
 
 
 def stored_payloads(docs: DataFrame) -> DataFrame:
@@ -75,16 +82,9 @@ def rgb_tensors(media: DataFrame) -> DataFrame:
     return media.select("doc_id", "media").mapInArrow(run, "doc_id long, height int, width int, rgb binary")
 
 
-def features(image: jpeg.Image, colours: list[np.ndarray]) -> str:
-    """Size and, for each colour, the mean in thousandths, the least and the largest value."""
-    facts = [f"{int(c.sum(dtype=np.int64)) * 1000 // c.size},{c.min()},{c.max()}" for c in colours]
-    return f"{image.width}x{image.height} " + " ".join(facts)
-
-
 def read_payloads(media: DataFrame) -> DataFrame:
-    """Facts on each stored file, its payload read back and its tensor."""
-    schema = ("doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-              "media_sha256 string, feature string")
+    """Facts on each stored file, its payload read back and its tensor: :data:`FACTS` and ``height, width, rgb``."""
+    schema = f"{FACTS}, height int, width int, rgb binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "media"):
@@ -94,14 +94,44 @@ def read_payloads(media: DataFrame) -> DataFrame:
             for image, content in zip(images, files):
                 payload = payload_of(image, coefficients).tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-BLOCK:]), len(content),
-                             hashlib.sha256(content).hexdigest(), features(image, jpeg.planes(image, coefficients))))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                             hashlib.sha256(content).hexdigest(), image.height, image.width, jpeg.rgb(image, coefficients).tobytes()))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *[pa.array(c, t) for c, t in zip(zip(*rows), kinds)]],
                                              [f.split()[0] for f in schema.split(", ")])
 
     return media.mapInArrow(run, schema)
 
 
+def tensor_features(tensors: DataFrame) -> DataFrame:
+    """``tensors`` without the tensors but with ``feature``: size and, for each colour, the mean in thousandths, the least and the largest value."""
+    others = [f for f in tensors.schema if f.name not in ("height", "width", "rgb")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "rgb"):
+            data, offsets = text_bytes(batch.column("rgb"))
+            pixels, starts, sizes = data.reshape(-1, 3), offsets[:-1] // 3, np.diff(offsets) // 3
+            facts = [(np.add.reduceat(c, starts, dtype=np.int64) * 1000 // sizes, np.minimum.reduceat(c, starts), np.maximum.reduceat(c, starts))
+                     for c in (np.ascontiguousarray(pixels[:, i]) for i in range(3))]
+            columns = [x.tolist() for colour in facts for x in colour]
+            said = [f"{w}x{h} {a},{b},{c} {d},{e},{f} {g},{i},{j}" for w, h, a, b, c, d, e, f, g, i, j in
+                    zip(batch.column("width").to_pylist(), batch.column("height").to_pylist(), *columns)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in others], pa.array(said)], [*[f.name for f in others], "feature"])
+
+    return tensors.mapInArrow(run, f"{FACTS}, feature string")
+
+
+def media_features(docs: DataFrame, passes: int = PASSES) -> DataFrame:
+    """:data:`FACTS` and ``feature`` of every row of ``docs(doc_id, text)``, through stored files and stored tensors."""
+    spark = docs.sparkSession
+    kept, out = Scratch(spark, "media"), None
+    for i in range(passes):
+        share = docs.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(passes)) == i)
+        with Scratch(spark, "media-share") as own:
+            tensors = own.save(read_payloads(packed(stored_payloads(share), own, "media")), "tensors")
+            part = kept.save(tensor_features(tensors), "features")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def op7_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scratch = Scratch(spark, "media")
-    return read_payloads(packed(stored_payloads(table(spark, sf_dir, "documents")), scratch, "media"))
+    return media_features(table(spark, sf_dir, "documents").select("doc_id", "text"))
