@@ -180,9 +180,11 @@ def _tree_rows(stencil: Stencil, keep_cells: bool, with_goals: bool):
         n = len(sources)
         moves = np.full(d.shape, -1, np.int8)
         moves[:, frame.area] = best = predecessors(d, w, frame)
-        total = np.zeros(d.shape, np.int64)
-        total[:, goal] = np.where(moves[:, goal] >= 0, weight, 0)
-        out, count = sweep(total.reshape(-1), moves.reshape(-1), frame)
+        out, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if len(goal) and len(frame.area) < stencil.meta.n_cells:  # else nothing can leave the area
+            total = np.zeros(d.shape, np.int64)
+            total[:, goal] = np.where(moves[:, goal] >= 0, weight, 0)
+            out, count = sweep(total.reshape(-1), moves.reshape(-1), frame)
         goal = goal if with_goals else goal[:0]
         wanted = np.union1d(frame.border, goal).astype(np.int64)
         who, at = np.nonzero(np.isfinite(d[:, wanted]))

@@ -133,7 +133,7 @@ def relax(d, w, steps):
         here, source = flat[live], live // length
         least = np.full(len(d), np.inf)
         np.minimum.at(least, source, here)
-        near = here <= least[source] + width
+        near = here <= (least + width)[source]
         now, base = live[near], here[near]
         queued[now] = False
         following = [live[~near]]
@@ -141,10 +141,12 @@ def relax(d, w, steps):
         for i, step in enumerate(steps):
             to = now + step
             value = base + w[i].take(at + step)
-            better = value < flat.take(to)
-            to = to[better]
-            flat[to] = value[better]
-            to = to[~queued[to]]
+            better = np.flatnonzero(value < flat.take(to))
+            if not len(better):
+                continue
+            to = to.take(better)
+            flat[to] = value.take(better)
+            to = to[~queued.take(to)]
             queued[to] = True
             following.append(to)
         live = np.concatenate(following)
@@ -218,14 +220,19 @@ def sweep(total, moves, frame):
     parent[at] = at - frame.steps[moves[at]]
     inside = np.zeros(len(moves), bool)
     inside[at] = frame.in_area[parent[at] % frame.length]
-    waiting = np.bincount(parent[at[inside[at]]], minlength=len(moves))
+    waiting = np.bincount(parent[at[inside[at]]], minlength=len(moves)).astype(np.int32)
+    mark = np.zeros(len(moves), np.int32)
     ready = at[waiting[at] == 0]
     while len(ready):
-        to = parent[ready[inside[ready]]]
-        np.add.at(total, to, total[ready[inside[ready]]])
+        ready = ready[inside[ready]]
+        to = parent[ready]
+        np.add.at(total, to, total[ready])
         np.subtract.at(waiting, to, 1)
-        to = np.unique(to)
-        ready = to[(waiting[to] == 0) & (parent[to] >= 0)]
+        # Of a position that several children reached last, the last mark stays.
+        to = to[waiting[to] == 0]
+        mark[to] = np.arange(len(to))
+        to = to[mark[to] == np.arange(len(to))]
+        ready = to[parent[to] >= 0]
     out = at[~inside[at] & (total[at] != 0)]
     left, which = np.unique(parent[out], return_inverse=True)
     n = np.zeros(len(left), np.int64)
