@@ -128,10 +128,16 @@ def test_stages_on_odd_documents(spark, tmp_path):
     good = corpus_pipeline.good_documents(spark, docs, SF_DIR)
     assert good.columns == columns
     apart = corpus_pipeline.distinct_documents(spark, docs, SF_DIR)
-    components = plain_components(texts(), 5, 80, 100)
-    assert apart.columns == columns and tuples(apart, "doc_id") == sorted({(d,) for d, _, c, k in components if k and d is not None}, key=repr)
+    # Each row is a document of its own, also without an id or with another's.
+    own = [(i, text, source) for i, (_, text, source) in enumerate(texts())]
+    component = {i: c for i, _, c, _ in plain_components(own, 5, 80, 100)}
+    assert apart.columns == columns
     apart.write.parquet(str(tmp_path / "apart"))
     apart = spark.read.parquet(str(tmp_path / "apart"))
+    kept = apart.collect()
+    assert len({r["doc_id"] for r in kept} - {None}) == len(kept) == len(set(component.values()))
+    named = {text: component[i] for i, text, _ in own if WORD.search(text or "")}
+    assert {named[r["text"]] for r in kept if r["text"] in named} == set(named.values())
     before = {r["doc_id"]: r for r in apart.collect()}
     single = corpus_pipeline.unrepeated_documents(spark, apart, SF_DIR)
     assert single.columns == columns
