@@ -523,6 +523,22 @@ def _(q):
     return R.dilate(q.samples.select("cell_id", F.col("m").alias("value")), q.meta, 2, "sum")
 
 
+def _box_sql(fold: str, b: int) -> str:
+    """A box's sum or maximum by comparing every cell with every sample cell."""
+    return (f"select a.cell_id, cast({fold}(m) as bigint) as value from cells a, (select m, s // 40 as r, s % 40 as c from samples) b "
+            f"where abs(a.r - b.r) <= {b} and abs(a.c - b.c) <= {b} group by 1")
+
+
+@query("dilate_sum_200", _box_sql("sum", 200))
+def _(q):
+    return R.dilate(q.samples.select("cell_id", F.col("m").alias("value")), q.meta, 200, "sum")
+
+
+@query("dilate_max", _box_sql("max", 6))
+def _(q):
+    return R.dilate(q.samples.select("cell_id", F.col("m").alias("value")), q.meta, 6, "max")
+
+
 # ---- cost distance and paths -------------------------------------------------------------------
 
 @query("cost_distance", "select s as source, v as cell_id, round(dist, 6) as d from dist_p")

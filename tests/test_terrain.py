@@ -82,7 +82,7 @@ def test_edges_shuffle_narrow_cells_only(spark):
     assert len(exchanges) == 2 and all("hashpartitioning(tile" in line for line in exchanges)
 
 
-@pytest.mark.parametrize("b", [0, 1, 2, 4])
+@pytest.mark.parametrize("b", [0, 1, 2, 4, 200])
 @pytest.mark.parametrize("how", ["sum", "max"])
 def test_dilation_matches_brute_force(spark, b, how):
     rnd = random.Random(b)
@@ -93,6 +93,23 @@ def test_dilation_matches_brute_force(spark, b, how):
     assert values(R.dilate(table, meta, b, how)) == brute.box(sparse, meta, b, fold)
 
 
+@pytest.mark.parametrize("how", ["sum", "max"])
+def test_dilation_moves_as_many_rows_for_any_box(spark, how):
+    """Rows before the shuffle of a pass depend on the values alone."""
+    cells, meta = brute.grid(spark, [[(r * 7 + c * 3) % 10 for c in range(12)] for r in range(8)])
+    at = cells.select("row", "col", F.col("z").cast("bigint").alias("value"))
+    changes = R._sum_changes if how == "sum" else R._max_changes
+    per_value = {"sum": 2, "max": 4}[how]
+    for b in (2, 200):
+        plan = changes(at, "col", "row", b)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Generate inline") == 1 and "explode" not in plan
+        assert R._spread(at, "col", "row", b, 11, changes).count() == 96
+        assert changes(at, "col", "row", b).count() <= per_value * 96
+    wide = values(R.dilate(cells.select("cell_id", F.col("z").cast("bigint").alias("value")), meta, 200, how))
+    total = [(r * 7 + c * 3) % 10 for r in range(8) for c in range(12)]
+    assert wide == {i: sum(total) if how == "sum" else max(total) for i in range(96)}
+
+
 def test_multipliers_stack_and_count(spark):
     cells, meta = brute.grid(spark, [[0.0] * 4])
     lines = spark.createDataFrame([(0, 2.0), (1, 1.0)], "cell_id long, m double")

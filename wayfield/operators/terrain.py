@@ -80,30 +80,70 @@ def modifier_stats(line_mult: DataFrame, cost_raster: DataFrame, meta: GridMeta)
         (F.col("modified") * 100.0 / F.lit(meta.n_cells)).alias("modified_percent"), "applied_raster_cells")
 
 
-def _spread(cells: DataFrame, at: str, other: str, b: int, last: int, agg) -> DataFrame:
-    """Add each value to the cells within ``b`` of it along one axis."""
-    reach = F.sequence(F.greatest(F.col(at) - b, F.lit(0).cast("bigint")),
-                       F.least(F.col(at) + b, F.lit(last).cast("bigint")))
-    return (cells.select(other, "value", F.explode(reach).alias(at))
-                 .groupBy("row", "col").agg(agg("value").alias("value")))
+def _sum_changes(cells: DataFrame, at: str, other: str, b: int) -> DataFrame:
+    """Where the running sum of values within ``b`` changes along one axis, as ``other, x, value``.
+
+    A value enters at its position less ``b`` and leaves after its position plus ``b``. ``value`` is null
+    where nothing is within reach, which a count tells and not the sum.
+    """
+    moves = F.array(F.struct((F.col(at) - b).alias("x"), F.col("value").alias("v"), F.lit(1).alias("n")),
+                    F.struct((F.col(at) + b + 1).alias("x"), (-F.col("value")).alias("v"), F.lit(-1).alias("n")))
+    changes = cells.select(other, F.inline(moves)).groupBy(other, "x").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    so_far = Window.partitionBy(other).orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    return changes.select(other, "x", F.when(F.sum("n").over(so_far) > 0, F.sum("v").over(so_far)).alias("value"))
+
+
+def _max_changes(cells: DataFrame, at: str, other: str, b: int) -> DataFrame:
+    """Where the largest value within ``b`` can change along one axis, as ``other, x, value``.
+
+    The axis is cut into blocks of ``2b+1``, the length of the reach. So what is within ``b`` of a place is the
+    end of one block and the start of the next: a running maximum backwards and one forwards. Each value asks
+    at the two places where it comes and goes.
+    """
+    def ask(pos, x, tail):
+        return F.struct(pos.alias("pos"), F.lit(None).alias("v"), x.alias("x"), F.lit(tail).alias("tail"))
+
+    here, first, after = F.col(at), F.col(at) - b, F.col(at) + b + 1
+    rows = F.array(F.struct(here.alias("pos"), F.col("value").alias("v"), first.alias("x"), F.lit(False).alias("tail")),
+                   ask(first - b, first, True), ask(after - b, after, True), ask(after + b, after, False))
+    asked = cells.select(other, F.inline(rows)).withColumn("block", F.floor(F.col("pos") / (2 * b + 1)))
+    block = Window.partitionBy(other, "block")
+    forwards = F.max("v").over(block.orderBy("pos").rangeBetween(Window.unboundedPreceding, 0))
+    backwards = F.max("v").over(block.orderBy(F.desc("pos")).rangeBetween(Window.unboundedPreceding, 0))
+    return (asked.select(other, "x", F.when(F.col("tail"), backwards).otherwise(forwards).alias("value"))
+                 .groupBy(other, "x").agg(F.max("value").alias("value")))
+
+
+def _spread(cells: DataFrame, at: str, other: str, b: int, last: int, changes) -> DataFrame:
+    """Value of every cell within ``b`` of a value along one axis.
+
+    Between two changes it stays the same, so cells are unpacked from such runs, once each.
+    """
+    onwards = Window.partitionBy(other).orderBy("x")
+    runs = (changes(cells, at, other, b).withColumn("end", F.lead("x").over(onwards) - 1)
+            .where(F.col("value").isNotNull())
+            .withColumns({"x": F.greatest("x", F.lit(0).cast("bigint")), "end": F.least("end", F.lit(last).cast("bigint"))})
+            .where(F.col("x") <= F.col("end")))
+    return runs.select(other, F.explode(F.sequence("x", "end")).alias(at), "value")
 
 
 def dilate(values: DataFrame, meta: GridMeta, b: int, how: str) -> DataFrame:
     """Sum or maximum over the (2b+1) x (2b+1) box around each cell, clipped to the grid.
 
-    ``values`` is sparse ``cell_id, value`` and may repeat cells. A box sum or maximum is one pass
-    along rows and one along columns, so a value is copied 2(2b+1) times and not (2b+1)^2.
+    ``values`` is sparse ``cell_id, value`` and may repeat cells; null values count as none. A box is one pass along rows and one
+    along columns, and a pass shuffles a few rows for each value (two for sums, four for maxima) however wide
+    the box is. Sums are differences of running sums: exact for integers, rounded for doubles.
     """
     if how not in ("sum", "max"):
         raise ValueError(f"how must be 'sum' or 'max', got {how!r}")
-    agg = F.sum if how == "sum" else F.max
-    cells = values.groupBy("cell_id").agg(agg("value").alias("value"))
+    agg, changes = (F.sum, _sum_changes) if how == "sum" else (F.max, _max_changes)
+    cells = values.where(F.col("value").isNotNull()).groupBy("cell_id").agg(agg("value").alias("value"))
     if b == 0:
         return cells
     ncols = F.lit(meta.ncols).cast("bigint")
     at = cells.select(cell_row(F.col("cell_id"), meta).alias("row"),
                       cell_col(F.col("cell_id"), meta).alias("col"), "value")
-    box = _spread(_spread(at, "col", "row", b, meta.ncols - 1, agg), "row", "col", b, meta.nrows - 1, agg)
+    box = _spread(_spread(at, "col", "row", b, meta.ncols - 1, changes), "row", "col", b, meta.nrows - 1, changes)
     return box.select((F.col("row") * ncols + F.col("col")).alias("cell_id"), "value")
 
 
