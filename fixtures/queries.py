@@ -22,6 +22,7 @@ from wayfield.plans.jobs import fete, lcpa, point_density
 from wayfield.schema import JobOptions
 from wayfield.sources import cells as C, features as V
 from wayfield.sources.scratch import Scratch
+from wayfield.sources.tile_store import read_tiles, write_tiles
 
 # Tiles small enough that the grids of the test data have many of them and halos are exchanged (timings are taken with the default).
 TILE = 16
@@ -92,8 +93,15 @@ class Inputs:
     def lcpa(self, **kw) -> dict[str, DataFrame]:
         modified = kw.pop("modified", False)
         extra = {"lines": self.lines, "cost_raster": self.raster, "raster_meta": self.meta} if modified else {}
+        extra["tiles"] = kw.pop("tiles", None)
         return lcpa(self.cells, self.origin, self.dest_points, self.meta, self.options(**kw), **extra)
 
+    def tiles(self, size: int, reach: int):
+        """The terrain written by tile and read back."""
+        path = self.scratch("tiles")
+        write_tiles(self.cells, path, self.meta, size, reach)
+        return read_tiles(self.spark, path, self.meta)
+
     def scratch(self, label: str) -> str:
         return Scratch(self.spark, label).path
 
@@ -389,6 +397,11 @@ def _(q):
 _PAIRS = "from cells a cross join (select * from steps where k = {k}) o join cells b on b.r = a.r + o.dr and b.c = a.c + o.dc"
 
 
+@query("slope_stored_tiles", _slope_sql("degrees(atan({}))"))
+def _(q):
+    return R.slope(q.tiles(TILE, 1), q.meta, "degrees").select("cell_id", _r("value"))
+
+
 @query("neighbour_pairs", f"select a.cell_id as src, b.cell_id as dst, dr, dc, round(dh, 6) as dh, round(b.z - a.z, 6) as dz {_PAIRS.format(k=32)}")
 def _(q):
     return N.neighbour_pairs(q.cells, 32, q.meta, SMALL_TILE).select(
@@ -458,6 +471,11 @@ def _(q):
     return R.total_cost(R.base_cost(q.holes, 16, q.meta), q.mult).select("cell_id", _r("value", 9))
 
 
+@query("base_cost_stored_tiles", "select cell_id, round(value, 9) as value from base16")
+def _(q):
+    return R.base_cost(q.tiles(TILE, 3), 16, q.meta).select("cell_id", _r("value", 9))
+
+
 @query("base_cost_by_name", f"select a.cell_id, round(avg({walk_cost('speed')}), 9) as value {_PAIRS.format(k=8)} group by 1")
 def _(q):
     return R.base_cost(q.cells, 8, q.meta, cost="tobler").select("cell_id", _r("value", 9))
@@ -564,6 +582,18 @@ def _(q):
     return frontier.frontier_distance(edge_table, q.samples).select("source", "cell_id", _r("d"))
 
 
+@query("cost_distance_resumed", "select s as source, v as cell_id, round(dist, 6) as d from dist_o")
+def _(q):
+    """Two rounds, then the rest by a second search that finds the first one's tables."""
+    where, source = q.scratch("resumed"), P.points_to_cells(q.origin, q.meta).select("cell_id")
+    try:
+        D.cost_trees(q.cells, source, q.stencil(), keep_cells=True, resume=where, max_rounds=2)
+    except D.Unfinished:
+        pass
+    solved = D.cost_trees(q.cells, source, q.stencil(), keep_cells=True, resume=where)
+    return D.distances(solved).select("source", "cell_id", _r("d"))
+
+
 @query("cost_distance_buckets", "select s as source, v as cell_id, round(dist, 6) as d from dist_om")
 def _(q):
     """In cost buckets as wide as a few level steps, so that steep and slowed steps are heavy ones."""
@@ -610,6 +640,12 @@ def _(q):
     return q.lcpa()["reachability"].select("dest_id", "cell_id", _r("d"), "reachable")
 
 
+@query("reachability_stored_tiles", "select dest_id, cell_id, round(dist, 6) as d, dist is not null as reachable from dests left join dist_o on v = cell_id")
+def _(q):
+    around = q.stencil().overlap + q.stencil().reach
+    return q.lcpa(tiles=q.tiles(TILE, around))["reachability"].select("dest_id", "cell_id", _r("d"), "reachable")
+
+
 @query("lcpa_paths", "select path_id, cast(step as integer) as step, cell as cell_id from num_o join path_o on dest = cell_id")
 def _(q):
     return q.lcpa()["paths"]

@@ -24,8 +24,9 @@ from wayfield.functions.geo import cell_col, cell_row
 from wayfield.functions.offsets import offsets
 from wayfield.operators.numbering import numbered
 from wayfield.operators.tile_kernels import Frame, Stencil, exits, predecessors, relax, sweep
-from wayfield.operators.tiles import halo_tiles, tile_count, tile_of, with_halo
+from wayfield.operators.tiles import StoredTiles, halo_tiles, tile_count, tile_of, with_halo
 from wayfield.schema import GridMeta
+from wayfield.sources.journal import Journal
 from wayfield.sources.scratch import Scratch, task_slots
 
 # Sources relaxed together in one group.
@@ -50,6 +51,10 @@ TREE_SCHEMA = pa.schema([
     ("goal_cell", LONGS), ("goal_d", pa.list_(pa.float64())), ("leave_cell", LONGS), ("leave_n", LONGS)])
 
 
+class Unfinished(RuntimeError):
+    """A search that may be resumed has done as many rounds as it was given."""
+
+
 @dataclass
 class CostTrees:
     """Least-cost trees of a set of sources, one row per (source, tile).
@@ -92,16 +97,28 @@ def group_sources(sources: DataFrame, stencil: Stencil, scratch: Scratch) -> Dat
     return ranked.select("source", "tile", F.floor(F.col("rank") / SOURCES_PER_GROUP).cast("int").alias("bucket"))
 
 
-def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
+def pack_tiles(cells: DataFrame | StoredTiles, stencil: Stencil, mult: DataFrame | None = None,
                targets: DataFrame | None = None) -> DataFrame:
     """One row per tile: elevations and multipliers of its padded extent, positions and weights of
     targets (``cell_id`` and, if there is one, ``m``), and how many halo cells have an elevation.
 
-    The inputs are stacked and not joined, so all of them are shuffled once, by tile.
+    The inputs are stacked and not joined, so all of them are shuffled once, by tile. Stored tiles are not:
+    only multipliers and targets go to where they lie.
     """
     meta = stencil.meta
     none = F.lit(None).cast("double")
-    rows = cells.where(F.col("z").isNotNull()).select("row", "col", "z", none.alias("m"), F.lit(0).cast("bigint").alias("t"))
+    stored = cells if isinstance(cells, StoredTiles) else None
+    padding = stencil.overlap + stencil.reach
+    if stored is not None:
+        if stored.size != stencil.size:
+            raise ValueError(f"tiles are stored with a side of {stored.size}, {stencil.size} is needed")
+        cells = stored.within(padding)
+    own_mult = mult is None and "m" in cells.columns
+    known = cells.where(F.col("z").isNotNull() | F.col("m").isNotNull()) if own_mult else cells.where(F.col("z").isNotNull())
+    rows = lying = known.select(*(["tile"] if stored is not None else []), "row", "col", "z",
+                                F.col("m") if own_mult else none.alias("m"), F.lit(0).cast("bigint").alias("t"))
+    if stored is not None:
+        rows = lying.drop("tile").limit(0)
     if mult is not None:
         rows = rows.unionByName(with_row_col(mult, meta).select(
             "row", "col", none.alias("z"), "m", F.lit(0).cast("bigint").alias("t")))
@@ -109,7 +126,7 @@ def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None
         weight = F.col("m").cast("bigint") if "m" in targets.columns else F.lit(1).cast("bigint")
         weighed = targets.groupBy("cell_id").agg(F.sum(weight).alias("t"))
         rows = rows.unionByName(with_row_col(weighed, meta).select("row", "col", none.alias("z"), none.alias("m"), "t"))
-    has_mult = mult is not None
+    has_mult = mult is not None or own_mult
 
     def pack(key, rows):
         frame = Frame(key[0].as_py(), stencil)
@@ -128,9 +145,17 @@ def pack_tiles(cells: DataFrame, stencil: Stencil, mult: DataFrame | None = None
         return pa.table([key[:1], [layers[0].tobytes()], [layers[1].tobytes() if has_mult else None],
                          [goal.tobytes()], [weight.tobytes()], [halo]], schema=BLOCK_SCHEMA)
 
-    local = with_halo(rows, meta, stencil.size, stencil.overlap + stencil.reach)
+    local = with_halo(rows, meta, stencil.size, padding)
+    schema = from_arrow_schema(BLOCK_SCHEMA)
+    if stored is not None:
+        groups = lying.groupBy("tile")
+        if mult is None and targets is None:
+            return groups.applyInArrow(pack, schema)
+        columns = ["tile", "row", "col", "z", "m", "t"]
+        return groups.cogroup(local.select(columns).groupBy("tile")).applyInArrow(
+            lambda key, here, more: pack(key, pa.concat_tables([here.select(columns), more.select(columns)], promote_options="permissive")), schema)
     slots = min(task_slots(cells.sparkSession), tile_count(meta, stencil.size))
-    return local.repartition(slots, "tile").groupBy("tile").applyInArrow(pack, from_arrow_schema(BLOCK_SCHEMA))
+    return local.repartition(slots, "tile").groupBy("tile").applyInArrow(pack, schema)
 
 
 def column(table: pa.Table, name: str) -> np.ndarray:
@@ -239,60 +264,88 @@ def _bounds(ring: DataFrame, target_tiles: int) -> DataFrame:
                 .where(F.col("tiles") == target_tiles).select("source", "bound"))
 
 
-def cost_trees(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
+def _final_rows(split: DataFrame) -> DataFrame:
+    return split.where("settled and cell_id >= 0").select(*RING)
+
+
+def cost_trees(cells: DataFrame | StoredTiles, sources: DataFrame, stencil: Stencil, mult: DataFrame | None = None,
                targets: DataFrame | None = None, bounded: bool = False, keep_cells: bool = False,
-               blocks: DataFrame | None = None, with_goals: bool = False, width: float | None = None) -> CostTrees:
+               blocks: DataFrame | None = None, with_goals: bool = False, width: float | None = None,
+               resume: str | None = None, max_rounds: int | None = None) -> CostTrees:
     """Solve least cost from every cell in ``sources`` (``cell_id``) over the grid.
 
     With ``bounded`` the search of a source ends at the cost of its farthest target, which changes
     no result at the targets. ``blocks`` are packed tiles to use again. ``with_goals`` keeps a row for
     each source and target. With ``width`` a tile waits until its least fresh ring cost lies in the lowest cost
     bucket of its source: there are more rounds, but tiles are hardly ever relaxed before their ring is final.
+
+    ``resume`` is a folder of the shared store for this search alone: if one over the same data was begun there, it goes on
+    after the last round it finished. With ``max_rounds`` a call ends with :class:`Unfinished` after that many rounds.
     """
     spark = cells.sparkSession
-    scratch = Scratch(spark, "cost")
+    scratch = Scratch(spark, "cost", resume)
+    journal = Journal(spark, resume, f"cost trees {stencil} {bounded} {keep_cells} {with_goals} {width}") if resume else None
     meta, size = stencil.meta, stencil.size
     slots = task_slots(spark)
+    begun = journal.state if journal else None
     if blocks is None:
-        blocks = scratch.save(pack_tiles(cells, stencil, mult, targets), "blocks")
+        blocks = journal.table(begun["blocks"]) if begun else scratch.save(pack_tiles(cells, stencil, mult, targets), "blocks")
+    if begun and "trees" in begun:
+        return CostTrees(journal.table(begun["trees"]), stencil, scratch, begun["rounds"], blocks)
     target_tiles = 0
     if bounded and targets is not None:
         target_tiles = blocks.where(F.length("targets") > 0).count()
 
-    starts = with_row_col(group_sources(sources, stencil, scratch).withColumn("cell_id", F.col("source")), meta)
-    ring = scratch.save(with_halo(starts, meta, size, stencil.overlap + stencil.reach).select(
-        "source", "tile", "bucket", "cell_id", F.lit(0.0).alias("d"),
-        F.lit(True).alias("fresh"), F.lit(True).alias("live")), "ring")
-    final: list[DataFrame] = []
-
-    rounds = 0
-    # Where no tile has a cell around it, nothing can leave one.
-    live = blocks.where("halo > 0").limit(1).count() > 0
+    if begun:
+        ring, rounds, live = journal.table(begun["ring"]), begun["rounds"], begun["live"]
+        splits = [journal.table(note) for note in begun["splits"]]
+    else:
+        starts = with_row_col(group_sources(sources, stencil, scratch).withColumn("cell_id", F.col("source")), meta)
+        ring = scratch.save(with_halo(starts, meta, size, stencil.overlap + stencil.reach).select(
+            "source", "tile", "bucket", "cell_id", F.lit(0.0).alias("d"),
+            F.lit(True).alias("fresh"), F.lit(True).alias("live")), "ring")
+        splits: list[DataFrame] = []
+        rounds = 0
+        # Where no tile has a cell around it, nothing can leave one.
+        live = blocks.where("halo > 0").limit(1).count() > 0
+
+    def finished(**more) -> None:
+        if journal:
+            journal.record(ring=ring, rounds=rounds, live=live, splits=splits,
+                           **({"blocks": blocks} if hasattr(blocks, "_wayfield_path") else {}), **more)
+
+    here = rounds
     while live:
+        if max_rounds is not None and rounds - here >= max_rounds:
+            raise Unfinished(f"{rounds} rounds done")
         rounds += 1
+        older = [ring]
         if width is not None:
-            older, ring = ring, scratch.save(_in_bucket(ring, width), "ring")
-            scratch.drop(older)
+            ring = scratch.save(_in_bucket(ring, width), "ring")
+            older.append(ring)
         now = "now" if width is not None else "live"
         border = _per_group(ring.where(now).select(*RING), blocks, slots, _border_costs(stencil), BORDER_SCHEMA)
         bounds = _bounds(ring, target_tiles) if target_tiles else None
-        merged = _merge(ring, _to_rings(border, stencil), slots, bounds, bool(final))
+        merged = _merge(ring, _to_rings(border, stencil), slots, bounds, bool(splits))
         seen = Observation()
-        older, ring = ring, scratch.save(merged.observe(seen, F.count_if("live").alias("live")), "ring")
-        scratch.drop(older)
+        ring = scratch.save(merged.observe(seen, F.count_if("live").alias("live")), "ring")
         live = seen.get["live"] > 0
         if live and rounds % SETTLE_EVERY == 0:
             split = scratch.save(_settle(ring, blocks, stencil), "split", "settled")
-            final.append(split.where("settled and cell_id >= 0").select(*RING))
+            splits.append(split)
             ends = split.where("settled and cell_id >= 0").select("source", "tile", "bucket").distinct()
-            older, ring = ring, scratch.save(
+            older.append(ring)
+            ring = scratch.save(
                 split.where("not settled or cell_id < 0").drop("settled").unionByName(ends.select(
                     "*", F.lit(SETTLED).cast("bigint").alias("cell_id"), F.lit(0.0).alias("d"),
                     F.lit(False).alias("fresh"), F.lit(False).alias("live"))), "ring")
-            scratch.drop(older)
+        finished()
+        for table in older:
+            scratch.drop(table)
 
-    known = reduce(DataFrame.unionByName, final, ring.where("cell_id >= 0").select(*RING))
+    known = reduce(DataFrame.unionByName, [_final_rows(split) for split in splits], ring.where("cell_id >= 0").select(*RING))
     trees = scratch.save(_per_group(known, blocks, slots, _tree_rows(stencil, keep_cells, with_goals), TREE_SCHEMA), "trees")
+    finished(trees=trees)
     return CostTrees(trees, stencil, scratch, rounds, blocks)
 
 
@@ -398,12 +451,12 @@ def hops(solved: CostTrees) -> DataFrame:
         F.col("hop_steps").alias("steps"))
 
 
-def cost_distance(cells: DataFrame, sources: DataFrame, stencil: Stencil, mult: DataFrame | None = None) -> DataFrame:
+def cost_distance(cells: DataFrame | StoredTiles, sources: DataFrame, stencil: Stencil, mult: DataFrame | None = None) -> DataFrame:
     """Least cost from every source to every cell it reaches."""
     return distances(cost_trees(cells, sources, stencil, mult, keep_cells=True))
 
 
-def pairwise_cost(cells: DataFrame, points: DataFrame, stencil: Stencil, mult: DataFrame | None = None) -> DataFrame:
+def pairwise_cost(cells: DataFrame | StoredTiles, points: DataFrame, stencil: Stencil, mult: DataFrame | None = None) -> DataFrame:
     """Origin-destination costs between all point cells."""
     return target_costs(cost_trees(cells, points, stencil, mult, targets=points, bounded=True, with_goals=True))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayfield.functions.costs import cost_function
 from wayfield.functions.geo import in_grid
 from wayfield.functions.offsets import offsets, radius, step_length
-from wayfield.operators.tiles import STENCIL_TILE, joins_keep_tiles, tile_of, with_halo
+from wayfield.operators.tiles import STENCIL_TILE, StoredTiles, joins_keep_tiles, tile_of, with_halo
 from wayfield.schema import GridMeta
 
 
@@ -20,21 +22,24 @@ def _stencil(k: int, meta: GridMeta) -> Column:
         for dr, dc in offsets(k)])
 
 
-def neighbour_pairs(cells: DataFrame, k: int, meta: GridMeta, tile_size: int = STENCIL_TILE,
+def neighbour_pairs(cells: DataFrame | StoredTiles, k: int, meta: GridMeta, tile_size: int = STENCIL_TILE,
                     how: str = "inner") -> DataFrame:
     """Each cell with each in-grid cell of its stencil.
 
     Columns ``tile, src, z_from, dst, dr, dc, dh, z_to`` and, when ``cells`` has it, the target's
     multiplier ``m``. The narrow cell rows are shuffled by tile before the stencil expands them,
     and the join looks up cells inside the tile. With ``how='left'`` targets that have no row stay
-    as nulls.
+    as nulls. Stored tiles are joined with themselves where they lie.
     """
     spark = cells.sparkSession
     extra = ["m"] if "m" in cells.columns else []
-    near = cells.select(tile_of(F.col("row"), F.col("col"), meta, tile_size).alias("tile"),
+    stored = cells if isinstance(cells, StoredTiles) else None
+    if stored is not None:
+        cells, tile_size = stored.home(), stored.size
+    near = cells.select(tile_of(F.col("row"), F.col("col"), meta, tile_size).alias("tile") if stored is None else F.col("tile"),
                         F.col("cell_id").alias("src"), "row", "col", F.col("z").alias("z_from"))
     local = joins_keep_tiles(spark)
-    if local:
+    if local and stored is None:
         near = near.repartition("tile")
     near = (near.withColumn("step", F.explode(_stencil(k, meta)))
                 .select("tile", "src", "z_from",
@@ -46,22 +51,27 @@ def neighbour_pairs(cells: DataFrame, k: int, meta: GridMeta, tile_size: int = S
     far_columns = [F.col("row").alias("_row"), F.col("col").alias("_col"),
                    F.col("cell_id").alias("dst"), F.col("z").alias("z_to"), *extra]
     if local:
-        far = with_halo(cells, meta, tile_size, radius(k)).select("tile", *far_columns)
-        pairs = near.join(far.repartition("tile").hint("shuffle_hash"), ["tile", "_row", "_col"], how)
+        far = (with_halo(cells, meta, tile_size, radius(k)).repartition("tile") if stored is None else stored.within(radius(k)))
+        pairs = near.join(far.select("tile", *far_columns).hint("shuffle_hash"), ["tile", "_row", "_col"], how)
     else:
         pairs = near.join(cells.select(*far_columns), ["_row", "_col"], how)
     return pairs.select("tile", "src", "z_from", "dst", "dr", "dc", "dh", "z_to", *extra)
 
 
-def with_multipliers(cells: DataFrame, mult: DataFrame | None) -> DataFrame:
-    """Cells with their multiplier as column ``m``; unchanged when there is none."""
+def with_multipliers(cells: DataFrame | StoredTiles, mult: DataFrame | None) -> DataFrame | StoredTiles:
+    """Cells with their multiplier as column ``m``; unchanged when there is none.
+
+    Multipliers that come with stored tiles lie in them already; others are joined by cell.
+    """
     if mult is None:
         return cells
+    if isinstance(cells, StoredTiles):
+        return replace(cells, rows=with_multipliers(cells.rows.drop("m"), mult))
     return (cells.join(mult.select("cell_id", "m"), "cell_id", "left")
                  .withColumn("m", F.coalesce("m", F.lit(1.0))))
 
 
-def edges(cells: DataFrame, k: int, meta: GridMeta, mult: DataFrame | None = None,
+def edges(cells: DataFrame | StoredTiles, k: int, meta: GridMeta, mult: DataFrame | None = None,
           cap: str = "speed", cost: str = "tobler", tile_size: int = STENCIL_TILE) -> DataFrame:
     """Directed weighted edges ``src, dst, w``: hours, times the multiplier of the target cell.
 
@@ -70,7 +80,7 @@ def edges(cells: DataFrame, k: int, meta: GridMeta, mult: DataFrame | None = Non
     known = with_multipliers(cells.where(F.col("z").isNotNull()), mult)
     pairs = neighbour_pairs(known, k, meta, tile_size)
     w = cost_function(cost)(F.col("dh"), F.col("z_to") - F.col("z_from"), cap)
-    if mult is not None:
+    if "m" in pairs.columns:
         w = w * F.col("m")
     return pairs.select("src", "dst", w.alias("w"))
 

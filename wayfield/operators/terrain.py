@@ -9,17 +9,20 @@ from pyspark.sql import functions as F
 from wayfield.functions.costs import clean_raster_multiplier, cost_function, slope_in_units
 from wayfield.functions.geo import cell_col, cell_row
 from wayfield.operators.neighbours import neighbour_pairs
-from wayfield.operators.tiles import STENCIL_TILE, tile_of, with_halo
+from wayfield.operators.tiles import STENCIL_TILE, StoredTiles, tile_of, with_halo
 from wayfield.schema import GridMeta
 
 
-def slope(cells: DataFrame, meta: GridMeta, units: str = "degrees", tile_size: int = STENCIL_TILE) -> DataFrame:
+def slope(cells: DataFrame | StoredTiles, meta: GridMeta, units: str = "degrees", tile_size: int = STENCIL_TILE) -> DataFrame:
     """Slope by central differences; 0 on the outermost rows and columns.
 
-    Cells are shuffled once by tile with a one-cell halo; both axes are then windows inside the
-    tile. A neighbour counts only if it is the adjacent cell, so gaps give null.
+    Cells are shuffled once by tile with a one-cell halo; stored tiles are read as they are. Both axes are then
+    windows inside the tile. A neighbour counts only if it is the adjacent cell, so gaps give null.
     """
-    local = with_halo(cells, meta, tile_size, 1).repartition("tile")
+    if isinstance(cells, StoredTiles):
+        local, tile_size = cells.within(1), cells.size
+    else:
+        local = with_halo(cells, meta, tile_size, 1).repartition("tile")
 
     def difference(along: str, across: str, res: float):
         w = Window.partitionBy("tile", across).orderBy(along)
@@ -36,7 +39,7 @@ def slope(cells: DataFrame, meta: GridMeta, units: str = "degrees", tile_size: i
         "cell_id", F.when(border, F.lit(0.0)).otherwise(slope_in_units(gradient, units)).alias("value"))
 
 
-def base_cost(cells: DataFrame, k: int, meta: GridMeta, cost: str = "tobler",
+def base_cost(cells: DataFrame | StoredTiles, k: int, meta: GridMeta, cost: str = "tobler",
               tile_size: int = STENCIL_TILE) -> DataFrame:
     """Mean cost of leaving a cell towards its valid neighbours; 0 if it has none, null without elevation.
 

@@ -7,6 +7,8 @@ a partition.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +56,47 @@ def with_halo(cells: DataFrame, meta: GridMeta, size: int, reach: int) -> DataFr
     return cells.withColumn("tile", F.explode(halo_tiles(F.col("row"), F.col("col"), meta, size, reach)))
 
 
+@dataclass(frozen=True)
+class StoredTiles:
+    """Cells stored by tile, each tile with the cells within ``reach`` of its edge.
+
+    ``rows`` is a scan that reports its partitioning by ``tile``, with columns ``tile, cell_id, row, col, z`` and,
+    if multipliers were stored, ``m``. Operators that take it for their cells read it without an exchange.
+    """
+
+    rows: DataFrame
+    meta: GridMeta
+    size: int
+    reach: int
+
+    @property
+    def sparkSession(self) -> SparkSession:
+        return self.rows.sparkSession
+
+    @property
+    def columns(self) -> list[str]:
+        return [c for c in self.rows.columns if c != "tile"]
+
+    def home(self) -> DataFrame:
+        """Each cell once, in its own tile."""
+        return self.rows.where(F.col("tile") == tile_of(F.col("row"), F.col("col"), self.meta, self.size))
+
+    def where(self, condition: Column) -> "StoredTiles":
+        return replace(self, rows=self.rows.where(condition))
+
+    def within(self, reach: int) -> DataFrame:
+        """The rows within ``reach`` of their tile."""
+        if reach > self.reach:
+            raise ValueError(f"tiles are stored with the cells within {self.reach} of them, {reach} are needed")
+        if reach == self.reach:
+            return self.rows
+        across = F.lit(tiles_across(self.meta, self.size)).cast("bigint")
+        row0 = F.call_function("div", F.col("tile"), across) * self.size
+        col0 = F.pmod(F.col("tile"), across) * self.size
+        return self.rows.where(F.col("row").between(row0 - reach, row0 + self.size - 1 + reach)
+                               & F.col("col").between(col0 - reach, col0 + self.size - 1 + reach))
+
+
 def joins_keep_tiles(spark: SparkSession) -> bool:
     """Whether a join on (tile, ...) accepts inputs that are already partitioned by tile."""
     key = "spark.sql.requireAllClusterKeysForCoPartition"

@@ -16,9 +16,11 @@ from wayfield.operators.numbering import numbered
 from wayfield.operators.points import points_to_cells, sample_cells
 from wayfield.operators.terrain import base_cost, combine_multipliers, dilate, modifier_stats, on_grid, slope, total_cost
 from wayfield.operators.tile_kernels import Stencil
+from wayfield.operators.tiles import StoredTiles
 from wayfield.operators.tracing import (density_summary, lcpa_summary, number_paths, path_cells, path_counts,
                                         path_lines, path_raster, trace_paths)
 from wayfield.schema import COST_RASTER, GridMeta, JobOptions
+from wayfield.sources.journal import Journal
 from wayfield.sources.scratch import Scratch
 
 
@@ -54,10 +56,10 @@ def _usable_raster(cost_raster: DataFrame | None, meta: GridMeta, raster_meta: G
 
 
 def _surfaces(cells: DataFrame, meta: GridMeta, options: JobOptions, lines: DataFrame | None, cost_raster: DataFrame | None,
-              raster_meta: GridMeta | None) -> tuple[dict[str, Callable], Callable[[], DataFrame | None], Callable[[], list]]:
+              raster_meta: GridMeta | None, tiles: StoredTiles | None) -> tuple[dict[str, Callable], Callable[[], DataFrame | None], Callable[[], list]]:
     """Makers of slope, base cost and, when there are modifiers, additional and total cost; of the multipliers; of report lines.
 
-    Only the inputs are checked here. Lines are rasterised once, when an output first needs them.
+    Only the inputs are checked here. Stencils read ``tiles``, where there are some. Lines are rasterised once, when an output first needs them.
     """
     spark = cells.sparkSession
     cost_raster, said = _usable_raster(cost_raster, meta, raster_meta, options)
@@ -80,9 +82,9 @@ def _surfaces(cells: DataFrame, meta: GridMeta, options: JobOptions, lines: Data
                               if lines is not None else spark.createDataFrame([], "cell_id long, m double")),
         "raster": lambda: cost_raster if cost_raster is not None else spark.createDataFrame([], COST_RASTER),
         "mult": lambda: (Scratch(spark, "multipliers").save(combine_multipliers(cells, made["line_mult"], cost_raster), "m") if modified else None),
-        "base": lambda: base_cost(cells, options.neighbours, meta, options.cost_function),
+        "base": lambda: base_cost(tiles or cells, options.neighbours, meta, options.cost_function),
         "facts": facts})
-    out = {"slope": lambda: slope(cells, meta, options.slope_units), "base_cost": lambda: made["base"]}
+    out = {"slope": lambda: slope(tiles or cells, meta, options.slope_units), "base_cost": lambda: made["base"]}
     if modified:
         out["additional_cost"] = lambda: made["mult"].select("cell_id", F.col("m").alias("value"))
         out["total_cost"] = lambda: total_cost(made["base"], made["mult"])
@@ -105,7 +107,7 @@ def source_passes(samples: DataFrame, meta: GridMeta, passes: int, scratch: Scra
 
 
 def point_density(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOptions = JobOptions(),
-                  mult: DataFrame | None = None) -> DataFrame:
+                  mult: DataFrame | None = None, tiles: StoredTiles | None = None) -> DataFrame:
     """How many least-cost paths between all ordered pairs of points cross each cell.
 
     Sparse ``cell_id, value`` with the buffer applied. Sources are solved in passes of bounded
@@ -114,30 +116,50 @@ def point_density(cells: DataFrame, points: DataFrame, meta: GridMeta, options:
     The box sum is linear, so it is applied once, after the sum over sources.
     """
     spark = cells.sparkSession
-    scratch = Scratch(spark, "density")
     stencil = Stencil(meta, options.neighbours, options.tile_size, "exponent", options.cost_function)
-    samples = scratch.save(sample_cells(points, meta), "samples")
-    blocks = scratch.save(pack_tiles(cells, stencil, mult, samples), "blocks")
-    passes = max(1, -(-samples.count() // options.sources_per_pass))
-    ordered = source_passes(samples, meta, passes, scratch)
-    parts = []
-    for i in range(passes):
+    folder = f"{options.resume}/density" if options.resume else None
+    scratch = Scratch(spark, "density", folder)
+    journal = Journal(spark, folder, f"density {stencil} {options.sources_per_pass}") if folder else None
+    begun = journal.state if journal else None
+    if begun:
+        samples, blocks, ordered = (journal.table(begun[name]) for name in ("samples", "blocks", "ordered"))
+        passes, parts = begun["passes"], [journal.table(note) for note in begun["parts"]]
+    else:
+        samples = scratch.save(sample_cells(points, meta), "samples")
+        blocks = scratch.save(pack_tiles(tiles or cells, stencil, mult, samples), "blocks")
+        passes = max(1, -(-samples.count() // options.sources_per_pass))
+        ordered = source_passes(samples, meta, passes, scratch)
+        if journal and passes == 1:
+            ordered = scratch.save(ordered, "passes")
+        parts = []
+
+    def finished() -> None:
+        if journal:
+            journal.record(samples=samples, blocks=blocks, ordered=ordered, passes=passes, parts=parts)
+
+    if not begun:
+        finished()
+    for i in range(len(parts), passes):
         sources = ordered.where(F.col("pass") == i)
-        solved = cost_trees(cells, sources, stencil, targets=samples, bounded=True, blocks=blocks)
+        solved = cost_trees(cells, sources, stencil, targets=samples, bounded=True, blocks=blocks,
+                            resume=f"{folder}/pass-{i}" if folder else None)
         counts = path_counts(solved, source_weights=samples, per_source=False)
         parts.append(scratch.save(counts.groupBy("cell_id").agg(F.sum("n").alias("value")), "counts"))
+        finished()
         solved.scratch.clear()
-    scratch.drop(blocks)
+    if not journal:
+        scratch.drop(blocks)
     return dilate(reduce(DataFrame.unionByName, parts), meta, options.buffer, "sum")
 
 
 def fete(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOptions = JobOptions(),
          lines: DataFrame | None = None, cost_raster: DataFrame | None = None,
-         raster_meta: GridMeta | None = None) -> Outputs:
+         raster_meta: GridMeta | None = None, tiles: StoredTiles | None = None) -> Outputs:
     """Movement from everywhere to everywhere: cost surfaces and the density of all paths.
 
     The DEM is always checked; ``on_outside`` says only whether points off the grid stop the job or
-    are passed over. ``raster_meta`` is the cost raster's own grid and needed with one.
+    are passed over. ``raster_meta`` is the cost raster's own grid and needed with one. ``tiles`` are the same
+    cells stored by tile, which stencils and path searches then read instead.
     """
     require_north_up(meta)
     found = {r["check"]: r for r in checks.check_inputs(cells, points, meta).collect()}
@@ -147,10 +169,10 @@ def fete(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOption
     bounds = checks.points_bounds(points, meta).first()
     if bounds["without_cell"] == bounds["total"]:
         raise ValueError("input check 'points' failed: no_points on the grid")
-    out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta)
+    out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta, tiles)
     counted = [("points", None, float(bounds["total"])), ("points_skipped", None, float(bounds["without_cell"]))]
     outputs = Outputs(out | {
-        "density": lambda: on_grid(cells, point_density(cells, points, meta, options, mult())),
+        "density": lambda: on_grid(cells, point_density(cells, points, meta, options, mult(), tiles)),
         "summary": lambda: density_summary(outputs["density"], meta),
         "report": lambda: _report(cells.sparkSession, [*counted, *facts()])})
     return outputs
@@ -158,7 +180,8 @@ def fete(cells: DataFrame, points: DataFrame, meta: GridMeta, options: JobOption
 
 def lcpa(cells: DataFrame, origin: DataFrame, destinations: DataFrame, meta: GridMeta,
          options: JobOptions = JobOptions(), lines: DataFrame | None = None,
-         cost_raster: DataFrame | None = None, anchor: str = "corner", raster_meta: GridMeta | None = None) -> Outputs:
+         cost_raster: DataFrame | None = None, anchor: str = "corner", raster_meta: GridMeta | None = None,
+         tiles: StoredTiles | None = None) -> Outputs:
     """Least-cost paths from one origin to many destinations.
 
     Rasters and summary come from counts of paths and not from the paths' cells, which are made
@@ -170,7 +193,7 @@ def lcpa(cells: DataFrame, origin: DataFrame, destinations: DataFrame, meta: Gri
         if not row["ok"]:
             raise ValueError(f"input check {row['check']!r} failed: {row['status']}")
     skipped = found[2]
-    out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta)
+    out, mult, facts = _surfaces(cells, meta, options, lines, cost_raster, raster_meta, tiles)
     counted = [("destinations", None, float(skipped["total"])), ("destinations_skipped", None, float(skipped["skipped"]))]
     spark = cells.sparkSession
     scratch = Scratch(spark, "lcpa")
@@ -186,7 +209,8 @@ def lcpa(cells: DataFrame, origin: DataFrame, destinations: DataFrame, meta: Gri
     made = Outputs({
         "dests": lambda: scratch.save(checks.usable_destinations(destinations, meta), "dests"),
         "targets": lambda: scratch.save(made["dests"].groupBy("cell_id").agg(F.count("*").alias("m")), "targets"),
-        "solved": lambda: cost_trees(cells, source, stencil, mult(), made["targets"], bounded=True, with_goals=True),
+        "solved": lambda: cost_trees(tiles or cells, source, stencil, mult(), made["targets"], bounded=True, with_goals=True,
+                                     resume=f"{options.resume}/paths" if options.resume else None),
         "reach": lambda: scratch.save(reachability(target_costs(made["solved"]), made["dests"]), "reach"),
         "crossing": crossing,
         "paths": lambda: scratch.save(trace_paths(made["solved"], made["targets"]), "paths"),

@@ -49,7 +49,11 @@ class GridMeta:
 
 @dataclass(frozen=True)
 class JobOptions:
-    """Options shared by the two end-to-end jobs."""
+    """Options shared by the two end-to-end jobs.
+
+    ``resume`` is a folder of the shared store in which a job keeps its finished steps: begun again with it, over the
+    same data, the job goes on after the last one.
+    """
 
     neighbours: int = 16
     slope_units: str = "degrees"
@@ -61,6 +65,7 @@ class JobOptions:
     on_outside: str = "raise"
     tile_size: int = 512
     sources_per_pass: int = 16384
+    resume: str | None = None
 
 
 CELLS = T.StructType([

@@ -28,11 +28,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written by one run of an iterative operator."""
+    """Tables written by one run of an iterative operator.
 
-    def __init__(self, spark: SparkSession, label: str):
+    ``folder`` is where a run that may be resumed keeps them; its tables and those of earlier attempts are its own.
+    """
+
+    def __init__(self, spark: SparkSession, label: str, folder: str | None = None):
         self.spark = spark
-        self.path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.path = f"{folder.rstrip('/') if folder else scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self._own = folder.rstrip("/") if folder else self.path
         self._written = 0
         self._tables: list[str] = []
 
@@ -62,7 +66,7 @@ class Scratch:
     def drop(self, table: DataFrame) -> None:
         """Delete a table of this run that no later step reads."""
         path = getattr(table, "_wayfield_path", "")
-        if path.startswith(self.path):
+        if path.startswith(self._own):
             self._delete(path)
 
     def forget_tables(self) -> None:
@@ -74,7 +78,7 @@ class Scratch:
     def clear(self) -> None:
         """Delete everything this run wrote."""
         self.forget_tables()
-        self._delete(self.path)
+        self._delete(self._own)
 
     def __enter__(self) -> "Scratch":
         return self
