@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from wayfield.operators import distance as D, frontier, neighbours as N, tracing
+from wayfield.operators import distance as D, frontier, neighbours as N, tile_kernels as K, tracing
 from wayfield.operators.tile_kernels import Frame, Stencil, relax
 from wayfield.schema import GridMeta
 from wayfield.sources.scratch import Scratch
@@ -235,3 +235,30 @@ def test_sources_far_apart_in_cost_do_not_wait_for_each_other():
         return relax(d, w, frame.steps)
 
     assert rounds([5.0 * i for i in range(16)]) <= 2 * max(rounds([0.0]), rounds([0.0] * 16))
+
+
+@pytest.mark.parametrize("task, most, side, rounds", [(1 << 18, 1 << 20, 128, 0), (96, 160, 16, 12)])
+def test_long_grids_get_larger_tiles(spark, monkeypatch, task, most, side, rounds):
+    """Rounds follow the tiles along a grid, so they are not as many as a long grid has squares of the least side."""
+    monkeypatch.setattr(K, "TASK_CELLS", task)
+    monkeypatch.setattr(K, "TILE_CELLS", most)
+    heights = [[float((r * 5 + c * 3) % 7) for c in range(5)] for r in range(120)]
+    cells, meta = brute.grid(spark, heights)
+    stencil = Stencil(meta, 16, 4)
+    assert stencil.size == side and Stencil(meta, 16, side).size == side and Stencil(meta, 16, 8).size == 8
+    solved = D.cost_trees(cells, ids(spark, [2, 301]), stencil, targets=ids(spark, [0, 304, 599]), keep_cells=True, with_goals=True)
+    assert solved.rounds <= rounds
+    graph = brute.edges(heights, meta, 16)
+    want = {(s, c): d for s in (2, 301) for c, d in brute.distances(graph, s).items()}
+    got = as_dict(D.distances(solved), "source", "cell_id", value="d")
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    counts = as_dict(tracing.path_counts(solved), "source", "cell_id", value="n")
+    traced = tracing.trace_paths(solved, ids(spark, [0, 304, 599])).groupBy("source", "cell_id").count()
+    assert counts == as_dict(traced, "source", "cell_id", value="count") and counts[2, 599] == 1
+
+
+def test_groups_of_sources_are_smaller_on_large_tiles(spark, monkeypatch):
+    monkeypatch.setattr(D, "GROUP_CELLS", 300)
+    cells, meta = brute.grid(spark, [[0.0] * 10 for _ in range(10)])
+    grouped = D.group_sources(ids(spark, range(9)), Stencil(meta, 8, 10), Scratch(spark, "groups"))
+    assert sorted(r["count"] for r in grouped.groupBy("bucket").count().collect()) == [3, 3, 3]
