@@ -262,3 +262,11 @@ def test_groups_of_sources_are_smaller_on_large_tiles(spark, monkeypatch):
     cells, meta = brute.grid(spark, [[0.0] * 10 for _ in range(10)])
     grouped = D.group_sources(ids(spark, range(9)), Stencil(meta, 8, 10), Scratch(spark, "groups"))
     assert sorted(r["count"] for r in grouped.groupBy("bucket").count().collect()) == [3, 3, 3]
+
+
+def test_traced_paths_are_not_joined_by_broadcast(spark):
+    """Nodes and pieces of paths take little room in files and much in the driver."""
+    cells, meta = brute.grid(spark, [[0.0] * 8 for _ in range(8)])
+    solved = D.cost_trees(cells, ids(spark, [0]), Stencil(meta, 8, 4), targets=ids(spark, [7, 63]), with_goals=True)
+    plan = tracing.trace_paths(solved, ids(spark, [7, 63]))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
