@@ -164,3 +164,22 @@ def test_scratch_tables_go_to_the_shared_folder(spark):
     assert table.count() == 3 and not table._jdf.queryExecution().logical().toString().startswith("Range")
     scratch.drop(table)
     assert not spark._jvm.java.io.File(table._wayfield_path).exists()
+
+
+def test_many_sources_get_larger_tiles(spark, monkeypatch):
+    """Where groups of sources keep all tasks busy, tiles grow and nothing is relaxed twice; the density stays the same."""
+    from wayfield.operators.tile_kernels import Stencil
+    from wayfield.plans import jobs
+    wide = Stencil(GridMeta(1800, 500, 0.0, 54000.0, 30.0, -30.0, "local"), 16, 512)
+    assert jobs._for_many(wide, 5400, 36).size == 2048 and jobs._for_many(wide, 200, 36).size == 512
+    cells, meta = brute.grid(spark, [[float((r * 5 + c * 3) % 7) for c in range(12)] for r in range(12)])
+    at = points(spark, meta, range(0, 144, 11))
+    sizes = []
+    pack = jobs.pack_tiles
+    monkeypatch.setattr(jobs, "pack_tiles", lambda cells, stencil, *more: sizes.append(stencil.size) or pack(cells, stencil, *more))
+    found = []
+    for slots in (1000, 0):
+        monkeypatch.setattr(jobs, "task_slots", lambda session, n=slots: n)
+        made = jobs.point_density(cells, at, meta, JobOptions(tile_size=6)).groupBy("cell_id").agg(F.sum("value").alias("n"))
+        found.append({r["cell_id"]: r["n"] for r in made.collect()})
+    assert sizes == [6, 12] and found[0] == found[1] and len(found[0]) > 14
