@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 import brute
 from wayfield.operators import distance as D, frontier, neighbours as N, tile_kernels as K, tracing
 from wayfield.operators.tile_kernels import Frame, Stencil, relax
-from wayfield.schema import GridMeta
+from wayfield.plans.jobs import lcpa
+from wayfield.schema import GridMeta, JobOptions
 from wayfield.sources.scratch import Scratch
 
 
@@ -148,6 +149,44 @@ def test_traced_paths(spark, size, pieces, monkeypatch):
         assert sum(dict(graph[a])[b] for a, b in zip(path, path[1:])) == pytest.approx(costs[dest,])
 
 
+@pytest.mark.parametrize("size, pieces, every", [(6, 2, 3), (6, 4096, 1), (100, 3, 4), (9, 4096, 128)])
+def test_lines_put_together_at_marks(spark, size, pieces, every, monkeypatch):
+    """The same vertices and text as from the traced cells: with marks and without, in many tiles and one, for two numbers of one cell."""
+    monkeypatch.setattr(tracing, "PIECES_PER_GROUP", pieces)
+    monkeypatch.setattr(tracing, "MARK_STEPS", every)
+    cells, meta, mult, graph, sources = setup(spark, 13)
+    origin, dests = sources[0], sorted(brute.distances(graph, sources[0]))[::3] + [sources[0]]
+    solved = D.cost_trees(cells, ids(spark, [origin]), Stencil(meta, 16, size, lap=2), mult, ids(spark, dests), with_goals=True)
+    numbered = spark.createDataFrame([(i, 100 + i, c) for i, c in enumerate([*dests, dests[0]])], "path_id long, dest_id long, cell_id long")
+    pred = brute.predecessors(graph, brute.distances(graph, origin))
+    lines = {r.path_id: r for r in tracing.path_lines(solved, numbered).collect()}
+    assert len(lines) == len(dests) + 1
+    for i, dest in enumerate([*dests, dests[0]]):
+        want = [(step, c % meta.ncols * meta.dx, meta.y0 + c // meta.ncols * meta.dy) for step, c in enumerate(brute.path(pred, origin, dest))]
+        assert (lines[i].dest_id, lines[i].dest_cell, [tuple(p) for p in lines[i].pts]) == (100 + i, dest, want)
+        assert lines[i].wkt == "LINESTRING (" + ", ".join(f"{x} {y}" for _, x, y in want) + ")"
+
+
+def test_lines_take_no_row_for_each_vertex(spark, monkeypatch):
+    """On a long grid the tables behind the lines hold a fraction of the vertices that the lines have."""
+    monkeypatch.setattr(tracing, "MARK_STEPS", 16)
+    held, save = {}, Scratch.save
+
+    def watch(self, df, name, *args):
+        table = save(self, df, name, *args)
+        content = F.sum(F.size("cells")) if "cells" in df.columns else F.count("*")
+        held[name] = held.get(name, 0) + (table.agg(content).first()[0] or 0)
+        return table
+
+    monkeypatch.setattr(Scratch, "save", watch)
+    cells, meta = brute.grid(spark, [[float((r * 5 + c * 3) % 7) for c in range(3)] for r in range(400)])
+    at = lambda c: (c, (c % 3 + 0.5) * meta.dx, meta.y0 + (c // 3 + 0.5) * meta.dy)
+    points = lambda some: spark.createDataFrame([at(c) for c in some], "point_id long, x double, y double")
+    lines = lcpa(cells, points([1]), points(range(1200)), meta, JobOptions(tile_size=16))["path_lines"]
+    vertices = lines.agg(F.sum(F.size("pts"))).first()[0]
+    assert vertices > 100_000 and max(held.values()) < vertices / 8
+
+
 def test_finished_tiles_leave_the_loop(spark, monkeypatch):
     """Behind the front of a long flat grid the ring shrinks to one row per (source, tile)."""
     sizes = []
