@@ -183,3 +183,14 @@ def test_many_sources_get_larger_tiles(spark, monkeypatch):
         made = jobs.point_density(cells, at, meta, JobOptions(tile_size=6)).groupBy("cell_id").agg(F.sum("value").alias("n"))
         found.append({r["cell_id"]: r["n"] for r in made.collect()})
     assert sizes == [6, 12] and found[0] == found[1] and len(found[0]) > 14
+
+
+def test_cells_of_paths_are_not_stored(spark, monkeypatch):
+    """Paths have a row for each tile in what is stored; rows for their cells are only given out."""
+    cells, meta = brute.grid(spark, [[0.0] * 30 for _ in range(4)])
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name, *more: saved.append(set(df.columns)) or save(self, df, name, *more))
+    found = lcpa(cells, points(spark, meta, [0]), points(spark, meta, [29, 29, 59]), meta, JobOptions(tile_size=8))["paths"].collect()
+    assert not [columns for columns in saved if {"dest_cell", "step"} <= columns]
+    steps = {n: sorted(r["step"] for r in found if r["path_id"] == n) for n in range(3)}
+    assert steps[0] == steps[1] == list(range(len(steps[0]))) and len(steps[2]) > 1
